@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from assetflow.operators.intervals import merge_intervals
 from assetflow.operators.slices import SLICE_ROWS, carried, join_carry, number_rows, slice_groups
 
 
@@ -41,10 +42,20 @@ def stall_gaps(
     )
 
 
-def stall_sessions(lines: DataFrame, run: str = "run", ts: str = "ts", gap: str = "10 minutes") -> DataFrame:
-    """Stretches of output without a stall, by Spark's session windows."""
-    return (
-        lines.groupBy(run, F.session_window(ts, gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .select(run, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "lines")
+def stall_sessions(
+    lines: DataFrame, run: str = "run", ts: str = "ts_us", stall_seconds: int = 600, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Stretches of output without a stall; equal to session windows of that gap.
+
+    Each line covers [ts, ts + gap) and the covers are merged, so a run that holds most of the
+    log is still cut into slices (a session window would sort it in one task).
+    """
+    gap = stall_seconds * 1_000_000
+    covers = lines.select(run, F.col(ts).alias("start_ns"), (F.col(ts) + (gap - 1)).alias("end_ns"))
+    merged = merge_intervals(covers, [run], slice_rows=slice_rows)
+    return merged.select(
+        run,
+        F.col("start_ns").alias("session_start_us"),
+        (F.col("end_ns") + 1).alias("session_end_us"),
+        F.col("intervals").alias("lines"),
     )

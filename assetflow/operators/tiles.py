@@ -1,9 +1,23 @@
-"""Tile fan-out, batch inference with a user model, and reassembly."""
+"""Tile fan-out, batch inference with a user model, and reassembly.
+
+Image rows become tile rows inside the task that reads the image; tiles are then spread over
+the cluster, so one huge image does not hold one executor.  Cores come back as strips (one
+per tile row, at most tile height x image width), and an image is the strips in order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assetflow.operators.pixels import decode_array
+
+BATCH_SIZES = (1, 2, 4, 8)
+Model = Callable[[np.ndarray], np.ndarray]
+
 
 def tile_grid(df: DataFrame, width: str, height: str, tile: Column | int) -> DataFrame:
     """One row per tile: ``tile_y``, ``tile_x`` and the core size clipped to the image."""
@@ -14,3 +28,152 @@ def tile_grid(df: DataFrame, width: str, height: str, tile: Column | int) -> Dat
     return rows.withColumns(
         {"core_height": F.least(t, h - F.col("tile_y")), "core_width": F.least(t, w - F.col("tile_x"))}
     )
+
+
+def padded(array: np.ndarray, tile: int, overlap: int) -> np.ndarray:
+    """Pad to whole tiles plus overlap; reflect, or repeat the edge where the image is too small."""
+    height, width = array.shape[:2]
+    bottom = -height % tile + overlap
+    right = -width % tile + overlap
+    small = max(overlap, bottom) >= height or max(overlap, right) >= width
+    return np.pad(array, ((overlap, bottom), (overlap, right), (0, 0)), mode="edge" if small else "reflect")
+
+
+def extract_tiles(images: DataFrame, tile: int, overlap: int, image: str = "image_id") -> DataFrame:
+    """Image rows to tile rows; every tile has the edge ``tile + 2 * overlap``."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edge = tile + 2 * overlap
+        for pdf in batches:
+            for key, h, w, c, d in zip(pdf[image], pdf["height"], pdf["width"], pdf["channels"], pdf["data"]):
+                whole = padded(decode_array(d, h, w, c), tile, overlap)
+                for y in range(0, int(h), tile):
+                    xs = range(0, int(w), tile)
+                    yield pd.DataFrame(
+                        {
+                            image: key,
+                            "tile_y": y,
+                            "tile_x": list(xs),
+                            "core_height": min(tile, int(h) - y),
+                            "core_width": [min(tile, int(w) - x) for x in xs],
+                            "channels": c,
+                            "data": [np.ascontiguousarray(whole[y : y + edge, x : x + edge]).tobytes() for x in xs],
+                        }
+                    )
+
+    kind = images.schema[image].dataType.simpleString()
+    return images.select(image, "height", "width", "channels", "data").mapInPandas(
+        cut, f"{image} {kind}, tile_y long, tile_x long, core_height long, core_width long, channels int, data binary"
+    )
+
+
+def spread_tiles(tiles: DataFrame, partitions: int | None = None, image: str = "image_id") -> DataFrame:
+    """Distribute tiles by image and position, so that a third of all tiles in one image still spreads."""
+    keys = [image, "tile_y", "tile_x"]
+    return tiles.repartition(partitions, *keys) if partitions else tiles.repartition(*keys)
+
+
+def batch_infer(
+    tiles: DataFrame,
+    make_model: Callable[[], Model],
+    scale: int,
+    tile: int,
+    overlap: int,
+    batch: int = 1,
+    grayscale_output: bool = False,
+    image: str = "image_id",
+) -> DataFrame:
+    """Run the user's model on tiles and keep the quantised cores.
+
+    ``make_model`` is called once per task.  The model maps float32 (n, channels, edge, edge) in
+    [0, 1] to (n, channels, edge * scale, edge * scale).
+    """
+    if batch not in BATCH_SIZES:
+        raise ValueError(f"batch must be one of {BATCH_SIZES}")
+    edge = tile + 2 * overlap
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for pdf in batches:
+            if model is None:
+                model = make_model()
+            for _, same in pdf.groupby("channels", sort=False):
+                for at in range(0, len(same), batch):
+                    group = same.iloc[at : at + batch]
+                    stack = np.stack([decode_array(d, edge, edge, c) for d, c in zip(group["data"], group["channels"])])
+                    result = model(stack.transpose(0, 3, 1, 2).astype(np.float32) / np.float32(255))
+                    cores = quantised_cores(result, scale, tile, overlap, grayscale_output)
+                    sizes = zip(cores, group["core_height"] * scale, group["core_width"] * scale)
+                    yield pd.DataFrame(
+                        {
+                            image: group[image].to_numpy(),
+                            "y": group["tile_y"].to_numpy() * scale,
+                            "x": group["tile_x"].to_numpy() * scale,
+                            "height": group["core_height"].to_numpy() * scale,
+                            "width": group["core_width"].to_numpy() * scale,
+                            "channels": cores.shape[3],
+                            "data": [np.ascontiguousarray(core[:h, :w]).tobytes() for core, h, w in sizes],
+                        }
+                    )
+
+    kind = tiles.schema[image].dataType.simpleString()
+    return tiles.mapInPandas(run, f"{image} {kind}, y long, x long, height long, width long, channels int, data binary")
+
+
+def quantised_cores(result: np.ndarray, scale: int, tile: int, overlap: int, grayscale_output: bool) -> np.ndarray:
+    """Crop the overlap, clamp, optionally reduce to luma, and round to 8 bits: (n, h, w, channels)."""
+    core = slice(overlap * scale, (overlap + tile) * scale)
+    values = np.clip(result[:, :, core, core].astype(np.float32), 0, 1)
+    if grayscale_output:
+        weights = np.array([0.2126, 0.7152, 0.0722], dtype=np.float32).reshape(1, 3, 1, 1)
+        values = (values[:, :3] * weights).sum(axis=1, keepdims=True)
+    return np.rint(values * np.float32(255)).astype(np.uint8).transpose(0, 2, 3, 1)
+
+
+def assemble_strips(cores: DataFrame, image: str = "image_id") -> DataFrame:
+    """Cores of one tile row side by side: full-width strips (bounded by tile height x width)."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.sort_values("x")
+        parts = [decode_array(d, h, w, c) for d, h, w, c in zip(row["data"], row["height"], row["width"], row["channels"])]
+        strip = np.concatenate(parts, axis=1)
+        head = row.iloc[0]
+        return pd.DataFrame(
+            {image: [head[image]], "y": [head["y"]], "height": [strip.shape[0]], "width": [strip.shape[1]], "channels": [strip.shape[2]], "data": [strip.tobytes()]}
+        )
+
+    kind = cores.schema[image].dataType.simpleString()
+    return cores.groupBy(image, "y").applyInPandas(
+        join, f"{image} {kind}, y long, height long, width long, channels int, data binary"
+    )
+
+
+def assemble_images(strips: DataFrame, image: str = "image_id", max_pixels: int = 24_000_000) -> DataFrame:
+    """Strips in order are the image, since samples are row-major; larger images stay strips."""
+    joined = F.aggregate(F.sort_array("parts"), F.lit(b""), lambda data, part: F.concat(data, part["data"]))
+    grouped = strips.groupBy(image).agg(
+        F.sum("height").alias("height"), F.max("width").alias("width"), F.max("channels").alias("channels"), F.collect_list(F.struct("y", "data")).alias("parts")
+    )
+    area = F.col("height") * F.col("width")
+    data = F.when(area > max_pixels, F.raise_error(F.lit("image exceeds the pixel limit; keep its strips"))).otherwise(joined)
+    return grouped.select(image, "height", "width", "channels", data.alias("data"))
+
+
+def core_pixels(cores: DataFrame, image: str = "image_id") -> DataFrame:
+    """Assembly without a gather: each core's samples at their place in the whole image."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, y, x, h, w, c, d in zip(pdf[image], pdf["y"], pdf["x"], pdf["height"], pdf["width"], pdf["channels"], pdf["data"]):
+                samples = decode_array(d, h, w, c).reshape(-1, int(c)).astype(np.int64)
+                ys, xs = np.mgrid[int(y) : int(y) + int(h), int(x) : int(x) + int(w)]
+                g, b = (1, 2) if c >= 3 else (0, 0)
+                yield pd.DataFrame({image: key, "y": ys.ravel(), "x": xs.ravel(), "r": samples[:, 0], "g": samples[:, g], "b": samples[:, b]})
+
+    kind = cores.schema[image].dataType.simpleString()
+    return cores.mapInPandas(place, f"{image} {kind}, y long, x long, r long, g long, b long")
+
+
+def nearest_model(scale: int) -> Callable[[], Model]:
+    """Factory of the simplest model, pixel repetition, for tests and dry runs."""
+    return lambda: lambda stack: stack.repeat(scale, axis=2).repeat(scale, axis=3)

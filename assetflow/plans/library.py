@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assetflow.functions import paths, resolution
 from assetflow.functions.fingerprint import content_sha256
-from assetflow.operators import companions, incremental, journal, ordering, reconcile, scans, workload
+from assetflow.operators import roots as attest_paths
+from assetflow.operators import companions, incremental, journal, models, ordering, reconcile, scans, workload
 from assetflow.plans.views import duckdb_ctes, spark_view, table
-from assetflow.policy import MODEL_ROWS, PlanPolicy
+from assetflow.policy import PlanPolicy
 
 POLICY = PlanPolicy()
 IMAGE = "regexp_matches(rel, '[.](png|jpg|jpeg|webp|tif|tiff|bmp)$')"
@@ -137,14 +138,8 @@ O_ROUTE = sql(
 
 def q_model_lookup(spark, d):
     """SR pages with the checkpoint they need; the model table is a handful of fixed rows."""
-    models = spark.createDataFrame(
-        [(variant, scale, name, label) for family, variant, scale, name, label in MODEL_ROWS if family == "real-hat"],
-        "variant string, native_scale int, model_file string, model_label string",
-    )
     pages = planned(spark, d).filter("variant IS NOT NULL").select("rel", "variant", F.col("plan.native_scale").alias("native_scale"))
-    return pages.join(F.broadcast(models), ["variant", "native_scale"], "left").select(
-        "rel", "variant", F.coalesce("model_file", F.lit("missing")).alias("model_file"), "model_label"
-    )
+    return models.model_lookup(pages, models.model_table(spark, "real-hat-auto")).select("rel", "variant", "model_file", "model_label")
 
 
 O_MODEL = sql(
@@ -282,19 +277,15 @@ FROM (SELECT rel, {TARGET} AS k FROM assets WHERE {IMAGE}) i JOIN
 
 
 def q_path_overlap(spark, d):
-    """Folders of the crawled pages that lie inside another page's own path."""
-    urls = table(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    folders = urls.select(paths.comparison_path(F.col("path")).alias("path")).distinct()
-    return contained_paths(folders)
-
-
-def contained_paths(folders: DataFrame) -> DataFrame:
-    """Pairs (path, ancestor) among the rows: an equi-join on exploded ancestors, never a cross join."""
-    up = folders.select("path", F.explode(F.slice(paths.ancestors(F.col("path")), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))).alias("ancestor"))
-    return up.join(folders.select(F.col("path").alias("ancestor")), "ancestor").select("path", "ancestor")
+    """Page paths and site folders that contain one another."""
+    clean = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    pages = table(spark, d, "pages").select(paths.comparison_path(clean).alias("path"))
+    folders = pages.select(F.explode(F.array("path", paths.dir_name(F.col("path")))).alias("path")).distinct()
+    return attest_paths.contained_paths(folders)
 
 
-O_OVERLAP = """WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '(.)/+$', '\\1') AS path FROM pages)
+O_OVERLAP = """WITH u AS (SELECT regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '(.)/+$', '\\1') AS path FROM pages),
+p AS (SELECT path FROM u UNION SELECT regexp_replace(path, '/?[^/]*$', '') FROM u)
 SELECT c.path, a.path AS ancestor FROM p c JOIN p a ON starts_with(c.path, a.path || '/')"""
 
 

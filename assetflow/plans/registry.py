@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from assetflow.plans import library
+from assetflow.plans import imaging, library, metrics
 
-REGISTRY = {**library.REGISTRY}
+REGISTRY = {**library.REGISTRY, **metrics.REGISTRY, **imaging.REGISTRY}

@@ -62,7 +62,7 @@ FROM assets WHERE lower(rel) NOT LIKE '%.jxl' AND lower(rel) NOT LIKE '%.json' A
     "outcomes": (
         ("lineitem",),
         """
-SELECT l_orderkey % 40 AS run, ROW_NUMBER() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS page_index,
+SELECT l_orderkey % 40 AS run,
   CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'N' THEN 'skipped' ELSE 'deferred' END AS status,
   CASE WHEN l_quantity < 25 THEN 'normal' ELSE 'sharper' END AS route, CASE WHEN l_linenumber % 2 = 0 THEN 256 ELSE 320 END AS tile,
   CAST(floor(l_extendedprice) AS BIGINT) AS output_bytes, l_tax AS seconds
