@@ -9,7 +9,7 @@ from assetflow.policy import ADOPT, ENCODE_MODES
 
 def is_sha256(value: Column) -> Column:
     """64 lowercase hexadecimal digits; NULL is false."""
-    return F.coalesce(value.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(value.rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
 
 
 def finite_nonnegative(value: Column) -> Column:

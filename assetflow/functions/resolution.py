@@ -64,7 +64,7 @@ def add_resolution_plan(
     staged = staged.withColumn("_scale", native_scale(F.col("_short"), p.target_short_edge, scales, p.max_factor))
     s, target = F.col("_scale").cast("long"), F.lit(p.target_short_edge).cast("long")
     below = F.col("_short") * s < target
-    scaled = lambda side, other: F.greatest(F.lit(1).cast("long"), F.bround(side * target / other).cast("long"))
+    scaled = lambda side, other: F.greatest(F.lit(1).cast("long"), F.bround(F.try_divide(side * target, other)).cast("long"))
     staged = staged.withColumns(
         {
             "_below": below,

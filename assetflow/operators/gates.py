@@ -86,14 +86,15 @@ def paired_gate(
     ``min_gain`` of 0.05 for graph, runtime, precision or operator changes.
     """
     per_round = round_times(rounds, ["round"])
-    cv = lambda c: F.stddev_samp(c) / F.avg(c)
+    ratio = F.try_divide(F.col("candidate_ms"), F.col("base_ms"))
+    cv = lambda c: F.try_divide(F.stddev_samp(c), F.avg(c))
     overall = per_round.agg(
         F.count(F.lit(1)).alias("rounds"),
-        (1 - F.avg(F.col("candidate_ms") / F.col("base_ms"))).alias("gain"),
+        (1 - F.avg(ratio)).alias("gain"),
         cv("base_ms").alias("base_cv"),
         cv("candidate_ms").alias("candidate_cv"),
     )
-    worst = round_times(rounds, strata).agg(F.max(F.col("candidate_ms") / F.col("base_ms") - 1).alias("worst_stratum_regression"))
+    worst = round_times(rounds, strata).agg(F.max(ratio - 1).alias("worst_stratum_regression"))
     steady = (F.col("base_cv") < max_cv) & (F.col("candidate_cv") < max_cv)
     verdict = (
         F.when(~F.coalesce(steady, F.lit(False)), "unstable")

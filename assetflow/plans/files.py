@@ -218,7 +218,7 @@ def q_stream_sessions(spark, d):
 O_STREAM_SESSIONS = """SELECT * FROM (SELECT run, min(t) AS session_start_us, max(t) + 600000000 AS session_end_us, count(*) AS lines FROM (
   SELECT run, t, sum(opens) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM (
     SELECT run, t, CASE WHEN t - lag(t) OVER (PARTITION BY run ORDER BY t) < 600000000 THEN 0 ELSE 1 END AS opens FROM (SELECT user_id % 3 AS run, epoch_us(ts) AS t FROM events) e) o) x GROUP BY run, s) y
-WHERE session_end_us <= (SELECT max(epoch_ms(ts)) * 1000 - 60000000 FROM events)"""
+WHERE session_end_us - 1 <= (SELECT max(epoch_ms(ts)) * 1000 - 60000000 FROM events)"""
 
 
 def q_stream_alerts(spark, d):

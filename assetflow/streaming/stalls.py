@@ -9,20 +9,23 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def session_stream(lines: DataFrame, run: str = "run", ts: str = "ts", stall: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+def session_stream(lines: DataFrame, run: str = "run", ts: str = "ts", stall_seconds: int = 600, late: str = "1 minute") -> DataFrame:
     """Sessions of output per run; a session is emitted once the watermark passes its end.
 
-    ``ts`` may be TIMESTAMP_NTZ, which watermarks do not accept, so it is cast first.
+    Session windows merge when they touch, but silence of exactly the limit is a stall, so the
+    window gap is one microsecond shorter.  ``ts`` may be TIMESTAMP_NTZ, which watermarks do
+    not accept, so it is cast first.
     """
+    gap = f"{stall_seconds - 1} seconds 999999 microseconds"
     timed = lines.select(run, F.col(ts).cast("timestamp").alias(ts))
     return (
         timed.withWatermark(ts, late)
-        .groupBy(run, F.session_window(ts, stall).alias("w"))
+        .groupBy(run, F.session_window(ts, gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("lines"))
         .select(
             run,
             F.unix_micros("w.start").alias("session_start_us"),
-            F.unix_micros("w.end").alias("session_end_us"),
+            (F.unix_micros("w.end") + 1).alias("session_end_us"),
             "lines",
         )
     )
