@@ -42,7 +42,9 @@ def probe_headers(files: DataFrame, content: str = "content") -> DataFrame:
     )
     rest = [c for c in files.columns if c != content]
     staged = files.withColumn("_plain", F.coalesce(plain_png, F.lit(False)))
-    staged = staged.withColumn("_first", _parse(F.when(~F.col("_plain"), F.substring(data, 1, PREFIX))))
+    # in PNG the frame and EXIF chunks may follow the pixels, so those few are parsed whole at once
+    first = F.when(data.startswith(F.lit(PNG_SIGNATURE)), data).otherwise(F.substring(data, 1, PREFIX))
+    staged = staged.withColumn("_first", _parse(F.when(~F.col("_plain"), first)))
     again = ~F.col("_plain") & F.col("_first.width").isNull() & (F.length(data) > PREFIX)
     staged = staged.withColumn("_second", _parse(F.when(again, data)))
     facts = F.when(F.col("_plain"), png).otherwise(F.when(again, F.col("_second")).otherwise(F.col("_first")))
