@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from assetflow.functions.paths import companion_key, destination_path, is_companion, is_image, is_metadata
+from assetflow.operators.skew import lookup_join
 
 
 def classify(assets: DataFrame, include_metadata: bool = False) -> DataFrame:
@@ -35,7 +36,7 @@ def companion_join(assets: DataFrame) -> DataFrame:
     """Every image with the existing companion of the same stem, if there is one."""
     left = images(assets).withColumn("companion_key", companion_key(F.col("key")))
     index = companion_index(assets).withColumnRenamed("key", "companion_key")
-    return left.join(index, "companion_key", "left").select(
+    return lookup_join(left, index, "companion_key", "left").select(
         "rel",
         "companion_key",
         F.col("companion.rel").alias("companion_rel"),
@@ -46,13 +47,16 @@ def companion_join(assets: DataFrame) -> DataFrame:
 def orphan_companions(assets: DataFrame) -> DataFrame:
     """Companions that no image maps to."""
     targets = images(assets).select(companion_key(F.col("key")).alias("key"))
-    return companions(assets).join(targets, "key", "left_anti").select("rel", "key")
+    return lookup_join(companions(assets), targets.distinct(), "key", "left_anti").select("rel", "key")
 
 
 def conflict_keys(assets: DataFrame) -> DataFrame:
     """Distinct companion keys that an image would overwrite."""
-    targets = images(assets).select(companion_key(F.col("key")).alias("key"))
-    return companions(assets).select("key").distinct().join(targets, "key", "left_semi")
+    kinds = assets.filter(is_image(F.col("rel")) | is_companion(F.col("rel")))
+    image = is_image(F.col("rel"))
+    key = F.when(image, companion_key(F.col("key"))).otherwise(F.col("key"))
+    per_key = kinds.groupBy(key.alias("key")).agg(F.bool_or(image).alias("_image"), F.bool_or(~image).alias("_jxl"))
+    return per_key.filter("_image AND _jxl").select("key")
 
 
 def conflict_items(assets: DataFrame) -> DataFrame:
@@ -69,10 +73,9 @@ def conflict_items(assets: DataFrame) -> DataFrame:
         .withColumnRenamed("key", "companion_key")
     )
     action = F.when(F.col("c._regular"), "replace_existing_jxl_after_source_processing").otherwise("error")
+    wanted = images(assets).withColumn("companion_key", companion_key(F.col("key")))
     return (
-        images(assets)
-        .withColumn("companion_key", companion_key(F.col("key")))
-        .join(index, "companion_key")
+        lookup_join(wanted, index, "companion_key")
         .select("rel", "companion_key", F.col("c.rel").alias("jxl"), F.col("c.size").alias("jxl_bytes"), action.alias("action"))
     )
 
@@ -106,7 +109,7 @@ def conflict_summary(assets: DataFrame) -> DataFrame:
 def collisions(mapping: DataFrame, source: str = "source", key: str = "key") -> DataFrame:
     """Sources that share a key, one row each, beside the group's first source and its size.
 
-    The group is summarised by counts and a minimum, never collected, and its summary row is
+    The group is summarised by a count and a minimum, never collected, and its summary row is
     joined back, so a key shared by a third of all sources stays spread over the cluster.
     """
     groups = (
@@ -114,7 +117,7 @@ def collisions(mapping: DataFrame, source: str = "source", key: str = "key") ->
         .agg(F.count(F.lit(1)).alias("sources"), F.min(source).alias("first_source"))
         .filter("sources > 1")
     )
-    return mapping.join(groups, key).select(key, source, "first_source", "sources")
+    return lookup_join(mapping, groups, key).select(key, source, "first_source", "sources")
 
 
 def destination_collision(assets: DataFrame, extension: str = "jxl", include_metadata: bool = True, key=F.lower) -> DataFrame:

@@ -20,18 +20,22 @@ def merge_intervals(
     """Merge overlapping and touching intervals; backward ones are dropped.
 
     Output: keys, start, end, ``intervals`` (how many went in), ``busy_ns`` (their summed length).
-    Equal starts are folded before the first shuffle.  Within a slice a running maximum of the
-    end finds where an island begins; slices of one group exchange that maximum and an island
-    offset, then the islands that cross a slice edge are joined up.
+    Within a slice a running maximum of the end finds where an island begins; slices of one
+    group exchange that maximum and an island offset, then the islands that cross a slice edge
+    are joined up.  Where a group has to be cut, equal starts are folded first, so a busy instant
+    cannot fill a slice.
     """
-    valid = spans.filter(F.col(end) >= F.col(start))
-    folded = valid.groupBy(*keys, start).agg(
-        F.max(end).alias(end),
-        F.count(F.lit(1)).alias("intervals"),
-        F.sum(F.col(end) - F.col(start)).alias("busy_ns"),
-    )
-    sliced = slice_groups(folded, keys, [start], slice_rows)
-    local = Window.partitionBy(*sliced.by_slice).orderBy(start)
+    valid = spans.filter(F.col(end) >= F.col(start)).select(*keys, start, end)
+    each = valid.withColumns({"intervals": F.lit(1).cast("long"), "busy_ns": F.col(end) - F.col(start)})
+    sliced = slice_groups(each, keys, [start], slice_rows)
+    if sliced.cut:
+        folded = valid.groupBy(*keys, start).agg(
+            F.max(end).alias(end),
+            F.count(F.lit(1)).alias("intervals"),
+            F.sum(F.col(end) - F.col(start)).alias("busy_ns"),
+        )
+        sliced = slice_groups(folded, keys, [start], slice_rows)
+    local = Window.partitionBy(*sliced.by_slice).orderBy(start, end)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(end).over(before)
     rows = sliced.rows

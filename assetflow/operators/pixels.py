@@ -7,13 +7,14 @@ works on whole image rows and needs no shuffle at all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assetflow.functions.colour import spread
+from assetflow.operators.skew import is_small, lookup_join
 
 TOLERANCE = 3
 
@@ -50,12 +51,16 @@ def chroma_stats(histogram: DataFrame, tolerance: int = TOLERANCE, image: str =
     )
 
 
+def strong_pixels(pixels: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    return pixels.filter(spread(F.col("r"), F.col("g"), F.col("b")) > strong_threshold(tolerance))
+
+
 def dense_blocks(pixels: DataFrame, tolerance: int = TOLERANCE, image: str = "image_id") -> DataFrame:
     """Anchors (top left) of 3x3 blocks in which every pixel is strong.
 
     Only strong pixels travel; each votes for the nine anchors whose block covers it.
     """
-    strong = pixels.filter(spread(F.col("r"), F.col("g"), F.col("b")) > strong_threshold(tolerance))
+    strong = strong_pixels(pixels, tolerance)
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(3) for dx in range(3)])
     votes = strong.select(image, "y", "x", F.explode(offsets).alias("o")).select(
         image, (F.col("y") - F.col("o.dy")).alias("block_y"), (F.col("x") - F.col("o.dx")).alias("block_x")
@@ -71,7 +76,7 @@ def grayscale_classify(pixels: DataFrame, tolerance: int = TOLERANCE, image: str
     stats = chroma_stats(chroma_histogram(pixels, image), tolerance, image)
     broad = (F.col("p95") > tolerance) | (F.col("mean") > tolerance)
     calm = stats.filter(~broad).select(image)
-    dense = dense_blocks(pixels.join(calm, image, "left_semi"), tolerance, image).select(image).distinct()
+    dense = dense_blocks(lookup_join(strong_pixels(pixels, tolerance), calm, image, "left_semi"), tolerance, image).select(image).distinct()
     reason = (
         F.when(broad, "broad")
         .when(F.col("_dense"), "dense")
@@ -155,12 +160,22 @@ def image_sizes(pixels: DataFrame, image: str = "image_id") -> DataFrame:
     return pixels.groupBy(image).agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
 
 
+def with_sizes(pixels: DataFrame, sizes: DataFrame, image: str = "image_id") -> DataFrame:
+    """Put each image's sizes on its pixels, even if one image has a third of them."""
+    return lookup_join(pixels, sizes, image)
+
+
 def pixels_to_images(pixels: DataFrame, image: str = "image_id", max_pixels: int = 24_000_000) -> DataFrame:
     """Gather long-form pixels into image rows (BINARY, three channels).
 
-    Scanlines are built first, then joined up.  An image is bounded by the output safety limit;
-    a larger one raises rather than fill a task.
+    Scanlines are built first, then joined up.  An image is bounded by the output safety limit:
+    unless the whole input is small, sizes are counted before anything is gathered, and a
+    larger image raises.
     """
+    if not is_small(pixels):
+        counts = pixels.groupBy(image).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_pixels)
+        if counts.limit(1).count():
+            raise ValueError("image exceeds the pixel limit")
     two = lambda c: F.lpad(F.hex(c), 2, "0")
     line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "hex"))), lambda p: p["hex"]), "")
     lines = (
@@ -175,19 +190,42 @@ def pixels_to_images(pixels: DataFrame, image: str = "image_id", max_pixels: int
     return sized.select(image, "height", "width", F.lit(3).alias("channels"), checked.alias("data"))
 
 
+def pixel_frames(blocks: Iterable[tuple], image: str, limit: int = 500_000) -> Iterator[pd.DataFrame]:
+    """Blocks (image, top, left, array) as frames of long-form pixels, each around ``limit`` rows."""
+    held: list[tuple] = []
+    size = 0
+
+    def frame() -> pd.DataFrame:
+        shapes = [a.shape for *_, a in held]
+        grids = [np.mgrid[int(top) : int(top) + s[0], int(left) : int(left) + s[1]].reshape(2, -1) for (_, top, left, _), s in zip(held, shapes)]
+        ys, xs = np.concatenate(grids, axis=1)
+        # one-channel blocks repeat their channel; an alpha channel is left out
+        rgb = np.concatenate([(a[:, :, :3] if a.shape[2] >= 3 else a[:, :, [0, 0, 0]]).reshape(-1, 3) for *_, a in held]).astype(np.int64)
+        keys = np.repeat(np.array([h[0] for h in held]), [s[0] * s[1] for s in shapes])
+        return pd.DataFrame({image: keys, "y": ys, "x": xs, "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2]})
+
+    for block in blocks:
+        held.append(block)
+        size += block[3].shape[0] * block[3].shape[1]
+        if size >= limit:
+            yield frame()
+            held, size = [], 0
+    if held:
+        yield frame()
+
+
 def image_pixels(images: DataFrame, image: str = "image_id") -> DataFrame:
     """Image rows (three channels, row-major RGB) to long-form pixels, one task per input split."""
 
+    def strips(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for key, h, w, c, d in zip(pdf[image], pdf["height"], pdf["width"], pdf["channels"], pdf["data"]):
+            array = decode_array(d, h, w, c)
+            for top in range(0, int(h), 256):
+                yield key, top, 0, array[top : top + 256]
+
     def spread_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, h, w, c, d in zip(pdf[image], pdf["height"], pdf["width"], pdf["channels"], pdf["data"]):
-                array = decode_array(d, h, w, c)
-                for top in range(0, int(h), 256):  # a strip at a time keeps Arrow batches small
-                    strip = array[top : top + 256]
-                    ys, xs = np.mgrid[top : top + strip.shape[0], 0 : int(w)]
-                    rgb = strip.reshape(-1, int(c)).astype(np.int64)
-                    g, b = (1, 2) if c >= 3 else (0, 0)
-                    yield pd.DataFrame({image: key, "y": ys.ravel(), "x": xs.ravel(), "r": rgb[:, 0], "g": rgb[:, g], "b": rgb[:, b]})
+            yield from pixel_frames(strips(pdf), image)
 
     kind = images.schema[image].dataType.simpleString()
     return images.select(image, "height", "width", "channels", "data").mapInPandas(

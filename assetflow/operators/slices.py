@@ -4,8 +4,8 @@ A window over a group runs in one task, so a group that holds a third of the row
 too.  ``slice_groups`` cuts such groups into contiguous ranges of the ordering columns.
 Operators then work per slice and carry a small summary from slice to slice.
 
-Sizes are checked, not assumed: groups are counted first (a map-side combined aggregate);
-only groups above the row budget are cut.  The budget grows with the table, so at most
+Sizes are checked, not assumed: unless Catalyst's estimate of the input is small, groups are
+counted first (a map-side combined aggregate) and only groups above the row budget are cut.  The budget grows with the table, so at most
 ``MAX_CUTS`` groups can exceed it and all cuts together stay below ``2 * MAX_CUTS`` rows -
 the bound that makes them safe to collect and to broadcast.  Cuts come from a sample, which
 only decides where a slice begins; every row is kept.
@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from assetflow.operators.skew import is_small
+
 SLICE_ROWS = 1_000_000
 MAX_CUTS = 4096
 _SAMPLES_PER_CUT = 64
@@ -40,6 +42,8 @@ class Sliced:
 
 def slice_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> Sliced:
     keys = tuple(keys)
+    if slice_rows >= SLICE_ROWS and is_small(df):
+        return Sliced(df.withColumn(SLICE, F.lit(0)), keys, False)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     if not total or largest <= slice_rows:

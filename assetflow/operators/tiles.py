@@ -7,13 +7,13 @@ per tile row, at most tile height x image width), and an image is the strips in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assetflow.operators.pixels import decode_array
+from assetflow.operators.pixels import decode_array, pixel_frames
 
 BATCH_SIZES = (1, 2, 4, 8)
 Model = Callable[[np.ndarray], np.ndarray]
@@ -39,27 +39,36 @@ def padded(array: np.ndarray, tile: int, overlap: int) -> np.ndarray:
     return np.pad(array, ((overlap, bottom), (overlap, right), (0, 0)), mode="edge" if small else "reflect")
 
 
+def emit(rows: Iterable[tuple], columns: list[str], limit: int = 32 << 20) -> Iterator[pd.DataFrame]:
+    """Frames of rows whose last field is bytes, each up to about ``limit`` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= limit:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def extract_tiles(images: DataFrame, tile: int, overlap: int, image: str = "image_id") -> DataFrame:
     """Image rows to tile rows; every tile has the edge ``tile + 2 * overlap``."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [image, "tile_y", "tile_x", "core_height", "core_width", "channels", "data"]
+
+    def tiles_of(pdf: pd.DataFrame) -> Iterator[tuple]:
         edge = tile + 2 * overlap
+        for key, h, w, c, d in zip(pdf[image], pdf["height"], pdf["width"], pdf["channels"], pdf["data"]):
+            whole = padded(decode_array(d, h, w, c), tile, overlap)
+            for y in range(0, int(h), tile):
+                for x in range(0, int(w), tile):
+                    window = np.ascontiguousarray(whole[y : y + edge, x : x + edge])
+                    yield key, y, x, min(tile, int(h) - y), min(tile, int(w) - x), c, window.tobytes()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, h, w, c, d in zip(pdf[image], pdf["height"], pdf["width"], pdf["channels"], pdf["data"]):
-                whole = padded(decode_array(d, h, w, c), tile, overlap)
-                for y in range(0, int(h), tile):
-                    xs = range(0, int(w), tile)
-                    yield pd.DataFrame(
-                        {
-                            image: key,
-                            "tile_y": y,
-                            "tile_x": list(xs),
-                            "core_height": min(tile, int(h) - y),
-                            "core_width": [min(tile, int(w) - x) for x in xs],
-                            "channels": c,
-                            "data": [np.ascontiguousarray(whole[y : y + edge, x : x + edge]).tobytes() for x in xs],
-                        }
-                    )
+            yield from emit(tiles_of(pdf), columns)
 
     kind = images.schema[image].dataType.simpleString()
     return images.select(image, "height", "width", "channels", "data").mapInPandas(
@@ -92,29 +101,26 @@ def batch_infer(
         raise ValueError(f"batch must be one of {BATCH_SIZES}")
     edge = tile + 2 * overlap
 
+    columns = [image, "y", "x", "height", "width", "channels", "data"]
+
+    def cores_of(pdf: pd.DataFrame, model: Model) -> Iterator[tuple]:
+        for channels, same in pdf.groupby("channels", sort=False):
+            rows = list(zip(same[image], same["tile_y"], same["tile_x"], same["core_height"], same["core_width"], same["data"]))
+            for at in range(0, len(rows), batch):
+                group = rows[at : at + batch]
+                stack = np.stack([decode_array(data, edge, edge, channels) for *_, data in group])
+                result = model(stack.transpose(0, 3, 1, 2).astype(np.float32) / np.float32(255))
+                cores = quantised_cores(result, scale, tile, overlap, grayscale_output)
+                for core, (key, y, x, h, w, _) in zip(cores, group):
+                    h, w = h * scale, w * scale
+                    yield key, y * scale, x * scale, h, w, core.shape[2], np.ascontiguousarray(core[:h, :w]).tobytes()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for pdf in batches:
             if model is None:
                 model = make_model()
-            for _, same in pdf.groupby("channels", sort=False):
-                for at in range(0, len(same), batch):
-                    group = same.iloc[at : at + batch]
-                    stack = np.stack([decode_array(d, edge, edge, c) for d, c in zip(group["data"], group["channels"])])
-                    result = model(stack.transpose(0, 3, 1, 2).astype(np.float32) / np.float32(255))
-                    cores = quantised_cores(result, scale, tile, overlap, grayscale_output)
-                    sizes = zip(cores, group["core_height"] * scale, group["core_width"] * scale)
-                    yield pd.DataFrame(
-                        {
-                            image: group[image].to_numpy(),
-                            "y": group["tile_y"].to_numpy() * scale,
-                            "x": group["tile_x"].to_numpy() * scale,
-                            "height": group["core_height"].to_numpy() * scale,
-                            "width": group["core_width"].to_numpy() * scale,
-                            "channels": cores.shape[3],
-                            "data": [np.ascontiguousarray(core[:h, :w]).tobytes() for core, h, w in sizes],
-                        }
-                    )
+            yield from emit(cores_of(pdf, model), columns)
 
     kind = tiles.schema[image].dataType.simpleString()
     return tiles.mapInPandas(run, f"{image} {kind}, y long, x long, height long, width long, channels int, data binary")
@@ -149,7 +155,11 @@ def assemble_strips(cores: DataFrame, image: str = "image_id") -> DataFrame:
 
 
 def assemble_images(strips: DataFrame, image: str = "image_id", max_pixels: int = 24_000_000) -> DataFrame:
-    """Strips in order are the image, since samples are row-major; larger images stay strips."""
+    """Strips in order are the image, since samples are row-major.
+
+    The source image was one cell of a row, so a group holds at most scale squared times that;
+    images above ``max_pixels`` raise and should stay strips.
+    """
     joined = F.aggregate(F.sort_array("parts"), F.lit(b""), lambda data, part: F.concat(data, part["data"]))
     grouped = strips.groupBy(image).agg(
         F.sum("height").alias("height"), F.max("width").alias("width"), F.max("channels").alias("channels"), F.collect_list(F.struct("y", "data")).alias("parts")
@@ -164,11 +174,8 @@ def core_pixels(cores: DataFrame, image: str = "image_id") -> DataFrame:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, y, x, h, w, c, d in zip(pdf[image], pdf["y"], pdf["x"], pdf["height"], pdf["width"], pdf["channels"], pdf["data"]):
-                samples = decode_array(d, h, w, c).reshape(-1, int(c)).astype(np.int64)
-                ys, xs = np.mgrid[int(y) : int(y) + int(h), int(x) : int(x) + int(w)]
-                g, b = (1, 2) if c >= 3 else (0, 0)
-                yield pd.DataFrame({image: key, "y": ys.ravel(), "x": xs.ravel(), "r": samples[:, 0], "g": samples[:, g], "b": samples[:, b]})
+            cells = zip(pdf[image], pdf["y"], pdf["x"], pdf["height"], pdf["width"], pdf["channels"], pdf["data"])
+            yield from pixel_frames(((key, y, x, decode_array(d, h, w, c)) for key, y, x, h, w, c, d in cells), image)
 
     kind = cores.schema[image].dataType.simpleString()
     return cores.mapInPandas(place, f"{image} {kind}, y long, x long, r long, g long, b long")

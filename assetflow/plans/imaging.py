@@ -123,7 +123,7 @@ def resized(spark, d):
     p = spark_view(spark, d, "pixels")
     out = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) * 5 / 8)).cast("long")
     sizes = px.image_sizes(p).withColumns({"out_width": out("width"), "out_height": out("height")})
-    return p.join(sizes, "image_id")
+    return px.with_sizes(p, sizes)
 
 
 def q_resample(spark, d):

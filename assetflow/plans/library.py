@@ -609,9 +609,9 @@ O_FINGERPRINT = sql(
 )
 
 SENSITIVE = (
-    ("e-mail", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]{2,}"),
-    ("ip address", r"\d{1,3}(\.\d{1,3}){3}"),
-    ("credential", r"(?i)(password|secret|token|api[_-]?key)\s*[=:]"),
+    ("e-mail", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]{2,}", "@"),
+    ("ip address", r"\d{1,3}(\.\d{1,3}){3}", "."),
+    ("credential", r"(?i)(password|secret|token|api[_-]?key)\s*[=:]", "=", ":"),
     ("license line", r"(?i)licen[sc]e"),
     *scans.PATTERNS,
 )
@@ -624,7 +624,7 @@ def q_sensitive(spark, d):
 
 
 def _sensitive_sql() -> str:
-    tests = ", ".join(f"CASE WHEN regexp_matches(text, '{regex}') THEN '{label}' END" for label, regex in SENSITIVE)
+    tests = ", ".join(f"CASE WHEN regexp_matches(text, '{regex}') THEN '{label}' END" for label, regex, *_ in SENSITIVE)
     return f"""SELECT origin, id, finding FROM (SELECT origin, id, unnest([{tests}]) AS finding FROM (
   SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations) t) f WHERE finding IS NOT NULL"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assetflow.functions import checks, timing
 from assetflow.operators import attest, gates, intervals, reconcile, stalls
+from assetflow.operators.skew import lookup_join
 from assetflow.plans.library import IMAGE, assets, sql
 from assetflow.plans.views import spark_view, table
 
@@ -113,7 +114,7 @@ def q_formatted(spark, d):
     """Offsets from the run start and queue waits of every span."""
     spans = spark_view(spark, d, "spans")
     starts = spans.groupBy("run_id").agg(F.min("start_ns").alias("first_ns"))
-    shifted = spans.join(starts, "run_id").withColumn("run_start_ns", F.col("first_ns") + 3_600_000_000_000)
+    shifted = lookup_join(spans, starts, "run_id").withColumn("run_start_ns", F.col("first_ns") + 3_600_000_000_000)
     i = timing.format_interval(F.col("start_ns"), F.col("end_ns"), F.col("run_start_ns"))
     return shifted.withColumn("i", i).select(
         "run_id",

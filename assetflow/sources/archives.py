@@ -14,6 +14,7 @@ from assetflow.functions.paths import unsafe_relative
 
 MEMBER = "archive string, member string, size long, sha256 string"
 _BLOCK = 1 << 20
+_ROWS = 5000
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +26,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def archive_members(archives: DataFrame) -> DataFrame:
     """One row per file in each archive (``archive``, ``content``); unsafe names are marked."""
 
+    columns = ["archive", "member", "size", "sha256"]
+
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for pdf in batches:
             for archive, content in zip(pdf["archive"], pdf["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as bundle:
@@ -36,7 +40,11 @@ def archive_members(archives: DataFrame) -> DataFrame:
                         with bundle.open(info) as handle:
                             while block := handle.read(_BLOCK):
                                 digest.update(block)
-                        row = (archive, info.filename, info.file_size, digest.hexdigest())
-                        yield pd.DataFrame([row], columns=["archive", "member", "size", "sha256"])
+                        rows.append((archive, info.filename, info.file_size, digest.hexdigest()))
+                if len(rows) >= _ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return archives.select("archive", "content").mapInPandas(members, MEMBER).withColumn("unsafe", unsafe_relative(F.col("member")))
