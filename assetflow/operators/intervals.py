@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assetflow.functions.timing import NANOS
-from assetflow.operators.slices import SLICE, SLICE_ROWS, carried, join_carry, slice_groups
+from assetflow.operators.slices import SLICE, carried, join_carry, slice_groups
 
 
 def merge_intervals(
@@ -15,7 +15,7 @@ def merge_intervals(
     keys: Sequence[str],
     start: str = "start_ns",
     end: str = "end_ns",
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Merge overlapping and touching intervals; backward ones are dropped.
 
@@ -64,7 +64,7 @@ def _fold(rows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFra
     )
 
 
-def interval_union(spans: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def interval_union(spans: DataFrame, keys: Sequence[str], slice_rows: int | None = None) -> DataFrame:
     """Per group: interval count, summed length and merged length in nanoseconds."""
     merged = merge_intervals(spans, keys, slice_rows=slice_rows)
     return merged.groupBy(*keys).agg(
@@ -78,7 +78,7 @@ def _percent(union_ns, wall_ns):
     return F.when(wall_ns > 0, union_ns / wall_ns * 100).otherwise(F.lit(0.0))
 
 
-def interval_summary(spans: DataFrame, walls: DataFrame, run: str = "run_id", name: str = "name", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def interval_summary(spans: DataFrame, walls: DataFrame, run: str = "run_id", name: str = "name", slice_rows: int | None = None) -> DataFrame:
     """Per run and span name: count, cumulative and merged seconds, share of the wall time.
 
     ``walls`` has one row per run with ``wall_ns``.
@@ -103,7 +103,7 @@ def interval_relationship(
     ),
     run: str = "run_id",
     name: str = "name",
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Overlap and busy union of span pairs per run.
 

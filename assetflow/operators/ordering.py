@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assetflow.operators.slices import SLICE, SLICE_ROWS, number_rows, slice_groups
+from assetflow.operators.slices import SLICE, number_rows, slice_groups
 
 
-def page_numbering(images: DataFrame, key: str = "key", tie: str = "rel", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def page_numbering(images: DataFrame, key: str = "key", tie: str = "rel", slice_rows: int | None = None) -> DataFrame:
     """Index from 1 in key order, with the total beside it."""
     return number_rows(images, [], [key, tie], into="page_index", total="total", slice_rows=slice_rows)
 
 
-def model_switches(routed: DataFrame, key: str = "key", tie: str = "rel", variant: str = "variant", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def model_switches(routed: DataFrame, key: str = "key", tie: str = "rel", variant: str = "variant", slice_rows: int | None = None) -> DataFrame:
     """How often the variant changes from one row to the next in key order (one row).
 
     Slices count their own switches; only first and last variants meet across slices.

@@ -40,10 +40,11 @@ class Sliced:
         return [*self.keys, SLICE]
 
 
-def slice_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> Sliced:
+def slice_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int | None = None) -> Sliced:
     keys = tuple(keys)
-    if slice_rows >= SLICE_ROWS and is_small(df):
+    if slice_rows is None and is_small(df):
         return Sliced(df.withColumn(SLICE, F.lit(0)), keys, False)
+    slice_rows = slice_rows or SLICE_ROWS
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     if not total or largest <= slice_rows:
@@ -139,7 +140,7 @@ def number_rows(
     order: Sequence[str],
     into: str = "row_index",
     total: str | None = None,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Number rows from 1 in order within each group, however large the group is."""
     sliced = slice_groups(df, keys, order, slice_rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assetflow.operators.intervals import merge_intervals
-from assetflow.operators.slices import SLICE_ROWS, carried, join_carry, number_rows, slice_groups
+from assetflow.operators.slices import carried, join_carry, number_rows, slice_groups
 
 
 def stall_gaps(
@@ -14,7 +14,7 @@ def stall_gaps(
     ts: str = "ts_us",
     stall_seconds: int = 600,
     max_restarts: int = 2,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Gaps of at least ``stall_seconds`` between lines of a run, numbered as attempts.
 
@@ -43,7 +43,7 @@ def stall_gaps(
 
 
 def stall_sessions(
-    lines: DataFrame, run: str = "run", ts: str = "ts_us", stall_seconds: int = 600, slice_rows: int = SLICE_ROWS
+    lines: DataFrame, run: str = "run", ts: str = "ts_us", stall_seconds: int = 600, slice_rows: int | None = None
 ) -> DataFrame:
     """Stretches of output without a stall; equal to session windows of that gap.
 

@@ -15,7 +15,6 @@ from assetflow.functions.resolution import (
 )
 from assetflow.operators.companions import conflict_summary, images
 from assetflow.operators.ordering import model_switches
-from assetflow.operators.slices import SLICE_ROWS
 from assetflow.policy import PlanPolicy
 
 
@@ -54,7 +53,7 @@ def workload_counts(planned: DataFrame, policy: PlanPolicy = PlanPolicy()) -> Da
     return planned.agg(*[F.count_if(test).alias(name) for name, test in counters.items()])
 
 
-def workload_report(assets: DataFrame, scales: Sequence[int] = (4,), policy: PlanPolicy = PlanPolicy(), slice_rows: int = SLICE_ROWS) -> DataFrame:
+def workload_report(assets: DataFrame, scales: Sequence[int] = (4,), policy: PlanPolicy = PlanPolicy(), slice_rows: int | None = None) -> DataFrame:
     """One row of inventory, plan, route and switch counters."""
     planned = planned_images(assets, scales, policy)
     routed = planned.filter(F.col("variant").isNotNull())
