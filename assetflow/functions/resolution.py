@@ -44,6 +44,12 @@ def native_scale(short_edge: Column, target: int, scales: Sequence[int] | Column
     )
 
 
+def largest_scale(scales: Sequence[int] | Column, max_factor: int) -> Column:
+    if isinstance(scales, Column):
+        return F.array_max(F.filter(scales, lambda s: (s > 1) & (s <= max_factor))).cast("long")
+    return F.lit(max((s for s in scales if 1 < s <= max_factor), default=None)).cast("long")
+
+
 def add_resolution_plan(
     df: DataFrame,
     scales: Sequence[int] | Column,
@@ -51,61 +57,63 @@ def add_resolution_plan(
     width: str = "display_width",
     height: str = "display_height",
     frames: str | None = None,
-    into: str = "plan",
+    sides: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``plan: struct<upscale, native_scale, output_width, output_height, reason>`` and ``plan_error``.
+    """Add ``upscale``, ``plan: struct<upscale, native_scale, output_width, output_height, reason>`` and ``plan_error``.
 
-    ``plan`` is NULL where ``plan_error`` is set.
+    ``plan`` is NULL where ``plan_error`` is set.  Filter on the column ``upscale``: it is a short
+    expression of the two edges, while a filter on a field of ``plan`` makes Catalyst repeat the
+    whole plan inside the condition, in methods too long for the JIT.  ``sides`` names two columns
+    with the same pair of lengths in any order (the undisplayed ones), for the same reason.
     """
     p = policy
     w, h = F.col(width).cast("long"), F.col(height).cast("long")
-    short, long = F.least(w, h), F.greatest(w, h)
-    staged = df.withColumns({"_short": short, "_long": long})
-    staged = staged.withColumn("_scale", native_scale(F.col("_short"), p.target_short_edge, scales, p.max_factor))
-    s, target = F.col("_scale").cast("long"), F.lit(p.target_short_edge).cast("long")
-    below = F.col("_short") * s < target
-    scaled = lambda side, other: F.greatest(F.lit(1).cast("long"), F.bround(F.try_divide(side * target, other)).cast("long"))
+    one, other = (F.col(c).cast("long") for c in sides or (width, height))
+    target = F.lit(p.target_short_edge).cast("long")
+    staged = df.withColumns({"_short": F.least(one, other), "_long": F.greatest(one, other)})
+    short, long = F.col("_short"), F.col("_long")
+    staged = staged.withColumn("_scale", native_scale(short, p.target_short_edge, scales, p.max_factor))
+    scale = F.col("_scale").cast("long")
+    # a target out of reach is out of reach of the largest scale, and otherwise the output does
+    # not depend on the scale
+    top = largest_scale(scales, p.max_factor)
+    below = short * top < target
+    fitted = F.greatest(F.lit(1).cast("long"), F.bround(F.try_divide(long * target, short)).cast("long"))
     staged = staged.withColumns(
         {
-            "_below": below,
-            "_ow": F.when(below, w * s).when(w <= h, target).otherwise(scaled(w, h)),
-            "_oh": F.when(below, h * s).when(w <= h, scaled(h, w)).otherwise(target),
+            "_out_short": F.when(below, short * top).otherwise(target),
+            "_out_long": F.when(below, long * top).otherwise(fitted),
         }
     )
-    keep = lambda reason: _plan(F.lit(False), F.lit(1), w, h, F.lit(reason))
-    over = (F.greatest("_ow", "_oh") > p.max_output_long_edge) | (
-        F.col("_ow") * F.col("_oh") > p.max_output_megapixels * 1_000_000
-    )
-    reason = F.when(
-        F.col("_below"), F.concat(F.lit("maximum "), F.col("_scale").cast("string"), F.lit("x remains below target"))
-    ).otherwise(F.concat(F.col("_scale").cast("string"), F.lit("x then resize to target short edge")))
-    sr = _plan(F.lit(True), F.col("_scale"), F.col("_ow"), F.col("_oh"), reason)
-    multi = F.lit(False) if frames is None else F.coalesce(F.col(frames) != 1, F.lit(False))
-    no_dims = ~F.coalesce((w >= 1) & (h >= 1), F.lit(False))
-    needs_scale = (F.col("_short") < p.target_short_edge) & (F.col("_long") <= p.max_long_edge)
+    out_short, out_long = F.col("_out_short"), F.col("_out_long")
+    within = (out_long <= p.max_output_long_edge) & (out_long * out_short <= p.max_output_megapixels * 1_000_000)
+    single = F.lit(True) if frames is None else F.coalesce(F.col(frames) == 1, F.lit(True))
+    wanted = (short >= 1) & (short < p.target_short_edge) & (long <= p.max_long_edge)
+    staged = staged.withColumn("upscale", single & F.coalesce(wanted & within & top.isNotNull(), F.lit(False)))
+    upscale = F.col("upscale")
     error = (
-        F.when(multi, F.lit("animated or multi-page image"))
-        .when(no_dims, F.lit("image dimensions must be positive"))
-        .when(needs_scale & F.col("_scale").isNull(), F.lit("no supported upscale factor is available"))
+        F.when(~single, F.lit("animated or multi-page image"))
+        .when(~F.coalesce(short >= 1, F.lit(False)), F.lit("image dimensions must be positive"))
+        .when(wanted & top.isNull(), F.lit("no supported upscale factor is available"))
     )
-    plan = (
-        F.when(error.isNotNull(), F.lit(None))
-        .when(F.col("_short") >= p.target_short_edge, keep(REASON_TARGET_MET))
-        .when(F.col("_long") > p.max_long_edge, keep(REASON_LONG_EDGE))
-        .when(over, keep(REASON_OUTPUT_LIMIT))
-        .otherwise(sr)
+    name = scale.cast("string")
+    reason = (
+        F.when(upscale & below, F.concat(F.lit("maximum "), name, F.lit("x remains below target")))
+        .when(upscale, F.concat(name, F.lit("x then resize to target short edge")))
+        .when(short >= target, REASON_TARGET_MET)
+        .when(long > p.max_long_edge, REASON_LONG_EDGE)
+        .otherwise(REASON_OUTPUT_LIMIT)
     )
-    return staged.withColumns({into: plan, f"{into}_error": error}).drop("_short", "_long", "_scale", "_below", "_ow", "_oh")
-
-
-def _plan(upscale: Column, scale: Column, width: Column, height: Column, reason: Column) -> Column:
-    return F.struct(
+    plan = F.struct(
         upscale.alias("upscale"),
-        scale.cast("int").alias("native_scale"),
-        width.alias("output_width"),
-        height.alias("output_height"),
+        F.when(upscale, scale).otherwise(1).cast("int").alias("native_scale"),
+        F.when(~upscale, w).when(w <= h, out_short).otherwise(out_long).alias("output_width"),
+        F.when(~upscale, h).when(w <= h, out_long).otherwise(out_short).alias("output_height"),
         reason.alias("reason"),
     )
+    staged = staged.withColumn("plan_error", error)
+    staged = staged.withColumn("plan", F.when(F.col("plan_error").isNull(), plan))
+    return staged.drop("_short", "_long", "_scale", "_out_short", "_out_long")
 
 
 def route_variant(short_edge: Column, threshold: int = 1000) -> Column:

@@ -19,15 +19,15 @@ from assetflow.policy import PlanPolicy
 
 
 def planned_images(assets: DataFrame, scales: Sequence[int], policy: PlanPolicy = PlanPolicy()) -> DataFrame:
-    """Images with display size, ``plan``, ``plan_error``, ``category``, ``short_edge`` and ``variant``."""
+    """Images with display size, ``upscale``, ``plan``, ``plan_error``, ``category``, ``short_edge`` and ``variant``."""
     df = add_display_dimensions(images(assets))
-    df = add_resolution_plan(df, scales, policy, frames="n_frames")
-    short = F.least("display_width", "display_height")
+    df = add_resolution_plan(df, scales, policy, frames="n_frames", sides=("width", "height"))
+    short = F.least("width", "height").cast("long")
     return df.withColumns(
         {
             "short_edge": short,
             "category": workload_category(F.col("plan")),
-            "variant": F.when(F.col("plan.upscale"), route_variant(short, policy.sharper_min_short_edge)),
+            "variant": F.when(F.col("upscale"), route_variant(short, policy.sharper_min_short_edge)),
         }
     )
 
@@ -56,7 +56,7 @@ def workload_counts(planned: DataFrame, policy: PlanPolicy = PlanPolicy()) -> Da
 def workload_report(assets: DataFrame, scales: Sequence[int] = (4,), policy: PlanPolicy = PlanPolicy(), slice_rows: int | None = None) -> DataFrame:
     """One row of inventory, plan, route and switch counters."""
     planned = planned_images(assets, scales, policy)
-    routed = planned.filter(F.col("variant").isNotNull())
+    routed = planned.filter("upscale")
     switches = model_switches(routed, slice_rows=slice_rows).withColumnRenamed("switches", "real_hat_model_switches")
     # three one-row results side by side
     return (

@@ -138,7 +138,7 @@ O_ROUTE = sql(
 
 def q_model_lookup(spark, d):
     """SR pages with the checkpoint they need; the model table is a handful of fixed rows."""
-    pages = planned(spark, d).filter("variant IS NOT NULL").select("rel", "variant", F.col("plan.native_scale").alias("native_scale"))
+    pages = planned(spark, d).filter("upscale").select("rel", "variant", F.col("plan.native_scale").alias("native_scale"))
     return models.model_lookup(pages, models.model_table(spark, "real-hat-auto")).select("rel", "variant", "model_file", "model_label")
 
 
@@ -151,7 +151,7 @@ O_MODEL = sql(
 
 
 def q_tile_choice(spark, d):
-    df = planned(spark, d).filter("variant IS NOT NULL")
+    df = planned(spark, d).filter("upscale")
     best = resolution.choose_tile(F.col("display_width"), F.col("display_height"), POLICY.tile_candidates, POLICY.tile_overlap)
     return df.withColumn("best", best).select("rel", *[F.col(f"best.{c}").cast("long").alias(c) for c in ("tile", "tiles_x", "tiles_y", "tile_count", "expanded_edge", "work")])
 
@@ -169,7 +169,7 @@ FROM (SELECT rel, t, CAST(ceil(dw / t) AS BIGINT) AS tx, CAST(ceil(dh / t) AS BI
 def q_tile_grid(spark, d):
     from assetflow.operators.tiles import tile_grid
 
-    df = planned(spark, d).filter("variant IS NOT NULL")
+    df = planned(spark, d).filter("upscale")
     best = resolution.choose_tile(F.col("display_width"), F.col("display_height"), POLICY.tile_candidates, POLICY.tile_overlap)
     df = df.select("rel", "display_width", "display_height", best["tile"].cast("long").alias("tile"))
     return tile_grid(df, "display_width", "display_height", F.col("tile")).select(
@@ -191,7 +191,7 @@ FROM (SELECT *, unnest(range(0, dw, t)) AS x FROM (SELECT *, unnest(range(0, dh,
 
 
 def q_model_switches(spark, d):
-    return ordering.model_switches(planned(spark, d).filter("variant IS NOT NULL"))
+    return ordering.model_switches(planned(spark, d).filter("upscale"))
 
 
 O_SWITCHES = sql(["assets"], f"SELECT CAST({SWITCHES} AS BIGINT) AS switches", [PLANNED_X4, ROUTED])
@@ -412,7 +412,7 @@ FROM e LEFT JOIN f ON e.doc_id = f.doc_id"""
 
 def q_policy_gate(spark, d):
     df = planned(spark, d, (2, 4)).filter("plan_error IS NULL")
-    up, rel = F.col("plan.upscale"), F.col("rel")
+    up, rel = F.col("upscale"), F.col("rel")
     refusals = resolution.replace_refusals(
         upscale=up, path=rel, has_metadata=F.col("has_metadata"), has_alpha=F.col("has_alpha"), bit_depth=F.col("bit_depth")
     )
@@ -595,7 +595,7 @@ def q_fingerprint(spark, d):
         "mtime_ns",
         F.col("sha256").alias("source_sha256"),
         F.lit("/data/library").alias("source_root"),
-        model_or_transcode(F.col("plan.upscale"), model).alias("model_sha256"),
+        model_or_transcode(F.col("upscale"), model).alias("model_sha256"),
         config_signature({"target_short_edge": POLICY.target_short_edge, "scales": [2, 4]}).alias("pipeline_signature"),
     )
 
