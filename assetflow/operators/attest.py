@@ -56,9 +56,10 @@ def broken_rules(df: DataFrame, check: str, subject: str | Column, rules: Sequen
 
     A rule is the condition that must hold; NULL counts as broken.
     """
-    codes = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for ok, code in rules]))
+    codes = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for ok, code in rules])
     subject = F.col(subject) if isinstance(subject, str) else subject
-    return df.select(F.lit(check).alias("check_name"), subject.cast("string").alias("subject"), F.explode(codes).alias("detail"))
+    each = df.select(F.lit(check).alias("check_name"), subject.cast("string").alias("subject"), F.explode(codes).alias("detail"))
+    return each.filter("detail IS NOT NULL")
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -239,8 +240,8 @@ def span_violations(spans: DataFrame, required: Collection[str], by: str = "sour
     broken = spans.select(by, "name", code.alias("violation")).filter("violation IS NOT NULL")
     names = sorted(required)
     seen = spans.groupBy(by).agg(*[F.count_if(F.col("name") == n).alias(f"_{i}") for i, n in enumerate(names)])
-    absent = F.array_compact(F.array(*[F.when(F.col(f"_{i}") == 0, F.lit(n)) for i, n in enumerate(names)]))
-    missing = seen.select(by, F.explode(absent).alias("name"), F.lit("missing_span").alias("violation"))
+    absent = F.array(*[F.when(F.col(f"_{i}") == 0, F.lit(n)) for i, n in enumerate(names)])
+    missing = seen.select(by, F.explode(absent).alias("name"), F.lit("missing_span").alias("violation")).filter("name IS NOT NULL")
     return broken.unionByName(missing)
 
 

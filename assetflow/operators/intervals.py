@@ -117,7 +117,8 @@ def interval_relationship(
     wanted = sorted({span for _, _, span in sides})
     fanned = (
         spans.filter(F.col(name).isin(*wanted))
-        .select(run, "start_ns", "end_ns", F.explode(F.array_compact(tagged)).alias("t"))
+        .select(run, "start_ns", "end_ns", F.explode(tagged).alias("t"))
+        .filter("t IS NOT NULL")
         .select(run, "start_ns", "end_ns", "t.relationship", "t.side")
     )
     union = interval_union(fanned, [run, "relationship", "side"], slice_rows)

@@ -19,25 +19,23 @@ def set_reconcile(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame
 def fact_drift(expected: DataFrame, actual: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """One row per key and field whose values differ (NULL equals NULL).
 
-    The wide rows are joined once; only drifting fields are unpivoted.
+    The wide rows are joined once and unpivoted; fields that agree are NULL and drop out.
     """
     pairs = expected.alias("e").join(actual.alias("a"), key)
-    drift = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    ~F.col(f"e.{f}").eqNullSafe(F.col(f"a.{f}")),
-                    F.struct(
-                        F.lit(f).alias("field"),
-                        F.col(f"e.{f}").cast("string").alias("expected"),
-                        F.col(f"a.{f}").cast("string").alias("actual"),
-                    ),
-                )
-                for f in fields
-            ]
-        )
+    drift = F.array(
+        *[
+            F.when(
+                ~F.col(f"e.{f}").eqNullSafe(F.col(f"a.{f}")),
+                F.struct(
+                    F.lit(f).alias("field"),
+                    F.col(f"e.{f}").cast("string").alias("expected"),
+                    F.col(f"a.{f}").cast("string").alias("actual"),
+                ),
+            )
+            for f in fields
+        ]
     )
-    return pairs.select(key, F.inline(drift))
+    return pairs.select(key, F.inline(drift)).filter("field IS NOT NULL")
 
 
 def baseline_compare(before: DataFrame, after: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -23,23 +23,24 @@ PATTERNS: tuple[tuple[str, ...], ...] = (
 )
 
 
-def matching_labels(text: Column, patterns: Sequence[tuple[str, ...]]) -> Column:
-    """Labels of the patterns that match anywhere in the whole text.
+def matching_columns(text: Column, patterns: Sequence[tuple[str, ...]]) -> list[Column]:
+    """Label of each pattern that matches anywhere in the whole text, NULL for the others.
 
-    A literal that every match contains is looked for first: most texts lack it and skip the regex.
+    Explode the array and drop the NULLs: exploding a compacted array would make Catalyst
+    infer a filter on its size, which runs every regex twice.  A literal that every match contains is looked for first: most texts lack it and skip the regex.
     """
 
     def hit(regex: str, literals: Sequence[str]) -> Column:
         found = text.rlike(regex)
         return reduce(lambda a, b: a | b, [text.contains(x) for x in literals]) & found if literals else found
 
-    return F.array_compact(F.array(*[F.when(hit(regex, literals), F.lit(label)) for label, regex, *literals in patterns]))
+    return [F.when(hit(regex, literals), F.lit(label)) for label, regex, *literals in patterns]
 
 
 def pattern_findings(texts: DataFrame, text: str, patterns: Sequence[tuple[str, ...]] = PATTERNS) -> DataFrame:
     """One row per text and pattern that matches anywhere in it; all patterns in one scan."""
-    labels = matching_labels(F.col(text), patterns)
-    return texts.withColumn("finding", F.explode(labels)).drop(text)
+    labels = F.array(*matching_columns(F.col(text), patterns))
+    return texts.withColumn("finding", F.explode(labels)).drop(text).filter("finding IS NOT NULL")
 
 
 def tree_findings(
@@ -57,13 +58,10 @@ def tree_findings(
     name_hit = F.lower(base_name(F.col(path))).isin(*names)
     suffix_hit = lower_suffix(F.col(path)).isin(*suffixes)
     text = F.when(F.is_valid_utf8(F.col(content).cast("string")), F.col(content).cast("string"))
-    matches = matching_labels(text, patterns)
-    labels = (
-        F.when(name_hit, F.array(F.lit("forbidden filename")))
-        .when(suffix_hit, F.array(F.lit("forbidden artifact")))
-        .otherwise(F.coalesce(matches, F.array().cast("array<string>")))
-    )
-    return files.select(path, F.explode(labels).alias("finding"))
+    by_name = F.when(name_hit, "forbidden filename").when(suffix_hit, "forbidden artifact")
+    found = files.select(path, by_name.alias("_name"), F.when(by_name.isNull(), text).alias("_text"))
+    each = found.select(path, F.explode(F.array("_name", *[m for m in matching_columns(F.col("_text"), patterns)])).alias("finding"))
+    return each.filter("finding IS NOT NULL")
 
 
 def checksum_status(expected: Column, actual: Column) -> Column:
