@@ -170,5 +170,15 @@ def triage(facts: DataFrame, key=normalized_key) -> DataFrame:
     )
 
 
+def blocked_keys(decided: DataFrame) -> DataFrame:
+    """Keys that recovery blocks for this run, and whether someone else completed them.
+
+    Grouped by key (one row per record): a filter straight on ``blocked`` would be pushed below
+    the decision and repeat it inside the condition.
+    """
+    per_key = decided.groupBy("key").agg(F.bool_or("external").alias("external"), F.bool_or("blocked").alias("_blocked"))
+    return per_key.filter("_blocked").select("key", "external")
+
+
 def encoded_candidate_valid(sha: Column, size: Column, verified: Column) -> Column:
     return F.coalesce(verified, F.lit(False)) & is_sha256(sha) & F.coalesce(size >= 1, F.lit(False))

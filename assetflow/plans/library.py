@@ -520,8 +520,8 @@ FROM transactions WHERE phase <> 'committed'""",
 
 
 def q_reappeared(spark, d):
-    decided = journal.triage(spark_view(spark, d, "transactions"), key=paths.ascii_key).filter("blocked")
-    return incremental.reappeared_sources(assets(spark, d).select(F.col("rel").alias("key")), decided.select("key", "external"))
+    blocked = journal.blocked_keys(journal.triage(spark_view(spark, d, "transactions"), key=paths.ascii_key))
+    return incremental.reappeared_sources(assets(spark, d).select(F.col("rel").alias("key")), blocked)
 
 
 O_REAPPEARED = sql(
