@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from assetflow.plans import files, imaging, library, metrics
+from assetflow.plans import attestation, files, imaging, library, metrics
 
-REGISTRY = {**library.REGISTRY, **metrics.REGISTRY, **imaging.REGISTRY, **files.REGISTRY}
+REGISTRY = {**library.REGISTRY, **metrics.REGISTRY, **attestation.REGISTRY, **imaging.REGISTRY, **files.REGISTRY}
