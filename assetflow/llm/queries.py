@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetflow.llm import packing, shards
+from assetflow.llm import balance, chats, lattice, leaks, near_dups, packing, quality, secrets, shards
 from assetflow.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
+VOCABULARY = "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -23,6 +24,42 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.collapse(table(spark, sf_dir, "conversations"))
+
+
+def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *(secrets.count_of(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "guess")),
+        F.sha2(secrets.joined(spans, ("assign", "access", "hex")), 256).alias("base_sha256"),
+        secrets.joined(spans).alias("spans"),
+    )
+
+
+def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = balance.shard(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
     return packed.select(
@@ -32,5 +69,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_token_shards": (op1_token_shards, None),
+    "op2_subword_lattice": (op2_subword_lattice, None),
+    "op3_snapshot_collapse": (op3_snapshot_collapse, chats.SQL),
+    "op4_minhash_near_dups": (op4_minhash_near_dups, None),
+    "op5_decontamination": (op5_decontamination, None),
+    "op6_secret_scan": (op6_secret_scan, None),
+    "op7_balanced_shards": (op7_balanced_shards, None),
+    "op8_weak_label_quality": (op8_weak_label_quality, None),
     "op9_packing": (op9_packing, None),
 }
