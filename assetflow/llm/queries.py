@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetflow.llm import balance, chats, lattice, leaks, near_dups, packing, quality, secrets, shards
+from assetflow.llm import balance, chats, lattice, leaks, near_dups, packing, quality, secrets, shards, vectors
 from assetflow.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY = {
     "op1_token_shards": (op1_token_shards, None),
     "op2_subword_lattice": (op2_subword_lattice, None),
@@ -77,4 +81,5 @@ REGISTRY = {
     "op7_balanced_shards": (op7_balanced_shards, None),
     "op8_weak_label_quality": (op8_weak_label_quality, None),
     "op9_packing": (op9_packing, None),
+    "op10_hnsw_near_vectors": (op10_hnsw_near_vectors, None),
 }
