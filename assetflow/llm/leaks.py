@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetflow.llm.tokens import chunks, text_column
+from assetflow.llm.tokens import text_column
 
 #: UTF-8 bytes of the items that are sent to the executors at once.
 BLOCK_BYTES = 16_000_000
@@ -174,12 +174,10 @@ def _frequencies(source: DataFrame, items: Items) -> np.ndarray:
         items, grams = shared.value
         lookup, total = Lookup(grams), np.zeros(len(grams), np.int64)
         for batch in batches:
-            texts = text_column(batch)
-            for first, last in chunks(texts):
-                for text in texts[first:last]:
-                    ids = items.number(plain_words(text))
-                    for size in items.sizes():
-                        total[np.unique(lookup.places(items.grams(ids, size))[1])] += 1
+            for text in text_column(batch):
+                ids = items.number(plain_words(text))
+                for size in items.sizes():
+                    total[np.unique(lookup.places(items.grams(ids, size))[1])] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -204,36 +202,66 @@ def choose_seeds(items: Items, frequency: np.ndarray) -> dict[int, list[tuple[in
     return seeds
 
 
+class Searcher:
+    """Finds the items of a block in documents, by their seeds."""
+
+    def __init__(self, items: Items, seeds: dict[int, list[tuple[int, int]]], min_score: float, slack: int):
+        self.items, self.seeds, self.min_score, self.slack = items, seeds, min_score, slack
+        self.wanted = np.array(sorted(seeds), np.uint64)
+        self.lookup = Lookup(self.wanted)
+
+    def leaks(self, text: bytes | None) -> Iterator[tuple[int, float, int, int]]:
+        """(item's place, score, first word, end) of each item that the text holds a copy of."""
+        ids = self.items.number(plain_words(text))
+        hits = defaultdict(list)
+        for size in self.items.sizes():
+            for place, seed in zip(*(x.tolist() for x in self.lookup.places(self.items.grams(ids, size))), strict=True):
+                for item, own in self.seeds[int(self.wanted[seed])]:
+                    hits[item].append((place, own))
+        for item, at in hits.items():
+            own, best = self.items.word_ids[item], (0, 0, 0)
+            for a, b in _windows(at, len(own), self.slack):
+                a, b = max(0, a), min(len(ids), b)
+                score, end = align(own, ids[a:b])
+                if score > best[0]:
+                    best = (score, a, a + end)
+            score, a, end = best
+            if score >= self.min_score * 2 * len(own):
+                _, size = align(own[::-1], ids[a:end][::-1])
+                yield item, score / (2 * len(own)), end - size, end
+
+
 def _search(source: DataFrame, items: Items, frequency: np.ndarray, min_score: float, slack: int) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast((items, choose_seeds(items, frequency)))
     kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("doc_start", pa.int32()), ("doc_end", pa.int32()), ("item_words", pa.int32())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seeds = shared.value
-        wanted = np.array(sorted(seeds), np.uint64)
-        lookup = Lookup(wanted)
+        finder = Searcher(*shared.value, min_score, slack)
         for batch in batches:
-            keys, texts, rows = batch.column(0).to_pylist(), text_column(batch), []
-            for first, last in chunks(texts):
-                for key, text in zip(keys[first:last], texts[first:last], strict=True):
-                    ids = items.number(plain_words(text))
-                    hits = defaultdict(list)
-                    for size in items.sizes():
-                        for place, seed in zip(*(x.tolist() for x in lookup.places(items.grams(ids, size))), strict=True):
-                            for item, own in seeds[int(wanted[seed])]:
-                                hits[item].append((place, own))
-                    for item, at in hits.items():
-                        own, best = items.word_ids[item], (0, 0, 0)
-                        for a, b in _windows(at, len(own), slack):
-                            a, b = max(0, a), min(len(ids), b)
-                            score, end = align(own, ids[a:b])
-                            if score > best[0]:
-                                best = (score, a, a + end)
-                        score, a, end = best
-                        if score >= min_score * 2 * len(own):
-                            _, size = align(own[::-1], ids[a:end][::-1])
-                            rows += [(key, item_id, score / (2 * len(own)), end - size, end, len(own)) for item_id in items.keys[item]]
+            rows = [
+                (key, item_id, score, start, end, len(finder.items.word_ids[item]))
+                for key, text in zip(batch.column(0).to_pylist(), text_column(batch), strict=True)
+                for item, score, start, end in finder.leaks(text)
+                for item_id in finder.items.keys[item]
+            ]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     return source.mapInArrow(search, HITS)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int = 3, min_score: float = 0.6, slack: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without those that hold a copy of an item; each document is tested where it is read."""
+    for rows in _blocks(benchmark, block_bytes):
+        items = Items.of(rows, n, stride)
+        if not items.keys:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast((items, choose_seeds(items, _frequencies(docs.select("text"), items))))
+
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array, shared=shared) -> pa.Array:
+            finder = Searcher(*shared.value, min_score, slack)
+            return pa.array([next(finder.leaks(t), None) is None for t in texts.cast(pa.binary()).to_pylist()])
+
+        docs = docs.where(clean(F.col("text")))
+    return docs

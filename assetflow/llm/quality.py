@@ -236,8 +236,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, limit: fl
     return apply_scorer(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scorer, limit).select("doc_id", "judged.*")
 
 
-def apply_scorer(docs: DataFrame, scorer: Scorer, limit: float = 0.5) -> DataFrame:
-    """``docs`` with a column ``judged`` of junk, toxic and kept."""
+def apply_scorer(docs: DataFrame, scorer: Scorer, limit: float = 0.5, column: str = "judged") -> DataFrame:
+    """``docs`` with a column of junk, toxic and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.arrow_udf("struct<junk: double, toxic: double, kept: boolean>")
@@ -248,4 +248,4 @@ def apply_scorer(docs: DataFrame, scorer: Scorer, limit: float = 0.5) -> DataFra
         junk, toxic = np.where(empty, 1.0, junk), np.where(empty, 0.0, toxic)
         return pa.StructArray.from_arrays([pa.array(junk), pa.array(toxic), pa.array((junk < limit) & (toxic < limit))], names=["junk", "toxic", "kept"])
 
-    return docs.withColumn("judged", judge(F.col("text")))
+    return docs.withColumn(column, judge(F.col("text")))
