@@ -39,3 +39,14 @@ def calibrated_phases(raw: Column, elapsed: Column, total_key: str = "gpu_total"
 
 def calibration_warning(scale: Column, tolerance: float = 0.02) -> Column:
     return F.coalesce(F.abs(scale - 1.0) > tolerance, F.lit(False))
+
+
+def utc_text(micros: Column) -> Column:
+    """Microseconds since the epoch as UTC ISO-8601 with a final Z, whatever the session's time zone."""
+    at = F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone())
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def utc_micros(text: Column) -> Column:
+    """Microseconds since the epoch of a UTC ISO-8601 text; NULL where it is none."""
+    return F.unix_micros(F.try_to_timestamp(text))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assetflow.functions.paths import companion_key, destination_path, is_companion, is_image, is_metadata
+from assetflow.functions.paths import companion_key, destination_path, is_companion, is_image, is_metadata, normalized_key
 from assetflow.operators.skew import lookup_join
 
 
@@ -120,7 +120,7 @@ def collisions(mapping: DataFrame, source: str = "source", key: str = "key") ->
     return lookup_join(mapping, groups, key).select(key, source, "first_source", "sources")
 
 
-def destination_collision(assets: DataFrame, extension: str = "jxl", include_metadata: bool = True, key=F.lower) -> DataFrame:
+def destination_collision(assets: DataFrame, extension: str = "jxl", include_metadata: bool = True, key=normalized_key) -> DataFrame:
     """Images and metadata files that would write to the same destination."""
     kinds = classify(assets, include_metadata).filter(F.col("class").isin("image", "metadata"))
     target = F.when(F.col("class") == "image", destination_path(F.col("rel"), extension)).otherwise(F.col("rel"))

@@ -10,48 +10,45 @@ from assetflow.functions.timing import NANOS
 from assetflow.operators.slices import SLICE, carried, join_carry, slice_groups
 
 
+#: Length of a slice of a group in nanoseconds: one minute.
+BUCKET_NS = 60 * NANOS
+
+
 def merge_intervals(
     spans: DataFrame,
     keys: Sequence[str],
     start: str = "start_ns",
     end: str = "end_ns",
-    slice_rows: int | None = None,
+    bucket: int = BUCKET_NS,
 ) -> DataFrame:
     """Merge overlapping and touching intervals; backward ones are dropped.
 
     Output: keys, start, end, ``intervals`` (how many went in), ``busy_ns`` (their summed length).
     Within a slice a running maximum of the end finds where an island begins; slices of one
     group exchange that maximum and an island offset, then the islands that cross a slice edge
-    are joined up.  Where a group has to be cut, equal starts are folded first, so a busy instant
-    cannot fill a slice.
+    are joined up.  Equal starts are folded first, so a busy instant cannot fill a slice.
     """
     valid = spans.filter(F.col(end) >= F.col(start)).select(*keys, start, end)
-    each = valid.withColumns({"intervals": F.lit(1).cast("long"), "busy_ns": F.col(end) - F.col(start)})
-    sliced = slice_groups(each, keys, [start], slice_rows)
-    if sliced.cut:
-        folded = valid.groupBy(*keys, start).agg(
-            F.max(end).alias(end),
-            F.count(F.lit(1)).alias("intervals"),
-            F.sum(F.col(end) - F.col(start)).alias("busy_ns"),
-        )
-        sliced = slice_groups(folded, keys, [start], slice_rows)
+    folded = valid.groupBy(*keys, start).agg(
+        F.max(end).alias(end),
+        F.count(F.lit(1)).alias("intervals"),
+        F.sum(F.col(end) - F.col(start)).alias("busy_ns"),
+    )
+    sliced = slice_groups(folded, keys, [start], bucket)
     local = Window.partitionBy(*sliced.by_slice).orderBy(start, end)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(end).over(before)
-    rows = sliced.rows
-    if sliced.cut:
-        ends = rows.groupBy(*sliced.by_slice).agg(F.max(end).alias("_end"))
-        rows = join_carry(rows, sliced, carried(sliced, ends, _carry=F.max("_end")))
-        reach = F.greatest(reach, F.col("_carry"))
+    ends = sliced.rows.groupBy(*sliced.by_slice).agg(F.max(end).alias("_end"))
+    rows = join_carry(sliced.rows, sliced, carried(sliced, ends, _carry=F.max("_end")))
+    reach = F.greatest(reach, F.col("_carry"))
     opens = F.coalesce(F.col(start) > reach, F.lit(True)).cast("long")
     rows = rows.withColumn("_opens", opens)
     rows = rows.withColumn("_island", F.sum("_opens").over(local.rowsBetween(Window.unboundedPreceding, 0)))
     islands = _fold(rows, [*sliced.by_slice, "_island"], start, end)
-    if sliced.cut:
-        opened = islands.groupBy(*sliced.by_slice).agg(F.max("_island").alias("_opened"))
-        islands = join_carry(islands, sliced, carried(sliced, opened, _offset=F.sum("_opened")))
-        islands = islands.withColumn("_island", F.col("_island") + F.coalesce("_offset", F.lit(0)))
-        islands = _fold(islands, [*keys, "_island"], start, end)
+    opened = islands.groupBy(*sliced.by_slice).agg(F.max("_island").alias("_opened"))
+    islands = join_carry(islands, sliced, carried(sliced, opened, _offset=F.sum("_opened")))
+    islands = islands.withColumn("_island", F.col("_island") + F.coalesce("_offset", F.lit(0)))
+    islands = _fold(islands, [*keys, "_island"], start, end)
     return islands.select(*keys, start, end, "intervals", "busy_ns")
 
 
@@ -64,9 +61,9 @@ def _fold(rows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFra
     )
 
 
-def interval_union(spans: DataFrame, keys: Sequence[str], slice_rows: int | None = None) -> DataFrame:
+def interval_union(spans: DataFrame, keys: Sequence[str], bucket: int = BUCKET_NS) -> DataFrame:
     """Per group: interval count, summed length and merged length in nanoseconds."""
-    merged = merge_intervals(spans, keys, slice_rows=slice_rows)
+    merged = merge_intervals(spans, keys, bucket=bucket)
     return merged.groupBy(*keys).agg(
         F.sum("intervals").alias("count"),
         F.sum("busy_ns").alias("cumulative_ns"),
@@ -78,12 +75,12 @@ def _percent(union_ns, wall_ns):
     return F.when(wall_ns > 0, union_ns / wall_ns * 100).otherwise(F.lit(0.0))
 
 
-def interval_summary(spans: DataFrame, walls: DataFrame, run: str = "run_id", name: str = "name", slice_rows: int | None = None) -> DataFrame:
+def interval_summary(spans: DataFrame, walls: DataFrame, run: str = "run_id", name: str = "name", bucket: int = BUCKET_NS) -> DataFrame:
     """Per run and span name: count, cumulative and merged seconds, share of the wall time.
 
     ``walls`` has one row per run with ``wall_ns``.
     """
-    union = interval_union(spans, [run, name], slice_rows)
+    union = interval_union(spans, [run, name], bucket)
     return union.join(walls, run).select(
         run,
         name,
@@ -103,7 +100,7 @@ def interval_relationship(
     ),
     run: str = "run_id",
     name: str = "name",
-    slice_rows: int | None = None,
+    bucket: int = BUCKET_NS,
 ) -> DataFrame:
     """Overlap and busy union of span pairs per run.
 
@@ -121,7 +118,7 @@ def interval_relationship(
         .filter("t IS NOT NULL")
         .select(run, "start_ns", "end_ns", "t.relationship", "t.side")
     )
-    union = interval_union(fanned, [run, "relationship", "side"], slice_rows)
+    union = interval_union(fanned, [run, "relationship", "side"], bucket)
     size = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("union_ns"))), F.lit(0))
     sizes = union.groupBy(run, "relationship").agg(
         size("left").alias("left_ns"), size("right").alias("right_ns"), size("both").alias("both_ns")

@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from assetflow.operators.slices import SLICE, number_rows, slice_groups
 
 
-def page_numbering(images: DataFrame, key: str = "key", tie: str = "rel", slice_rows: int | None = None) -> DataFrame:
+def page_numbering(images: DataFrame, key: str = "key", tie: str = "rel", slices: int | None = None) -> DataFrame:
     """Index from 1 in key order, with the total beside it."""
-    return number_rows(images, [], [key, tie], into="page_index", total="total", slice_rows=slice_rows)
+    return number_rows(images, [], [key, tie], into="page_index", total="total", slices=slices)
 
 
-def model_switches(routed: DataFrame, key: str = "key", tie: str = "rel", variant: str = "variant", slice_rows: int | None = None) -> DataFrame:
+def model_switches(routed: DataFrame, key: str = "key", tie: str = "rel", variant: str = "variant", slices: int | None = None) -> DataFrame:
     """How often the variant changes from one row to the next in key order (one row).
 
     Slices count their own switches; only first and last variants meet across slices.
     """
-    sliced = slice_groups(routed.select(key, tie, variant), [], [key, tie], slice_rows)
+    sliced = slice_groups(routed.select(key, tie, variant), [], [key, tie], slices=slices)
     inside = Window.partitionBy(SLICE).orderBy(key, tie)
     previous = F.lag(variant).over(inside)
     position = F.struct(key, tie)
@@ -30,13 +30,13 @@ def model_switches(routed: DataFrame, key: str = "key", tie: str = "rel", varian
             F.max_by(variant, position).alias("_last"),
         )
     )
-    # one row per slice, at most 2 * MAX_CUTS of them
+    # one row per range partition
     across = F.lag("_last").over(Window.orderBy(SLICE))
     return per_slice.withColumn(
         "_boundary", F.coalesce(across != F.col("_first"), F.lit(False)).cast("long")
     ).agg(F.coalesce(F.sum(F.col("_inside") + F.col("_boundary")), F.lit(0)).alias("switches"))
 
 
-def first_errors(errors: DataFrame, key: str = "key", limit: int = 100) -> DataFrame:
+def first_errors(errors: DataFrame, key: str = "key", limit: int = 100, tie: str = "source") -> DataFrame:
     """The report lists the first errors in key order (a top-k, not a sort of everything)."""
-    return errors.orderBy(key).limit(limit)
+    return errors.orderBy(key, *[c for c in (tie,) if c in errors.columns]).limit(limit)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assetflow.functions.colour import spread
-from assetflow.operators.skew import is_small, lookup_join
+from assetflow.operators.skew import lookup_join
 
 TOLERANCE = 3
 
@@ -165,17 +165,11 @@ def with_sizes(pixels: DataFrame, sizes: DataFrame, image: str = "image_id") ->
     return lookup_join(pixels, sizes, image)
 
 
-def pixels_to_images(pixels: DataFrame, image: str = "image_id", max_pixels: int = 24_000_000) -> DataFrame:
-    """Gather long-form pixels into image rows (BINARY, three channels).
+def pixels_to_images(pixels: DataFrame, image: str = "image_id") -> DataFrame:
+    """Gather long-form pixels into image rows (BINARY, three channels), of any size that a cell holds.
 
-    Scanlines are built first, then joined up.  An image is bounded by the output safety limit:
-    unless the whole input is small, sizes are counted before anything is gathered, and a
-    larger image raises.
+    Scanlines are built first, then joined up.
     """
-    if not is_small(pixels):
-        counts = pixels.groupBy(image).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_pixels)
-        if counts.limit(1).count():
-            raise ValueError("image exceeds the pixel limit")
     two = lambda c: F.lpad(F.hex(c), 2, "0")
     line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "hex"))), lambda p: p["hex"]), "")
     lines = (
@@ -183,11 +177,9 @@ def pixels_to_images(pixels: DataFrame, image: str = "image_id", max_pixels: int
         .groupBy(image, "y")
         .agg(line.alias("line"), F.count(F.lit(1)).alias("width"))
     )
-    sized = lines.groupBy(image).agg(F.count(F.lit(1)).alias("height"), F.max("width").alias("width"), F.collect_list(F.struct("y", "line")).alias("lines"))
-    area = F.col("height") * F.col("width")
-    data = F.unhex(F.array_join(F.transform(F.sort_array("lines"), lambda p: p["line"]), ""))
-    checked = F.when(area > max_pixels, F.raise_error(F.lit("image exceeds the pixel limit"))).otherwise(data)
-    return sized.select(image, "height", "width", F.lit(3).alias("channels"), checked.alias("data"))
+    data = F.expr("listagg(unhex(line)) WITHIN GROUP (ORDER BY y)")
+    sized = lines.groupBy(image).agg(F.count(F.lit(1)).alias("height"), F.max("width").alias("width"), data.alias("data"))
+    return sized.select(image, "height", "width", F.lit(3).alias("channels"), "data")
 
 
 def pixel_frames(blocks: Iterable[tuple], image: str, limit: int = 500_000) -> Iterator[pd.DataFrame]:

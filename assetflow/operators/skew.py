@@ -1,64 +1,23 @@
-"""Joins in which one key may hold a third of all rows.
-
-Spark splits a skewed partition at run time only if both join inputs are plain shuffles; an
-aggregated side rules that out.  ``lookup_join`` therefore finds heavy keys first, from a sample
-that decides only where rows travel: rows of heavy keys stay where they are and meet a
-broadcast of at most ``MAX_HOT`` table rows, all other rows take the ordinary join.
-"""
+"""Joins in which one key may hold a third of all rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
-
-MAX_HOT = 4096
-SMALL_BYTES = 64 * 1024 * 1024
-_SAMPLE_ROWS = 1_000_000
-_ROW_BYTES = 64
-_UNKNOWN_BYTES = 1 << 60  # estimates from here on are Catalyst's stand-in for no statistics
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan; no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Small enough for any of its groups to fit one task."""
-    return estimated_bytes(df) <= SMALL_BYTES
+from pyspark.sql import DataFrame, functions as F
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], share: float = 1 / MAX_HOT, force: bool = False) -> DataFrame | None:
-    """Keys that hold at least ``share`` of a sample, or None when the rows are small or even.
-
-    At most ``1 / share`` keys can reach the share, which bounds the result.
-    """
-    keyed = rows.select(*keys)
-    if not force and is_small(keyed):
-        return None
-    size = estimated_bytes(keyed)
-    fraction = 0.01 if size >= _UNKNOWN_BYTES else min(1.0, max(1e-5, _SAMPLE_ROWS * _ROW_BYTES / max(1, size)))
-    fraction = 1.0 if force else fraction
-    counts = keyed.sample(fraction=fraction, seed=11).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.filter("_n > 1").orderBy(F.desc("_n")).limit(int(1 / share)).collect()
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    found = [tuple(r[k] for k in keys) for r in heavy if r["_n"] >= total * share and all(r[k] is not None for k in keys)]
-    if not found:
-        return None
-    return rows.sparkSession.createDataFrame(found, T.StructType([rows.schema[k] for k in keys]))
-
-
-def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str] | str, how: str = "inner", force: bool = False) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str] | str, how: str = "inner") -> DataFrame:
     """Join rows to a table that is unique on the keys (inner, left, left_semi, left_anti).
 
-    ``force`` skips the size test, so that small tests take the hot path.
+    Spark splits a skewed partition at run time only where both inputs of the join are plain
+    shuffles.  A table that comes out of an aggregate would be joined where it lies, so a
+    derived key that is always 0 makes Spark shuffle both; rows are read once, and no job runs
+    before the plan is complete.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = hot_keys(rows, keys, force=force)
-    if hot is None:
-        return rows.join(table, keys, how)
-    hot_table = table.join(F.broadcast(hot), keys, "left_semi")
-    ours = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_table), keys, how)
-    theirs = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how)
-    return ours.unionByName(theirs)
+
+    def shuffled(df: DataFrame) -> DataFrame:
+        return df.withColumn("_zero", F.pmod(F.xxhash64(*keys), F.lit(1)))
+
+    return shuffled(rows).join(shuffled(table), [*keys, "_zero"], how).drop("_zero")

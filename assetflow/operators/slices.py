@@ -1,137 +1,67 @@
 """Ordered work over groups of any size.
 
-A window over a group runs in one task, so a group that holds a third of the rows would
-too.  ``slice_groups`` cuts such groups into contiguous ranges of the ordering columns.
-Operators then work per slice and carry a small summary from slice to slice.
-
-Sizes are checked, not assumed: unless Catalyst's estimate of the input is small, groups are
-counted first (a map-side combined aggregate) and only groups above the row budget are cut.  The budget grows with the table, so at most
-``MAX_CUTS`` groups can exceed it and all cuts together stay below ``2 * MAX_CUTS`` rows -
-the bound that makes them safe to collect and to broadcast.  Cuts come from a sample, which
-only decides where a slice begins; every row is kept.
+A window over a group runs in one task, so a group that holds a third of the rows would too.
+``slice_groups`` cuts every group into contiguous ranges of the ordering columns; operators
+work per slice and carry a small summary from slice to slice.  There is one way for all sizes,
+and no job runs while the plan is built.
+
+Where the order is a number, a slice is arithmetic: the number divided by a bucket.  Otherwise
+rows are range-partitioned on the order and a slice is a partition; the partitioned rows are
+kept on disk, so that all parts of a plan see the same ranges.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assetflow.operators.skew import is_small
+from assetflow.operators.skew import lookup_join
 
-SLICE_ROWS = 1_000_000
-MAX_CUTS = 4096
-_SAMPLES_PER_CUT = 64
 SLICE = "slice_id"
 
 
 @dataclass(frozen=True)
 class Sliced:
-    """Rows with a ``slice_id``; ``cut`` tells whether any group has more than one slice."""
+    """Rows with a ``slice_id`` that rises with the order within each group."""
 
     rows: DataFrame
     keys: tuple[str, ...]
-    cut: bool
 
     @property
     def by_slice(self) -> list[str]:
         return [*self.keys, SLICE]
 
 
-def slice_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int | None = None) -> Sliced:
-    keys = tuple(keys)
-    if slice_rows is None and is_small(df):
-        return Sliced(df.withColumn(SLICE, F.lit(0)), keys, False)
-    slice_rows = slice_rows or SLICE_ROWS
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    if not total or largest <= slice_rows:
-        return Sliced(df.withColumn(SLICE, F.lit(0)), keys, False)
-
-    budget = max(slice_rows, -(-total // MAX_CUTS))
-    hot = sizes.filter(F.col("_n") > budget).withColumn("_slices", F.ceil(F.col("_n") / F.lit(float(budget))).cast("int"))
-    cuts = _sample_cuts(df, keys, order, hot, fraction=min(1.0, _SAMPLES_PER_CUT / budget))
-    if not cuts:
-        return Sliced(df.withColumn(SLICE, F.lit(0)), keys, False)
-
-    spark = df.sparkSession
-    order_type = T.StructType([df.schema[c] for c in order])
-    key_fields = [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
-    cut_schema = T.StructType([*key_fields, T.StructField("_cuts", T.ArrayType(order_type))])
-    cut_rows = spark.createDataFrame([(*k, v) for k, v in cuts.items()], cut_schema)
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & df[k].eqNullSafe(cut_rows[f"_k{i}"])
-    depth = max(len(v) for v in cuts.values()).bit_length()
-    sliced = (
-        df.join(F.broadcast(cut_rows), match, "left")
-        .withColumn(SLICE, F.coalesce(_cuts_below(F.struct(*order), F.col("_cuts"), depth), F.lit(0)))
-        .drop("_cuts", *[f.name for f in key_fields])
-    )
-    return Sliced(sliced, keys, True)
-
-
-def _sample_cuts(df, keys, order, hot, fraction):
-    """Cut points per hot group: at most two per budgeted slice overall."""
-    hot = hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], "_slices")
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & df[k].eqNullSafe(hot[f"_h{i}"])
-    sample = df.select(*keys, *[c for c in order if c not in keys]).sample(fraction=fraction, seed=7)
-    sample = sample.join(F.broadcast(hot), match) if keys else sample.crossJoin(F.broadcast(hot))
-    ranked = Window.partitionBy(*keys).orderBy(*order)
-    whole = Window.partitionBy(*keys)
-    picked = (
-        sample.withColumns({"_r": F.row_number().over(ranked), "_m": F.count(F.lit(1)).over(whole)})
-        .withColumn("_b", F.floor((F.col("_r") - 1) * F.col("_slices") / F.col("_m")))
-        .withColumn("_p", F.floor((F.col("_r") - 2) * F.col("_slices") / F.col("_m")))
-        .filter((F.col("_r") > 1) & (F.col("_b") != F.col("_p")))
-        .select(*keys, F.struct(*order).alias("_cut"))
-        .distinct()
-    )
-    cuts = defaultdict(list)
-    for row in picked.orderBy(*keys, "_cut").collect():
-        cuts[tuple(row[k] for k in keys)].append(row["_cut"])
-    return dict(cuts)
-
-
-def _cuts_below(value: Column, cuts: Column, depth: int) -> Column:
-    """How many cuts lie strictly below the value: a binary search over the sorted array."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(depth))])
-
-    def narrow(found: Column, step: Column) -> Column:
-        reach = found + step
-        inside = (reach <= F.size(cuts)) & (F.get(cuts, reach - 1) < value)
-        return F.when(inside, reach).otherwise(found)
-
-    return F.when(cuts.isNotNull(), F.aggregate(steps, F.lit(0), narrow))
+def slice_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: int | None = None, slices: int | None = None) -> Sliced:
+    """``bucket`` is the length of a slice in units of the first ordering column; without it there are
+    ``slices`` ranges (as many as shuffle partitions by default)."""
+    if bucket is not None:
+        return Sliced(df.withColumn(SLICE, F.floor(F.col(order[0]) / bucket)), tuple(keys))
+    ordered = [*keys, *order]
+    ranged = df.repartitionByRange(slices, *ordered) if slices else df.repartitionByRange(*ordered)
+    return Sliced(ranged.withColumn(SLICE, F.spark_partition_id().cast("long")).persist(StorageLevel.DISK_ONLY), tuple(keys))
 
 
 def carried(sliced: Sliced, summary: DataFrame, **carry: Column) -> DataFrame:
     """Per slice: aggregates of ``summary`` over the earlier slices of the same group.
 
-    ``summary`` has one row per group and slice.  Only later slices of cut groups get a row,
-    so the result has at most ``2 * MAX_CUTS`` rows and may be broadcast.
+    ``summary`` has one row per group and slice.
     """
     earlier = Window.partitionBy(*sliced.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    # each group's first slice has nothing before it and needs no row
-    return (
-        summary.withColumns({name: value.over(earlier) for name, value in carry.items()})
-        .filter(F.col(SLICE) > 0)
-        .select(*sliced.by_slice, *carry)
-    )
+    return summary.withColumns({name: value.over(earlier) for name, value in carry.items()}).select(*sliced.by_slice, *carry)
 
 
 def join_carry(rows: DataFrame, sliced: Sliced, carry: DataFrame) -> DataFrame:
     """Attach the carry to every row of its slice (null-safe on the group keys)."""
     names = {c: f"_c_{c}" for c in sliced.by_slice}
     renamed = carry.withColumnsRenamed(names)
-    match = rows[SLICE] == renamed[names[SLICE]]
+    match = rows[SLICE].eqNullSafe(renamed[names[SLICE]])
     for k in sliced.keys:
         match = match & rows[k].eqNullSafe(renamed[names[k]])
-    return rows.join(F.broadcast(renamed), match, "left").drop(*names.values())
+    return rows.join(renamed, match, "left").drop(*names.values())
 
 
 def number_rows(
@@ -140,24 +70,18 @@ def number_rows(
     order: Sequence[str],
     into: str = "row_index",
     total: str | None = None,
-    slice_rows: int | None = None,
+    bucket: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Number rows from 1 in order within each group, however large the group is."""
-    sliced = slice_groups(df, keys, order, slice_rows)
+    sliced = slice_groups(df, keys, order, bucket, slices)
     local = Window.partitionBy(*sliced.by_slice).orderBy(*order)
     numbered = sliced.rows.withColumn(into, F.row_number().over(local).cast("long"))
     sizes = sliced.rows.groupBy(*sliced.by_slice).agg(F.count(F.lit(1)).alias("_n"))
-    if sliced.cut:
-        offsets = carried(sliced, sizes, _before=F.sum("_n"))
-        numbered = join_carry(numbered, sliced, offsets)
-        numbered = numbered.withColumn(into, F.col(into) + F.coalesce("_before", F.lit(0))).drop("_before")
+    numbered = join_carry(numbered, sliced, carried(sliced, sizes, _before=F.sum("_n")))
+    numbered = numbered.withColumn(into, F.col(into) + F.coalesce("_before", F.lit(0))).drop("_before")
     if total is not None:
-        if not sliced.keys:
-            count = sizes.agg(F.sum("_n").alias(total))
-            numbered = numbered.crossJoin(F.broadcast(count))  # one row
-        elif not sliced.cut:
-            numbered = numbered.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*sliced.by_slice)))
-        else:
-            counts = df.groupBy(*sliced.keys).agg(F.count(F.lit(1)).alias(total))
-            numbered = numbered.join(counts, list(sliced.keys), "left")
+        counts = sizes.groupBy(*sliced.keys).agg(F.sum("_n").alias(total))
+        # without keys the counts are one row
+        numbered = lookup_join(numbered, counts, sliced.keys, "left") if sliced.keys else numbered.crossJoin(F.broadcast(counts))
     return numbered.drop(SLICE)

@@ -8,13 +8,17 @@ from assetflow.operators.intervals import merge_intervals
 from assetflow.operators.slices import carried, join_carry, number_rows, slice_groups
 
 
+#: Length of a slice of a run in microseconds: one hour.
+BUCKET_US = 3_600_000_000
+
+
 def stall_gaps(
     lines: DataFrame,
     run: str = "run",
     ts: str = "ts_us",
     stall_seconds: int = 600,
     max_restarts: int = 2,
-    slice_rows: int | None = None,
+    bucket: int = BUCKET_US,
 ) -> DataFrame:
     """Gaps of at least ``stall_seconds`` between lines of a run, numbered as attempts.
 
@@ -25,25 +29,23 @@ def stall_gaps(
     if max_restarts < 0:
         raise ValueError("max_restarts cannot be negative")
     ticks = lines.select(run, ts).distinct()  # equal times give no gap and would make a hot instant
-    sliced = slice_groups(ticks, [run], [ts], slice_rows)
+    sliced = slice_groups(ticks, [run], [ts], bucket)
     previous = F.lag(ts).over(Window.partitionBy(*sliced.by_slice).orderBy(ts))
-    rows = sliced.rows.withColumn("_previous", previous)
-    if sliced.cut:
-        last = sliced.rows.groupBy(*sliced.by_slice).agg(F.max(ts).alias("_last"))
-        rows = join_carry(rows, sliced, carried(sliced, last, _carry=F.max("_last")))
-        rows = rows.withColumn("_previous", F.coalesce("_previous", "_carry"))
+    last = sliced.rows.groupBy(*sliced.by_slice).agg(F.max(ts).alias("_last"))
+    rows = join_carry(sliced.rows.withColumn("_previous", previous), sliced, carried(sliced, last, _carry=F.max("_last")))
+    rows = rows.withColumn("_previous", F.coalesce("_previous", "_carry"))
     gap = (F.col(ts) - F.col("_previous")) / 1e6
     stalls = rows.filter(gap >= stall_seconds).select(
         run, F.col("_previous").alias("silent_from_us"), F.col(ts).alias("silent_to_us"), gap.alias("gap_seconds")
     )
-    numbered = number_rows(stalls, [run], ["silent_from_us"], into="attempt", slice_rows=slice_rows)
+    numbered = number_rows(stalls, [run], ["silent_from_us"], into="attempt", bucket=bucket)
     return numbered.withColumn(
         "outcome", F.when(F.col("attempt") <= max_restarts, "restart").otherwise("restart_limit_reached")
     )
 
 
 def stall_sessions(
-    lines: DataFrame, run: str = "run", ts: str = "ts_us", stall_seconds: int = 600, slice_rows: int | None = None
+    lines: DataFrame, run: str = "run", ts: str = "ts_us", stall_seconds: int = 600, bucket: int = BUCKET_US
 ) -> DataFrame:
     """Stretches of output without a stall; equal to session windows of that gap.
 
@@ -52,7 +54,7 @@ def stall_sessions(
     """
     gap = stall_seconds * 1_000_000
     covers = lines.select(run, F.col(ts).alias("start_ns"), (F.col(ts) + (gap - 1)).alias("end_ns"))
-    merged = merge_intervals(covers, [run], slice_rows=slice_rows)
+    merged = merge_intervals(covers, [run], bucket=bucket)
     return merged.select(
         run,
         F.col("start_ns").alias("session_start_us"),

@@ -154,19 +154,15 @@ def assemble_strips(cores: DataFrame, image: str = "image_id") -> DataFrame:
     )
 
 
-def assemble_images(strips: DataFrame, image: str = "image_id", max_pixels: int = 24_000_000) -> DataFrame:
+def assemble_images(strips: DataFrame, image: str = "image_id") -> DataFrame:
     """Strips in order are the image, since samples are row-major.
 
-    The source image was one cell of a row, so a group holds at most scale squared times that;
-    images above ``max_pixels`` raise and should stay strips.
+    The source image was one cell of a row, so a group holds at most scale squared times that.
     """
-    joined = F.aggregate(F.sort_array("parts"), F.lit(b""), lambda data, part: F.concat(data, part["data"]))
-    grouped = strips.groupBy(image).agg(
-        F.sum("height").alias("height"), F.max("width").alias("width"), F.max("channels").alias("channels"), F.collect_list(F.struct("y", "data")).alias("parts")
+    data = F.expr("listagg(data) WITHIN GROUP (ORDER BY y)")
+    return strips.groupBy(image).agg(
+        F.sum("height").alias("height"), F.max("width").alias("width"), F.max("channels").alias("channels"), data.alias("data")
     )
-    area = F.col("height") * F.col("width")
-    data = F.when(area > max_pixels, F.raise_error(F.lit("image exceeds the pixel limit; keep its strips"))).otherwise(joined)
-    return grouped.select(image, "height", "width", "channels", data.alias("data"))
 
 
 def core_pixels(cores: DataFrame, image: str = "image_id") -> DataFrame:

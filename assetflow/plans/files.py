@@ -8,8 +8,8 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from assetflow.functions import resolution
-from assetflow.operators import intervals, reconcile
+from assetflow.functions import resolution, timing
+from assetflow.operators import intervals, reconcile, reports
 from assetflow.plans import library
 from assetflow.plans.metrics import islands
 from assetflow.plans.library import O_UPSERT, PLANNED_X24, assets, planned, sql
@@ -73,7 +73,7 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR) || '.zip', CASE WHEN source = 'src1' TH
 
 
 def q_worklist_files(spark, d):
-    """A work list written, plans appended twice, and read back with the last plan of each item."""
+    """A work list written, conflicting plans appended four times, and read back with the last plan of each item."""
     path = shared_dir(spark, "worklist")
     images = assets(spark, d).filter(F.col("rel").rlike("[.](png|jpg|jpeg|webp|tif|tiff|bmp)$"))
     head = images.agg(F.count(F.lit(1)).alias("count")).select(F.lit("library-worklist").alias("type"), F.lit(2).alias("schema"), "count")
@@ -81,17 +81,18 @@ def q_worklist_files(spark, d):
     snapshot = F.struct("size", "mtime_ns", zero.alias("ctime_ns"), zero.alias("device"), zero.alias("inode"))
     rows = images.select(F.col("rel").alias("source"), snapshot.alias("source_snapshot"), F.lit("encode_mirror").alias("action"))
     sinks.write_worklist(head, rows, path)
-    done = planned(spark, d, (2, 4)).filter("plan_error IS NULL")
-    sinks.append_plans(
-        done.select(
-            F.col("rel").alias("source"),
-            resolution.planned_action(F.col("plan")).alias("action"),
-            F.array("plan.output_width", "plan.output_height").alias("planned_output_dimensions"),
-            F.col("plan.native_scale").alias("native_scale"),
-            F.col("plan.reason").alias("reason"),
-        ),
-        path,
+    done = planned(spark, d, (2, 4)).filter("plan_error IS NULL").select(
+        F.col("rel").alias("source"),
+        resolution.planned_action(F.col("plan")).alias("action"),
+        F.array("plan.output_width", "plan.output_height").alias("planned_output_dimensions"),
+        F.col("plan.native_scale").alias("native_scale"),
+        F.col("plan.reason").alias("reason"),
     )
+    # earlier plans that the last append overrules, in files of several sizes
+    for width in (1, 2, 3):
+        some = done.filter(F.length("source") % width == 0)
+        sinks.append_plans(some.withColumns({"planned_output_dimensions": F.array(F.lit(width).cast("long"), F.lit(7).cast("long")), "reason": F.lit("draft " * width)}), path)
+    sinks.append_plans(done, path)
     back = worklist.read_worklist(spark, path)
     return reconcile.worklist_with_plan(worklist.items(back), worklist.plans(back)).select(
         "source", F.col("source_snapshot.size").alias("size"), "action", "planned_action", "planned_width", "planned_height", "reason"
@@ -166,13 +167,69 @@ O_PAGE_FILES = sql(
 )
 
 
+SUMMED = """SELECT run_id, count(*) FILTER (done) AS processed, count(*) FILTER (image AND status = 'skipped') AS skipped, count(*) FILTER (kind = 'metadata' AND status = 'complete') AS copied,
+  count(*) FILTER (kind = 'ignored') AS ignored, count(*) FILTER (kind = 'jxl') AS jxl_skipped, count(*) FILTER (status = 'error') AS failed, count(*) FILTER (done AND upscale) AS sr_pages,
+  count(*) FILTER (done AND NOT upscale) AS transcoded_pages, count(*) FILTER (done AND replacement IS NOT NULL) AS replaced_sources, count(*) FILTER (done AND replacement = 'adopted') AS existing_jxl_adopted,
+  count(*) FILTER (done AND replacement = 'replaced') AS existing_jxl_replaced, count(*) FILTER (image AND external) AS external_jxl_recoveries, count(*) FILTER (status = 'deferred') AS deferred,
+  count(*) FILTER (done AND reason LIKE '%remains below target%') AS target_unmet, count(*) FILTER (write_error) AS metrics_write_errors,
+  CAST(coalesce(sum(output_bytes) FILTER (done), 0) AS BIGINT) AS output_bytes, round(coalesce(sum(inference_seconds) FILTER (done), 0), 6) AS inference_seconds,
+  round(coalesce(sum(postprocess_seconds) FILTER (done), 0), 6) AS postprocess_seconds, round(coalesce(sum(encoding_seconds) FILTER (done), 0), 6) AS encoding_seconds,
+  (max(end_ns) - min(start_ns)) / 1e9::DOUBLE AS wall_seconds, min(start_ns) AS started_ns, max(end_ns) AS ended_ns, count(*) FILTER (image) AS pages_written
+FROM (SELECT *, kind = 'image' AS image, kind = 'image' AND status = 'complete' AS done FROM job_outcomes) o GROUP BY run_id"""
+
+
+def q_job_summary(spark, d):
+    """All counters and seconds of every run."""
+    out = reports.job_summary(spark_view(spark, d, "job_outcomes"))
+    return out.withColumns({name: F.round(name, 6) for name in reports.SECONDS})
+
+
+O_JOB_SUMMARY = sql(["job_outcomes"], SUMMED)
+
+
+def q_job_report(spark, d):
+    """Job reports written as JSON lines and read back: header, UTC times, summary, totals by service and interval."""
+    path = shared_dir(spark, "jobs")
+    outcomes = spark_view(spark, d, "job_outcomes")
+    spans = outcomes.filter("kind = 'image'").select("run_id", F.col("status").alias("name"), "start_ns", "end_ns")
+    services = outcomes.select("run_id", F.col("kind").alias("service"), F.col("inference_seconds").alias("seconds"))
+    sinks.write_job_reports(reports.job_reports(outcomes, spans, services, "library-job-metrics"), path)
+    done = F.col("timing.interval_summary")["complete"]
+    return metrics_source.read_job_reports(spark, path).select(
+        "type",
+        "run_id",
+        "status",
+        "started_utc",
+        "ended_utc",
+        (timing.utc_micros(F.col("ended_utc")) - timing.utc_micros(F.col("started_utc"))).alias("wall_us"),
+        F.col("summary.processed").alias("processed"),
+        F.col("summary.target_unmet").alias("target_unmet"),
+        F.col("summary.output_bytes").alias("output_bytes"),
+        "pages_written",
+        F.round(F.col("timing.cumulative_service_seconds")["image"], 6).alias("image_seconds"),
+        done["count"].alias("complete_count"),
+        F.round(done["union_seconds"], 6).alias("complete_union_seconds"),
+    )
+
+
+O_JOB_REPORT = sql(
+    ["job_outcomes"],
+    """SELECT 'library-job-metrics' AS type, s.run_id, CASE WHEN failed > 0 OR deferred > 0 THEN 'completed_with_errors' ELSE 'complete' END AS status,
+  strftime(make_timestamp(started_ns // 1000), '%Y-%m-%dT%H:%M:%S.%fZ') AS started_utc, strftime(make_timestamp(ended_ns // 1000), '%Y-%m-%dT%H:%M:%S.%fZ') AS ended_utc,
+  CAST((ended_ns - started_ns) // 1000 AS BIGINT) AS wall_us, processed, target_unmet, output_bytes, pages_written, image_seconds, complete_count, complete_union_seconds
+FROM summed s LEFT JOIN (SELECT run_id, round(sum(inference_seconds), 6) AS image_seconds FROM job_outcomes WHERE kind = 'image' GROUP BY run_id) t ON t.run_id = s.run_id
+LEFT JOIN (SELECT run_id, CAST(sum(intervals) AS BIGINT) AS complete_count, round(sum(end_ns - start_ns) / 1e9::DOUBLE, 6) AS complete_union_seconds FROM islands GROUP BY run_id) i ON i.run_id = s.run_id""",
+    [f"summed AS ({SUMMED})", "done_spans AS (SELECT run_id, start_ns, end_ns FROM job_outcomes WHERE kind = 'image' AND status = 'complete')", islands("run_id", "done_spans")],
+)
+
+
 def q_stream_status(spark, d):
     """Totals by status from page records that arrive as files."""
     landing, out, mark = (shared_dir(spark, n) for n in ("landing", "totals", "mark"))
     sinks.write_page_metrics(page_records(spark, d), landing)
     stream = metrics_tail.stream_page_metrics(spark, landing)
     metrics_tail.write_totals(metrics_tail.status_totals(stream), out, mark).awaitTermination()
-    return spark.read.parquet(out)
+    return metrics_tail.read_totals(spark, out)
 
 
 O_STREAM_STATUS = sql(
@@ -242,6 +299,8 @@ REGISTRY = {
     "worklist_files": (q_worklist_files, O_WORKLIST_FILES),
     "manifest_table": (q_manifest_table, O_UPSERT),
     "checksum_lines": (q_checksum_lines, O_CHECKSUM_LINES),
+    "job_summary": (q_job_summary, O_JOB_SUMMARY),
+    "job_report": (q_job_report, O_JOB_REPORT),
     "page_metrics_files": (q_page_metrics_files, O_PAGE_FILES),
     "stream_status_totals": (q_stream_status, O_STREAM_STATUS),
     "stream_arrivals": (q_stream_arrivals, O_STREAM_ARRIVALS),

@@ -219,6 +219,27 @@ O_COLLISION = sql(
 )
 
 
+UNICODE = ("Straße", "STRASSE", "strasse", "café", "cafe\u0301", "CAFÉ")
+
+
+def q_collision_unicode(spark, d):
+    """Destination collisions of names that differ by case, full case folding or composition only."""
+    names = F.element_at(F.array(*[F.lit(n) for n in UNICODE]), (F.col("asset_id") % len(UNICODE) + 1).cast("int"))
+    named = assets(spark, d).select(F.concat(F.substring_index("rel", "/", 1), F.lit("/"), names, F.floor(F.col("asset_id") / 12).cast("string"), F.lit(".png")).alias("rel"))
+    return companions.destination_collision(named)
+
+
+O_COLLISION_UNICODE = sql(
+    ["assets"],
+    """SELECT key, source, first_source, sources FROM (
+  SELECT key, rel AS source, min(rel) OVER (PARTITION BY key) AS first_source, count(*) OVER (PARTITION BY key) AS sources FROM m) c WHERE sources > 1""",
+    [
+        "named AS (SELECT split_part(rel, '/', 1) || '/' || (['" + "', '".join(UNICODE) + "'])[asset_id % 6 + 1] || CAST(asset_id // 12 AS VARCHAR) AS stem FROM assets)",
+        "m AS (SELECT stem || '.png' AS rel, replace(lower(nfc_normalize(stem)), 'ß', 'ss') || '.jxl' AS key FROM named)",
+    ],
+)
+
+
 def q_companion_key_collision(spark, d):
     """Collisions of all asset stems: the companion rule applied to every file's companion key."""
     stems = assets(spark, d).select(F.col("rel").alias("source"), paths.companion_key(F.col("key")).alias("key"))
@@ -670,6 +691,7 @@ REGISTRY = {
     "model_switches": (q_model_switches, O_SWITCHES),
     "page_numbering": (q_page_numbering, O_NUMBERING),
     "destination_collision": (q_destination_collision, O_COLLISION),
+    "collision_unicode": (q_collision_unicode, O_COLLISION_UNICODE),
     "companion_key_collision": (q_companion_key_collision, O_KEY_COLLISION),
     "companion_join": (q_companion_join, O_COMPANION),
     "orphan_companions": (q_orphans, O_ORPHANS),

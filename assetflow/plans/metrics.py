@@ -11,7 +11,7 @@ from assetflow.plans.library import IMAGE, assets, sql
 from assetflow.plans.views import spark_view, table
 
 ISLANDS = """islands AS (SELECT {keys}, island, min(start_ns) AS start_ns, max(end_ns) AS end_ns, count(*) AS intervals, sum(end_ns - start_ns) AS busy_ns FROM (
-  SELECT *, sum(opens) OVER (PARTITION BY {keys} ORDER BY start_ns, end_ns ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY {keys} ORDER BY start_ns, end_ns RANGE UNBOUNDED PRECEDING) AS island FROM (
     SELECT *, CASE WHEN start_ns <= max(end_ns) OVER (PARTITION BY {keys} ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens
     FROM {source} WHERE end_ns >= start_ns) a) b GROUP BY {keys}, island)"""
 WALLS = "walls AS (SELECT run_id, max(end_ns) - min(start_ns) AS wall_ns FROM spans GROUP BY run_id)"
@@ -57,7 +57,7 @@ O_RELATIONSHIP = sql(
     """SELECT b.run_id, b.relationship, b.left_interval, o.overlap_ns / 1e9::DOUBLE AS overlap_seconds, b.busy_ns / 1e9::DOUBLE AS busy_union_seconds,
   b.busy_ns / wall_ns * 100 AS busy_union_critical_path_percent
 FROM (SELECT run_id, relationship, left_interval, CAST(sum(e - s) AS BIGINT) AS busy_ns FROM (SELECT run_id, relationship, left_interval, island, min(start_ns) AS s, max(end_ns) AS e FROM (
-    SELECT *, sum(opens) OVER (PARTITION BY run_id, relationship ORDER BY start_ns, end_ns ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, sum(opens) OVER (PARTITION BY run_id, relationship ORDER BY start_ns, end_ns RANGE UNBOUNDED PRECEDING) AS island FROM (
       SELECT *, CASE WHEN start_ns <= max(end_ns) OVER (PARTITION BY run_id, relationship ORDER BY start_ns, end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens
       FROM both_sides) a) b GROUP BY ALL) c GROUP BY ALL) b
 JOIN (SELECT l.run_id, p.relationship, CAST(sum(greatest(0, least(l.end_ns, r.end_ns) - greatest(l.start_ns, r.start_ns))) AS BIGINT) AS overlap_ns

@@ -66,6 +66,20 @@ SELECT l_orderkey % 40 AS run,
   CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'N' THEN 'skipped' ELSE 'deferred' END AS status,
   CASE WHEN l_quantity < 25 THEN 'normal' ELSE 'sharper' END AS route, CASE WHEN l_linenumber % 2 = 0 THEN 256 ELSE 320 END AS tile,
   CAST(floor(l_extendedprice) AS BIGINT) AS output_bytes, l_tax AS seconds
+FROM lineitem""",
+    ),
+    "job_outcomes": (
+        ("lineitem",),
+        """
+SELECT concat('r', CAST(l_orderkey % 40 AS VARCHAR(10))) AS run_id,
+  CASE WHEN l_linenumber = 7 AND l_suppkey % 3 = 0 THEN 'error' WHEN l_returnflag = 'A' THEN 'complete' WHEN l_returnflag = 'N' THEN 'skipped' ELSE 'deferred' END AS status,
+  CASE l_suppkey % 10 WHEN 0 THEN 'metadata' WHEN 1 THEN 'ignored' WHEN 2 THEN 'jxl' ELSE 'image' END AS kind,
+  l_quantity < 25 AS upscale,
+  CASE WHEN l_partkey % 5 = 0 THEN 'maximum 4x remains below target' ELSE '4x then resize to target short edge' END AS reason,
+  CASE l_partkey % 4 WHEN 0 THEN 'adopted' WHEN 1 THEN 'replaced' WHEN 2 THEN 'new' END AS replacement,
+  l_suppkey % 7 = 0 AS external, l_linenumber = 6 AS write_error, CAST(floor(l_extendedprice) AS BIGINT) AS output_bytes,
+  l_tax AS inference_seconds, l_discount AS postprocess_seconds, l_tax + l_discount AS encoding_seconds,
+  1700000000000000000 + l_orderkey * 1000000000 AS start_ns, 1700000000000000000 + (l_orderkey + l_linenumber) * 1000000000 + 250000 AS end_ns
 FROM lineitem""",
     ),
     "services": (

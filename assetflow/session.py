@@ -26,10 +26,14 @@ def build_session(app: str = "assetflow", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the shared ``spark.checkpoint.dir`` that the cluster names.
 
-    Only where the setting is absent (tests, a laptop) is a local folder made and set.
+    Only where the setting is absent and all tasks run on this machine (tests, a laptop) is a local
+    folder made and set; on a cluster an absent setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

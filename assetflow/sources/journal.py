@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -35,40 +40,69 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 class ManifestTable:
     """Versioned parquet snapshots of the committed state.
 
-    A commit writes a whole new version and only then appends one line to ``commits``; readers
-    follow the last line, so a job that dies half way leaves the previous version in force.
+    A commit writes a whole new folder and only then creates the commit file of its version, which
+    fails if another writer has created it: then the commit is made again on top of that version.
+    Readers follow the highest commit file, so a job that dies half way leaves the previous version
+    in force.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "rel") -> None:
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
-    def version(self) -> int | None:
+    def _latest(self) -> tuple[int, str] | None:
+        """The highest commit: its version and its folder."""
         try:
-            commits = self.spark.read.schema("version bigint, rows bigint").json(f"{self.path}/commits")
+            commits = self.spark.read.schema("version bigint, folder string").json(f"{self.path}/commits")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
-        return commits.agg(F.max("version")).first()[0]
+        last = commits.agg(F.max(F.struct("version", "folder")).alias("last")).first()["last"]
+        return None if last is None else (last["version"], last["folder"])
+
+    def version(self) -> int | None:
+        latest = self._latest()
+        return None if latest is None else latest[0]
 
     def read(self) -> DataFrame:
-        current = self.version()
-        if current is None:
+        return self._at(self._latest())
+
+    def _at(self, commit: tuple[int, str] | None) -> DataFrame:
+        if commit is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={current}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{commit[1]}")
+
+    def _claim(self, version: int, folder: str) -> bool:
+        """Create the commit file of a version; False if there is one."""
+        jvm = self.spark._jvm
+        file = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{version:020d}.json")
+        system = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = system.create(file, False)
+        except Py4JJavaError:
+            if system.exists(file):
+                return False
+            raise
+        out.write(bytearray(json.dumps({"version": version, "folder": folder}).encode()))
+        out.close()
+        return True
+
+    def _change(self, rows: Callable[[DataFrame], DataFrame]) -> int:
+        """Commit what ``rows`` makes of the current state; again if another commit comes first."""
+        while True:
+            latest = self._latest()
+            version, folder = (latest[0] if latest else 0) + 1, f"data-{uuid.uuid4().hex}"
+            rows(self._at(latest)).write.parquet(f"{self.path}/{folder}")
+            if self._claim(version, folder):
+                return version
 
     def commit(self, rows: DataFrame) -> int:
-        version = (self.version() or 0) + 1
-        target = f"{self.path}/version={version}"
-        rows.write.mode("overwrite").parquet(target)
-        written = self.spark.read.schema(self.schema).parquet(target)
-        written.agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("rows")).coalesce(1).write.mode("append").json(f"{self.path}/commits")
-        return version
+        return self._change(lambda _old: rows)
 
     def upsert(self, new: DataFrame) -> int:
         names = [f.name for f in T._parse_datatype_string(self.schema)]
-        return self.commit(manifest_upsert(self.read(), new.select(*names), self.key))
+        return self._change(lambda old: manifest_upsert(old, new.select(*names), self.key))
 
     def discard(self, keys: DataFrame) -> int:
         """Drop records; a table without rows reads as empty."""
-        return self.commit(self.read().join(keys.select(self.key), self.key, "left_anti"))
+        return self._change(lambda old: old.join(keys.select(self.key), self.key, "left_anti"))

@@ -66,6 +66,11 @@ def read_job_metrics(spark: SparkSession, root: str) -> DataFrame:
     return reader.json(root).withColumn("file", F.col("_metadata.file_path"))
 
 
+def read_job_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Job reports of many runs, one JSON line each."""
+    return spark.read.schema(JOB_SCHEMA).json(path)
+
+
 def job_count_violations(jobs: DataFrame) -> DataFrame:
     """A metrics root must hold exactly one job report."""
     return jobs.agg(F.count(F.lit(1)).alias("n")).filter("n <> 1").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -18,14 +20,24 @@ def write_worklist(header: DataFrame, items: DataFrame, path: str) -> None:
     body.write.mode("append").text(path)
 
 
-def append_plans(plans: DataFrame, path: str) -> None:
-    """Plan rows: source, action, planned_output_dimensions, native_scale, reason."""
-    write_json_lines(plans.select(F.lit("plan").alias("type"), *plans.columns), path, mode="append")
+def append_plans(plans: DataFrame, path: str, seq: int | None = None) -> None:
+    """Plan rows: source, action, planned_output_dimensions, native_scale, reason.
+
+    Every append carries a sequence number (the clock in nanoseconds unless one is given), since
+    the files of a folder have no order: a reader takes the row with the highest one.
+    """
+    number = F.lit(time.time_ns() if seq is None else seq).cast("long").alias("seq")
+    write_json_lines(plans.select(F.lit("plan").alias("type"), number, *plans.columns), path, mode="append")
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A one-row report as a single JSON object."""
-    write_json_lines(report.limit(1).coalesce(1), path)
+    """A report as JSON objects in one file, one line per row."""
+    write_json_lines(report.coalesce(1), path)
+
+
+def write_job_reports(reports: DataFrame, path: str) -> None:
+    """Job reports as JSON lines, one per run."""
+    write_json_lines(reports, path)
 
 
 def write_page_metrics(pages: DataFrame, path: str) -> None:

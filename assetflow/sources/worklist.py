@@ -9,19 +9,21 @@ WORKLIST_SCHEMA = (
     "type string, schema int, run_id string, created_unix_ns bigint, source_root string, pipeline_signature string, "
     "root_device bigint, root_inode bigint, target_short_edge int, count bigint, "
     f"source string, source_snapshot {SNAPSHOT}, destination string, action string, "
-    "planned_output_dimensions array<bigint>, native_scale int, reason string"
+    "planned_output_dimensions array<bigint>, native_scale int, reason string, seq bigint"
 )
 
 
 def read_worklist(spark: SparkSession, path: str) -> DataFrame:
     """All rows with ``kind`` (header, item, plan) and ``line_no``, an ordering of the lines.
 
-    ``line_no`` is a struct of the split's offset in the file and the row's place in it.
+    ``line_no`` is a struct of the append's sequence number, the split's offset in its file and the
+    row's place in the split.  Files without sequence numbers are one file with lines in order.
     """
     lines = spark.read.text(path).select(
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"), "value"
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.from_json("value", WORKLIST_SCHEMA).alias("j")
     )
-    rows = lines.select("line_no", F.from_json("value", WORKLIST_SCHEMA).alias("j")).select("line_no", "j.*")
+    order = F.struct(F.coalesce("j.seq", F.lit(0)).alias("seq"), "block", "row")
+    rows = lines.select(order.alias("line_no"), "j.*").drop("seq")
     kind = F.when(F.col("type").endswith("-worklist"), "header").when(F.col("type") == "plan", "plan").when(F.col("type").isNull(), "item")
     return rows.withColumn("kind", kind)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from assetflow.operators.incremental import all_equal
+from assetflow.session import shared_dir
 from assetflow.sources.journal import ManifestTable
 
 
@@ -37,7 +38,10 @@ def process_arrivals(
         try:
             todo = pending(batch, table.read(), fields, table.key)
             if not todo.isEmpty():
-                table.upsert(process(todo))
+                # written once: the upsert reads it more than once, and the work must not be done again
+                path = shared_dir(batch.sparkSession, "arrivals")
+                process(todo).write.parquet(path)
+                table.upsert(batch.sparkSession.read.parquet(path))
         finally:
             batch.unpersist()
 

@@ -29,10 +29,19 @@ def live_service_totals(pages: DataFrame) -> DataFrame:
 
 
 def write_totals(totals: DataFrame, path: str, checkpoint: str, once: bool = True):
-    """Keep the latest totals as a parquet table: each trigger replaces it."""
+    """Keep the totals of each trigger in a folder of its own; ``read_totals`` takes the last whole one."""
 
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
 
-    writer = totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
+    writer = totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(keep)
     return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the last trigger that ended; a trigger that is being written is not seen."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
+    done = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    if not done:
+        raise ValueError(f"{path}: no totals yet")
+    return spark.read.parquet(max(str(status.getPath().getParent()) for status in done))

@@ -56,22 +56,11 @@ def compare(spark, con, sf_dir, name, query, oracle):
     return True, f"{len(got_rows)} rows", spent
 
 
-def use_scale_paths():
-    """Treat every input as large: count groups, cut them small and look for hot keys."""
-    from assetflow.operators import skew, slices
-
-    skew.SMALL_BYTES = 0
-    slices.SLICE_ROWS = 300
-
-
 def main():
     sys.path.insert(0, "/root/repo")
     from assetflow.plans.registry import REGISTRY
     from assetflow.session import build_session
 
-    if "--scale-paths" in sys.argv:
-        sys.argv.remove("--scale-paths")
-        use_scale_paths()
     sf_dir = sys.argv[1]
     names = sys.argv[2:] or list(REGISTRY)
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})

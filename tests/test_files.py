@@ -178,19 +178,42 @@ def test_manifest_table(spark, tmp_path):
     table.upsert(rows(("a", 1), ("b", 2)))
     table.upsert(rows(("b", 3), ("c", 4)))
     assert {tuple(r) for r in table.read().collect()} == {("a", 1), ("b", 3), ("c", 4)}
-    # a version that was written but never committed is not seen, and is replaced later
-    rows(("zzz", 0)).write.parquet(str(tmp_path / "t" / "version=3"))
+    # a folder that was written but never committed is not seen
+    rows(("zzz", 0)).write.parquet(str(tmp_path / "t" / "data-lost"))
     assert table.version() == 2 and table.read().count() == 3
     table.discard(rows(("a", 0), ("b", 0), ("c", 0)))
     assert table.version() == 3 and table.read().count() == 0
 
 
+def test_commits_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    """Another writer commits between this one's read and its commit file."""
+    one, two = (journal.ManifestTable(spark, str(tmp_path / "t"), "rel string, size bigint") for _ in range(2))
+    rows = lambda *r: spark.createDataFrame(list(r), "rel string, size bigint")
+    one.upsert(rows(("a", 1)))
+    claim, between = one._claim, iter([lambda: two.upsert(rows(("b", 2)))])
+    monkeypatch.setattr(one, "_claim", lambda *args: (next(between, lambda: None)(), claim(*args))[1])
+    assert one.upsert(rows(("c", 3))) == 3
+    assert {tuple(r) for r in one.read().collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
+def test_last_append_wins(spark, tmp_path):
+    path = str(tmp_path / "w")
+    head = spark.range(1).select(F.lit("x-worklist").alias("type"))
+    sinks.write_worklist(head, spark.createDataFrame([("a",)], "source string"), path)
+    for n in range(6):
+        plan = [("a" if k == 0 else f"{n}-{k}", f"plan{n}", [1, 2], 4, "r" * (200 if n % 2 else 1)) for k in range(1 + 50 * (n % 3))]
+        sinks.append_plans(spark.createDataFrame(plan, "source string, action string, planned_output_dimensions array<long>, native_scale int, reason string"), path)
+    back = worklist.read_worklist(spark, path)
+    assert reconcile.worklist_with_plan(worklist.items(back), worklist.plans(back)).first().planned_action == "plan5"
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a" * 64, "x/y.png"), ("b" * 64, "z.png")], "sha256 string, path string")
     sinks.write_checksums(df, str(tmp_path / "sums"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "sums")).collect()) == ["a" * 64 + "  x/y.png", "b" * 64 + "  z.png"]
-    sinks.write_report(df.limit(1), str(tmp_path / "report"))
-    assert json.loads(spark.read.text(str(tmp_path / "report")).first().value)["path"]
+    report = spark.range(5).repartition(3)
+    sinks.write_report(report, str(tmp_path / "report"))
+    assert sorted(json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "report")).collect()) == list(range(5))
 
 
 def test_archives(spark, tmp_path):

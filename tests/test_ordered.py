@@ -38,18 +38,19 @@ def brute_merge(rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("slice_rows", [40, 500, 10**6])
-def test_merge_intervals(spark, seed, slice_rows):
+@pytest.mark.parametrize("bucket", [40, 5000, 10**9])
+def test_merge_intervals(spark, seed, bucket):
     rows = skewed_spans(seed=seed)
     df = spark.createDataFrame(rows, "g string, n string, start_ns long, end_ns long")
-    got = intervals.merge_intervals(df, ["g", "n"], slice_rows=slice_rows)
+    got = intervals.merge_intervals(df, ["g", "n"], bucket=bucket)
     assert {tuple(r) for r in got.collect()} == brute_merge(rows)
 
 
-def test_slices_bound_every_hot_group(spark):
+@pytest.mark.parametrize("how", [{"bucket": 100}, {"slices": 20}])
+def test_slices_bound_every_hot_group(spark, how):
     df = spark.createDataFrame(skewed_spans(), "g string, n string, start_ns long, end_ns long").select("g", "start_ns").distinct()
-    sliced = slices.slice_groups(df, ["g"], ["start_ns"], 100)
-    assert sliced.cut and sliced.rows.count() == df.count()
+    sliced = slices.slice_groups(df, ["g"], ["start_ns"], **how)
+    assert sliced.rows.count() == df.count()
     sizes = [r["count"] for r in sliced.rows.groupBy("g", slices.SLICE).count().collect()]
     assert max(sizes) < 300
     # slices are contiguous ranges of the order
@@ -82,18 +83,18 @@ def test_missing_side_has_no_overlap(spark):
     assert row.overlap_seconds == 0 and row.busy_union_seconds == 5e-9
 
 
-@pytest.mark.parametrize("slice_rows", [30, 10**6])
-def test_numbering_and_switches(spark, slice_rows):
+@pytest.mark.parametrize("slices_of", [1, 30])
+def test_numbering_and_switches(spark, slices_of):
     rng = random.Random(3)
     rows = [(f"k{rng.randrange(400):03d}", f"f{i}", rng.choice(["normal", "sharper"])) for i in range(700)]
     df = spark.createDataFrame(rows, "key string, rel string, variant string")
     ordered = sorted(rows)
-    got = ordering.page_numbering(df, slice_rows=slice_rows).collect()
+    got = ordering.page_numbering(df, slices=slices_of).collect()
     assert {(r.key, r.rel): r.page_index for r in got} == {(k, f): i for i, (k, f, _) in enumerate(ordered, 1)}
     assert {r.total for r in got} == {700}
     want = sum(a[2] != b[2] for a, b in zip(ordered, ordered[1:]))
-    assert ordering.model_switches(df, slice_rows=slice_rows).first().switches == want
-    keyed = slices.number_rows(df, ["variant"], ["key", "rel"], total="n", slice_rows=slice_rows).collect()
+    assert ordering.model_switches(df, slices=slices_of).first().switches == want
+    keyed = slices.number_rows(df, ["variant"], ["key", "rel"], total="n", slices=slices_of).collect()
     for variant in ("normal", "sharper"):
         mine = [(k, f) for k, f, v in ordered if v == variant]
         assert {(r.key, r.rel): (r.row_index, r.n) for r in keyed if r.variant == variant} == {x: (i, len(mine)) for i, x in enumerate(mine, 1)}
@@ -105,8 +106,8 @@ def test_no_rows(spark):
     assert ordering.page_numbering(empty).count() == 0
 
 
-@pytest.mark.parametrize("slice_rows", [25, 10**6])
-def test_stalls(spark, slice_rows):
+@pytest.mark.parametrize("bucket", [700_000_000, 10**12])
+def test_stalls(spark, bucket):
     rng = random.Random(5)
     rows = []
     for run, n in (("hot", 600), ("b", 40), ("c", 1)):
@@ -120,9 +121,9 @@ def test_stalls(spark, slice_rows):
         times = sorted({t for r, t in rows if r == run})
         gaps = [(a, b) for a, b in zip(times, times[1:]) if b - a >= 600_000_000]
         want |= {(run, a, b, (b - a) / 1e6, i, "restart" if i <= 2 else "restart_limit_reached") for i, (a, b) in enumerate(gaps, 1)}
-    got = stalls.stall_gaps(df, slice_rows=slice_rows)
+    got = stalls.stall_gaps(df, bucket=bucket)
     assert {tuple(r) for r in got.select("run", "silent_from_us", "silent_to_us", "gap_seconds", "attempt", "outcome").collect()} == want
-    sessions = stalls.stall_sessions(df, slice_rows=slice_rows).collect()
+    sessions = stalls.stall_sessions(df, bucket=bucket).collect()
     assert len(sessions) == len(want) + 3 and sum(s.lines for s in sessions) == len(rows)
     windows = df.groupBy("run", F.session_window(F.timestamp_micros("ts_us"), "599 seconds 999999 microseconds").alias("w")).count()
     assert {(r.run, r.session_start_us, r.session_end_us, r.lines) for r in sessions} == {

@@ -15,7 +15,7 @@ BASE = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 def test_tail_equals_batch(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
-    totals = lambda: {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    totals = lambda: {tuple(r) for r in metrics_tail.read_totals(spark, str(tmp_path / "out")).collect()}
     for part in range(3):
         rows = [
             {"source": f"{part}-{i}", "status": "complete" if i % 2 else "skipped", "details": {"output_bytes": i}, "timing": {"cumulative_service_seconds": {"cjxl": 0.5}}}
@@ -30,6 +30,24 @@ def test_tail_equals_batch(spark, tmp_path):
     assert (service.service, service.total_seconds, service.samples) == ("cjxl", 15.0, 30)
 
 
+def test_the_work_is_done_once(spark, tmp_path):
+    """A lazy ``process`` runs once per arrival, although the commit reads its result twice."""
+    from pyspark.sql import functions as F
+
+    schema = "rel string, size bigint, mtime_ns bigint, source_sha256 string"
+    table, done = ManifestTable(spark, str(tmp_path / "t"), schema), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def work(value):
+        done.add(1)
+        return value
+
+    spark.createDataFrame([(f"f{k}", k, k, "x") for k in range(10)], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    arrivals.process_arrivals(stream, table, lambda todo: todo.withColumn("source_sha256", work("source_sha256")), str(tmp_path / "mark")).awaitTermination()
+    assert table.read().count() == 10 and done.value == 10
+
+
 def test_arrivals_are_processed_once(spark, tmp_path):
     schema = "rel string, size bigint, mtime_ns bigint, source_sha256 string"
     table = ManifestTable(spark, str(tmp_path / "t"), schema)
