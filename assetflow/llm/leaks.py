@@ -257,11 +257,14 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int =
         if not items.keys:
             continue
         shared = docs.sparkSession.sparkContext.broadcast((items, choose_seeds(items, _frequencies(docs.select("text"), items))))
+        docs = docs.where(_is_clean(shared, min_score, slack)(F.col("text")))
+    return docs
 
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, shared=shared) -> pa.Array:
-            finder = Searcher(*shared.value, min_score, slack)
-            return pa.array([next(finder.leaks(t), None) is None for t in texts.cast(pa.binary()).to_pylist()])
 
-        docs = docs.where(clean(F.col("text")))
-    return docs
+def _is_clean(shared, min_score: float, slack: int):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        finder = Searcher(*shared.value, min_score, slack)
+        return pa.array([next(finder.leaks(t), None) is None for t in texts.cast(pa.binary()).to_pylist()], pa.bool_())
+
+    return clean
