@@ -15,18 +15,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.llm.leaks import plain_words
-from assetflow.llm.near_dups import _hashes
-from assetflow.llm.tokens import text_column
+from assetflow.llm.tokens import Remembered, text_column
 from assetflow.session import shared_dir
 
-BUCKET_BITS = 18
+BUCKET_BITS = 20
+#: Beginnings of words, in bytes, that are features beside the words, so that families of words are known by their stem.
+STEMS = (6, 7, 8)
 SYMBOLS = b'!"#$%&()*+/:;<=>?@[\\]^_`{|}~'
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
@@ -36,21 +40,34 @@ RULES = (("symbols", 0.09, 0.05), ("upper", 0.4, 0.15), ("repeats", 0.08, 0.03),
 FEW_WORDS = 4
 
 
+class WordBuckets(Remembered):
+    """The buckets of a word and of its beginnings, as bytes; the word's own comes first."""
+
+    def make(self, word: bytes) -> bytes:
+        parts = [word, *(b"^%d " % n + word[:n] for n in STEMS if len(word) >= n)]
+        return np.array([xxhash.xxh64_intdigest(p) >> (64 - BUCKET_BITS) for p in parts], np.int32).tobytes()
+
+
+@lru_cache(maxsize=1)
+def _word_buckets() -> WordBuckets:
+    return WordBuckets()
+
+
 def describe(text: bytes) -> tuple[list[float], np.ndarray]:
-    """The statistics of a text, and the sorted hash buckets of its words."""
+    """The statistics of a text, and the sorted hash buckets of its words and their beginnings."""
     size = max(1, len(text))
     letters = size - len(text.translate(None, LETTERS))
     own = plain_words(text)
-    h = _hashes().of(own)
-    n = len(h)
-    buckets = np.unique(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    n, different, known = len(own), set(own), _word_buckets()
+    known.turn()
+    buckets = np.unique(np.frombuffer(b"".join(map(known.__getitem__, different)), np.int32))
     lines = [x for x in text.split(b"\n") if x]
     stats = [
         float(n),
         (len(text) - len(text.translate(None, SYMBOLS))) / size,
         (len(text) - len(text.translate(None, UPPER))) / max(1, letters),
-        float((h[1:] == h[:-1]).mean()) if n > 1 else 0.0,
-        len(buckets) / min(n, 200) if n else 0.0,
+        sum(map(eq, own, own[1:])) / (n - 1) if n > 1 else 0.0,
+        len(different) / min(n, 200) if n else 0.0,
         sum(map(len, own)) / n if n else 0.0,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
     ]
@@ -112,34 +129,50 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
 
 
+def dense_features(stats: np.ndarray) -> np.ndarray:
+    """Logarithms of the statistics, and what each junk labeller says against and for a text."""
+    votes = np.array([junk_votes(s, None)[:-1] for s in stats.tolist()], np.int64).reshape(len(stats), -1)
+    return np.column_stack([np.log1p(stats), votes == 1, votes == 0])
+
+
+def dependence(one: np.ndarray, other: np.ndarray, n_one: float, n_other: float) -> np.ndarray:
+    """Chi-square of each bucket's presence and the class."""
+    n = n_one + n_other
+    has, hasnt = one + other, n - one - other
+    expected = has * n_one / n
+    spread = expected * (n_other / n) * (hasnt / n)
+    return (one - expected) ** 2 / np.maximum(spread, 1e-9)
+
+
 @dataclass
 class Scorer:
-    """A linear model over statistics and hashed words, for each question one row of weights."""
+    """A linear model over dense features and hashed words, for each question one row of weights."""
 
     mean: np.ndarray
     spread: np.ndarray
-    dense: np.ndarray  # (questions, statistics + 1)
+    dense: np.ndarray  # (questions, dense features + 1)
     hashed: np.ndarray  # (questions, buckets)
 
     @classmethod
-    def fit(cls, stats: np.ndarray, buckets: list[np.ndarray], targets: np.ndarray, steps: int = 120, rate: float = 0.05, shrink: float = 2e-4, least: int = 3) -> Scorer:
-        """``targets``: (questions, rows) posterior labels. Buckets that fewer than ``least`` rows have get no weight."""
+    def fit(cls, stats: np.ndarray, buckets: list[np.ndarray], targets: np.ndarray, steps: int = 400, rate: float = 0.1, shrink: float = 1e-5, least: float = 16.0) -> Scorer:
+        """``targets``: (questions, rows) posterior labels. Buckets whose ``dependence`` is below ``least`` get no weight."""
         size = 1 << BUCKET_BITS
         sizes = np.array([len(b) for b in buckets], np.int64)
         flat = np.concatenate(buckets) if len(buckets) else np.zeros(0, np.int32)
         row = np.repeat(np.arange(len(buckets)), sizes)
-        often = np.bincount(flat, minlength=size) >= least
-        keep = often[flat]
-        flat, row = flat[keep], row[keep]
-        used, at = np.unique(flat, return_inverse=True)
-        x = np.log1p(stats)
-        mean, spread = x.mean(axis=0) if len(x) else np.zeros(len(STATS)), (x.std(axis=0) if len(x) else np.zeros(len(STATS))) + 1e-3
+        x = dense_features(stats)
+        mean, spread = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         x = np.column_stack([np.clip((x - mean) / spread, -6, 6), np.ones(len(x))])
         dense, hashed = np.zeros((len(targets), x.shape[1])), np.zeros((len(targets), size))
+        all_flat, all_rows = flat, row
         for k, y in enumerate(targets):
-            one = np.bincount(at, y[row], len(used)) + 0.5
-            other = np.bincount(at, 1 - y[row], len(used)) + 0.5
-            ratio = np.log(one / (y.sum() + 1)) - np.log(other / ((1 - y).sum() + 1))
+            one = np.bincount(all_flat, y[all_rows], size)
+            other = np.bincount(all_flat, 1 - y[all_rows], size)
+            told = dependence(one, other, y.sum(), (1 - y).sum()) >= least if len(x) else np.zeros(size, bool)
+            keep = told[all_flat]
+            flat, row = all_flat[keep], all_rows[keep]
+            used, at = np.unique(flat, return_inverse=True)
+            ratio = np.log((one[used] + 0.5) / (y.sum() + 1)) - np.log((other[used] + 0.5) / ((1 - y).sum() + 1))
             weight = np.where(y > 0.5, 0.5 / max(1.0, (y > 0.5).sum()), 0.5 / max(1.0, (y <= 0.5).sum())) ** 0.5
             weight /= max(weight.sum(), 1e-9)
             w, v = np.zeros(len(used)), np.zeros(x.shape[1])
@@ -157,21 +190,20 @@ class Scorer:
 
     def score(self, stats: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
         """(questions, rows) probabilities."""
-        x = np.column_stack([np.clip((np.log1p(stats) - self.mean) / self.spread, -6, 6), np.ones(len(stats))])
+        x = np.column_stack([np.clip((dense_features(stats) - self.mean) / self.spread, -6, 6), np.ones(len(stats))])
         z = self.dense @ x.T + np.array([[float(h[b].sum()) for b in buckets] for h in self.hashed]).reshape(len(self.hashed), -1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def learn_lexicon(buckets: list[np.ndarray], toxic: list[int | None], least: int = 4, purity: float = 0.9, size: int = 256) -> np.ndarray:
-    """Buckets that at least ``least`` toxic rows have, and of the rows that have them at least ``purity`` toxic (per row of a class)."""
+def learn_lexicon(buckets: list[np.ndarray], toxic: list[int | None], least: int = 4, purity: float = 0.8, size: int = 256) -> np.ndarray:
+    """Buckets that at least ``least`` toxic rows have, and of all rows that have them a share of at least ``purity`` toxic."""
     total = 1 << BUCKET_BITS
     counts = []
     for kind in (1, 0):
         own = [b for b, t in zip(buckets, toxic, strict=True) if t == kind]
-        counts.append((np.bincount(np.concatenate(own), minlength=total) if own else np.zeros(total), max(1, len(own))))
-    (one, n_one), (other, n_other) = counts
-    share = (one / n_one) / (one / n_one + other / n_other + 1e-12)
-    good = np.flatnonzero((one >= least) & (share >= purity))
+        counts.append(np.bincount(np.concatenate(own), minlength=total) if own else np.zeros(total))
+    one, other = counts
+    good = np.flatnonzero((one >= least) & (one >= purity * (one + other)))
     return np.sort(good[np.argsort(-one[good], kind="stable")][:size]).astype(np.int32)
 
 
