@@ -36,7 +36,7 @@ UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
 STATS = ("words", "symbols", "upper", "repeats", "distinct", "length", "lines")
 #: Votes of the junk labellers: (statistic, junk from, fine up to), or the other way round for a falling one.
-RULES = (("symbols", 0.09, 0.05), ("upper", 0.4, 0.15), ("repeats", 0.08, 0.03), ("distinct", 0.2, 0.35), ("length", 14.0, 10.0), ("lines", 0.6, 0.3))
+RULES = (("symbols", 0.05, 0.02), ("upper", 0.4, 0.15), ("repeats", 0.08, 0.03), ("distinct", 0.2, 0.35), ("length", 14.0, 10.0), ("lines", 0.6, 0.3))
 FEW_WORDS = 4
 
 
@@ -99,39 +99,51 @@ def votes_of(pattern: int, labellers: int) -> list[int]:
 
 @dataclass
 class LabelModel:
-    """P(class 1), and for each labeller P(vote 1 | class 0), P(vote 1 | class 1)."""
+    """P(class), and for each labeller and class P(vote 1 | it votes, class). Class 0 is fine, the others are kinds of bad texts."""
 
-    prior: float
+    prior: np.ndarray
     says_one: np.ndarray
 
     @classmethod
-    def fit(cls, patterns: dict[int, int], labellers: int, rounds: int = 100, trust: float = 8.0) -> LabelModel:
-        """``trust``: pseudo-counts by which a labeller is first held to be right rather than wrong."""
+    def fit(cls, patterns: dict[int, int], labellers: int, kinds: list[list[int]], rounds: int = 200, trust: float = 8.0) -> LabelModel:
+        """``kinds``: for each kind of bad text the labellers that are made to notice it; labellers of other kinds may
+        well call it fine. ``trust``: pseudo-counts by which a labeller is first held to be right about its kinds."""
         votes = np.array([votes_of(p, labellers) for p in patterns] or np.zeros((0, labellers)), np.int64).reshape(-1, labellers)
         count = np.array(list(patterns.values()), np.float64)
-        ones, zeros = votes == 1, votes == 0
-        # at first a document belongs where most of the labellers that have an opinion put it
-        q = (ones.sum(axis=1) + 0.1) / (ones.sum(axis=1) + zeros.sum(axis=1) + 1.0)
-        model = cls(0.5, np.full((labellers, 2), 0.5))
+        ones, zeros = (votes == 1).astype(float), (votes == 0).astype(float)
+        right = np.zeros((len(kinds) + 1, labellers))
+        for k, own in enumerate(kinds, 1):
+            right[k, own] = 1
+        # at first a text belongs where most of the labellers that have an opinion about it put it
+        noticed = (ones @ right.T + 0.05) / ((ones + zeros) @ right.T + 1)
+        noticed[:, 0] = (zeros.sum(axis=1) + 0.1) / (ones.sum(axis=1) + zeros.sum(axis=1) + 1)
+        q = noticed / noticed.sum(axis=1, keepdims=True)
+        yes = 1 + (trust - 1) * right
+        no = np.ones_like(yes)
+        no[0] = trust
+        model = cls(np.full(len(right), 1 / len(right)), np.full((labellers, len(right)), 0.5))
         for _ in range(rounds):
-            weight = np.stack([(1 - q) * count, q * count])
-            hit = weight @ ones + np.array([[1.0], [trust]])
-            miss = weight @ zeros + np.array([[trust], [1.0]])
-            model = cls(float((weight[1].sum() + 1) / (weight.sum() + 2)), (hit / (hit + miss)).T)
-            q = model.posterior(votes)
+            weight = (q * count[:, None]).T
+            hit, miss = weight @ ones + yes, weight @ zeros + no
+            mass = weight.sum(axis=1) + 1
+            model = cls(mass / mass.sum(), (hit / (hit + miss)).T)
+            q = model.classes(votes)
         return model
 
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """(rows, classes) posteriors."""
+        log = (votes == 1) @ np.log(self.says_one) + (votes == 0) @ np.log1p(-self.says_one) + np.log(self.prior)
+        share = np.exp(log - log.max(axis=1, keepdims=True))
+        return share / share.sum(axis=1, keepdims=True)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        ones, zeros = (votes == 1).astype(float), (votes == 0).astype(float)
-        log = np.log(self.says_one)
-        rest = np.log1p(-self.says_one)
-        both = ones @ log + zeros @ rest + np.log([1 - self.prior, self.prior])
-        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
+        """P(bad) of each row."""
+        return 1 - self.classes(votes)[:, 0]
 
 
 def dense_features(stats: np.ndarray) -> np.ndarray:
     """Logarithms of the statistics, and what each junk labeller says against and for a text."""
-    votes = np.array([junk_votes(s, None)[:-1] for s in stats.tolist()], np.int64).reshape(len(stats), -1)
+    votes = np.array([junk_votes(s, None)[:-1] for s in stats.tolist()], np.int64).reshape(len(stats), len(RULES) + 1)
     return np.column_stack([np.log1p(stats), votes == 1, votes == 0])
 
 
@@ -252,12 +264,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> tuple[Sc
     voted = spark.read.parquet(path).join(given.select("doc_id", F.col("quality").alias("q"), F.col("toxic").alias("t")), "doc_id", "left")
     models, targets = {}, []
     own = {"junk": [junk_votes(r["stats"], r["quality"]) for r in rows], "toxic": [toxic_votes(b, lexicon, r["toxic"]) for r, b in zip(rows, buckets, strict=True)]}
-    for name, gold, labellers in (("junk", 1 - F.col("q"), len(RULES) + 2), ("toxic", F.col("t"), 3)):
+    gold_junk = len(RULES) + 1
+    questions = (("junk", 1 - F.col("q"), gold_junk + 1, [[k, gold_junk] for k in range(gold_junk)]), ("toxic", F.col("t"), 3, [[0, 1, 2]]))
+    for name, gold, labellers, kinds in questions:
         last = 3 ** (labellers - 1)
         # the label's vote takes the place of its abstention
         pattern = F.col(name) - 2 * last + F.coalesce(gold, F.lit(2)) * last
         counts = voted.groupBy(pattern.alias("pattern")).count().collect()
-        models[name] = LabelModel.fit({r["pattern"]: r["count"] for r in sorted(counts)}, labellers)
+        models[name] = LabelModel.fit({r["pattern"]: r["count"] for r in sorted(counts)}, labellers, kinds)
         targets.append(models[name].posterior(np.array(own[name], np.int64).reshape(-1, labellers)))
     return Scorer.fit(stats, buckets, np.array(targets).reshape(2, -1)), models
 
