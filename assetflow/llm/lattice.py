@@ -179,8 +179,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out, text in zip(held, texts, strict=True):
             own = words(text)
             if out:
-                for w in set(own).difference(counts):
-                    counts[w] = 0
+                for w in set(own):
+                    if w not in counts:
+                        counts[w] = 0
             else:
                 counts.update(own)
             if len(counts) > HELD_WORDS:
