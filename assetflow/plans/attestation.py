@@ -76,12 +76,12 @@ def q_outputs(spark, d):
         with_suffix(F.concat(F.lit("o/"), F.col("rel")), ".jxl").alias("destination"), k, F.col("width").alias("output_width"), F.col("height").alias("output_height")
     )
     # one destination per stem, as collisions are reported elsewhere
-    expected = expected.groupBy("destination").agg(F.min_by("output_width", "asset_id").alias("output_width"), F.min_by("output_height", "asset_id").alias("output_height"))
+    first = F.min(F.struct("asset_id", "output_width", "output_height")).alias("first")
+    expected = expected.groupBy("destination").agg(first).select("destination", "first.output_width", "first.output_height")
     name = with_suffix(F.concat(F.lit("o/"), F.col("rel")), ".jxl")
     path = F.when(k % 47 == 1, F.concat(name, F.lit(".t.part"))).when(k % 53 == 1, F.concat(name, F.lit(".txt"))).otherwise(name)
-    files = a.filter(k % 2 == 0).select(path.alias("path"), F.when(k % 29 == 0, F.col("width") + 1).otherwise(F.col("width")).alias("width"), "height")
-    extra = a.filter(k % 2 == 1).filter(k % 47 == 1).select(path.alias("path"), "width", "height")
-    return attest.output_inventory(files.unionByName(extra), expected)
+    files = a.select(path.alias("path"), F.when(k % 29 == 0, F.col("width") + 1).otherwise(F.col("width")).alias("width"), "height")
+    return attest.output_inventory(files, expected)
 
 
 O_OUTPUTS = sql(
@@ -91,8 +91,8 @@ UNION ALL SELECT 'output_inventory', coalesce(e.destination, g.path), CASE WHEN
 UNION ALL SELECT 'output_inventory', f.path, 'dimensions' FROM f JOIN e ON f.path = e.destination WHERE f.width <> e.w OR f.height <> e.h""",
     [
         "n AS (SELECT *, 'o/' || regexp_replace(rel, '[.][^./]*$', '.jxl') AS name FROM assets)",
-        """f AS (SELECT CASE WHEN asset_id % 47 = 1 THEN name || '.t.part' WHEN asset_id % 53 = 1 THEN name || '.txt' ELSE name END AS path, CASE WHEN asset_id % 29 = 0 AND asset_id % 2 = 0 THEN width + 1 ELSE width END AS width, height
-FROM n WHERE asset_id % 2 = 0 OR asset_id % 47 = 1)""",
+        """f AS (SELECT CASE WHEN asset_id % 47 = 1 THEN name || '.t.part' WHEN asset_id % 53 = 1 THEN name || '.txt' ELSE name END AS path, CASE WHEN asset_id % 29 = 0 THEN width + 1 ELSE width END AS width, height
+FROM n)""",
         "e AS (SELECT name AS destination, arg_min(width, asset_id) AS w, arg_min(height, asset_id) AS h FROM n WHERE n_frames = 1 GROUP BY name)",
     ],
 )

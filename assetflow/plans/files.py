@@ -265,17 +265,15 @@ def event_stream(spark, d):
 
 
 def q_stream_sessions(spark, d):
-    """Closed output sessions of each run, from the event stream."""
+    """All output sessions of each run, the open ones too, from the event stream."""
     out, mark = shared_dir(spark, "sessions"), shared_dir(spark, "mark")
-    query = stall_stream.session_stream(event_stream(spark, d)).writeStream.outputMode("append")
-    query.option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
-    return spark.read.schema("run long, session_start_us long, session_end_us long, lines long").parquet(out)
+    metrics_tail.write_totals(stall_stream.session_stream(event_stream(spark, d)), out, mark).awaitTermination()
+    return metrics_tail.read_totals(spark, out)
 
 
 O_STREAM_SESSIONS = """SELECT * FROM (SELECT run, min(t) AS session_start_us, max(t) + 600000000 AS session_end_us, count(*) AS lines FROM (
   SELECT run, t, sum(opens) OVER (PARTITION BY run ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM (
-    SELECT run, t, CASE WHEN t - lag(t) OVER (PARTITION BY run ORDER BY t) < 600000000 THEN 0 ELSE 1 END AS opens FROM (SELECT user_id % 3 AS run, epoch_us(ts) AS t FROM events) e) o) x GROUP BY run, s) y
-WHERE session_end_us - 1 <= (SELECT max(epoch_ms(ts)) * 1000 - 60000000 FROM events)"""
+    SELECT run, t, CASE WHEN t - lag(t) OVER (PARTITION BY run ORDER BY t) < 600000000 THEN 0 ELSE 1 END AS opens FROM (SELECT user_id % 3 AS run, epoch_us(ts) AS t FROM events) e) o) x GROUP BY run, s) y"""
 
 
 def q_stream_alerts(spark, d):
