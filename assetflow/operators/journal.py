@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assetflow.functions.checks import is_sha256, journal_violations
@@ -34,19 +36,22 @@ def record_violations() -> Column:
 def triage_facts(journal: DataFrame, files: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Join each record with what is on disk at its source, destination and temporary path.
 
-    ``files``: path, size, sha256, width, height.  ``models``: key, current_model_sha256.
+    ``files``: path, size, sha256, width, height and, where known, linked (the file or a folder above it is a
+    symbolic link).  ``models``: key, current_model_sha256.
     ``root_matches`` and ``signature_matches`` are columns of the journal.
     """
 
     def at(prefix: str, *columns: str) -> DataFrame:
-        return files.select(F.col("path").alias(f"_{prefix}"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+        return seen.select(F.col("path").alias(f"_{prefix}"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
-    source = at("actual_source", "size", "sha256").withColumn("_source_seen", F.lit(True))
+    seen = files if "linked" in files.columns else files.withColumn("linked", F.lit(False))
+    source = at("actual_source", "size", "sha256", "linked").withColumn("_source_seen", F.lit(True))
     joined = (
         journal.join(source, F.col("source_path") == F.col("_actual_source"), "left")
-        .join(at("destination", "size", "sha256", "width", "height"), F.col("destination") == F.col("_destination"), "left")
+        .join(at("destination", "size", "sha256", "width", "height", "linked"), F.col("destination") == F.col("_destination"), "left")
         .join(at("temporary", "size", "sha256"), F.col("temporary") == F.col("_temporary"), "left")
         .withColumn("source_exists", F.col("_source_seen").isNotNull())
+        .withColumnRenamed("actual_source_linked", "source_linked")
     )
     joined = joined.drop("_actual_source", "_destination", "_temporary", "_source_seen")
     return joined if models is None else joined.join(models, "key", "left")
@@ -58,7 +63,8 @@ def triage(facts: DataFrame, key=normalized_key) -> DataFrame:
     Columns read: key, phase, action, source_path, destination, temporary, the journal fields,
     root_matches, signature_matches, model_sha256, current_model_sha256, source_exists,
     source_size/source_sha256 (recorded), actual_source_*, destination_*, temporary_*,
-    output_size/output_sha256 (recorded for output_ready rows).
+    output_size/output_sha256 (recorded for output_ready rows); and, where the facts have them, source_linked and
+    destination_linked: a linked path is refused whatever else holds.
     A committed candidate is followed by the output_ready rules; that second decision is ``then``.
     """
     c = F.col
@@ -69,6 +75,7 @@ def triage(facts: DataFrame, key=normalized_key) -> DataFrame:
     adopt = c("action") == ADOPT
     prepared, encoded, ready = (c("phase") == p for p in IN_FLIGHT_PHASES)
     bad_temporary = F.when(adopt, c("temporary").isNotNull()).otherwise(~true(temporary_is_valid(c("temporary"), c("source_path"), c("destination"), key)))
+    linked = reduce(lambda a, b: a | b, [true(c(name)) for name in ("source_linked", "destination_linked") if name in facts.columns], no)
     violations = record_violations()
     rows = rows.withColumns(
         {
@@ -87,6 +94,7 @@ def triage(facts: DataFrame, key=normalized_key) -> DataFrame:
             .when(unsafe_relative(c("source_path")), "unsafe_path")
             .when(~is_image(c("source_path")), "not_an_image")
             .when(~true(destination_is_sibling(c("destination"), c("source_path"), key)), "destination")
+            .when(linked, "linked_path")
             .when(bad_temporary, "temporary")
             .when(F.size(violations) > 0, violations[0]),
         }

@@ -244,6 +244,10 @@ def test_triage_facts_join(spark):
     files = spark.createDataFrame([("d/p.png", 10, A, 800, 1200)], "path string, size long, sha256 string, width long, height long")
     models = spark.createDataFrame([("d/p.png", "m")], "key string, current_model_sha256 string")
     assert journal.triage(journal.triage_facts(rows, files, models)).first().decision == "retry"
+    for path in [r.path for r in files.collect()]:
+        linked = journal.triage_facts(rows, files.withColumn("linked", F.col("path") == path), models)
+        got = journal.triage(linked).first().decision
+        assert got == ("error:linked_path" if path in (rows.first().source_path, rows.first().destination) else "retry")
     blocked = spark.createDataFrame([("a", True), ("b", False)], "key string, external boolean")
     listing = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     assert {tuple(r) for r in incremental.reappeared_sources(listing, blocked).collect()} == {("a", "deferred"), ("b", "skipped")}
