@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assetflow.policy import MODEL_ROWS, PROFILE_FAMILY
+from assetflow.policy import MODEL_ROWS, PROFILE_FAMILY, TRANSCODE_MODEL_SHA256
 
 
 def model_table(spark: SparkSession, profile: str, installed: Iterable[str] | None = None) -> DataFrame:
@@ -39,10 +39,28 @@ def available_scales(models: DataFrame, profile: str) -> list[int]:
     return [r["native_scale"] for r in rows]
 
 
-def model_lookup(pages: DataFrame, models: DataFrame) -> DataFrame:
+def model_lookup(pages: DataFrame, models: DataFrame, require: bool = False) -> DataFrame:
     """Routed pages with their checkpoint; ``model_missing`` where it is not installed.
 
-    The model table is a fixed handful of rows, which bounds the broadcast.
+    With ``require`` a page whose checkpoint is missing ends the job.  The model table is a fixed
+    handful of rows, which bounds the broadcast.
     """
     keys = ["variant", "native_scale"] if "variant" in pages.columns else ["native_scale"]
-    return pages.join(F.broadcast(models), keys, "left").withColumn("model_missing", ~F.coalesce("installed", F.lit(False)))
+    found = pages.join(F.broadcast(models), keys, "left").withColumn("model_missing", ~F.coalesce("installed", F.lit(False)))
+    if not require:
+        return found
+    told = F.raise_error(F.concat(F.lit("model checkpoint is missing: "), F.coalesce("model_file", F.lit("none for this route"))))
+    return found.withColumn("model_missing", F.when(F.col("model_missing"), told).otherwise(F.lit(False)))
+
+
+def current_models(planned: DataFrame, models: DataFrame, hashes: DataFrame, key: str = "key") -> DataFrame:
+    """The model hash that each planned image would be made with: (key, current_model_sha256).
+
+    ``planned`` comes from ``workload.planned_images``; ``hashes`` has (model_file, sha256) of the installed
+    checkpoints.  Images that need no model get a fixed value; images that cannot be planned get NULL.
+    """
+    routed = planned.select(key, "upscale", "plan_error", "variant", F.col("plan.native_scale").alias("native_scale"))
+    table = models.join(hashes, "model_file", "left")
+    found = routed.join(F.broadcast(table), ["variant", "native_scale"], "left")
+    value = F.when(F.col("plan_error").isNotNull(), F.lit(None)).when(F.col("upscale"), F.col("sha256")).otherwise(TRANSCODE_MODEL_SHA256)
+    return found.select(key, value.alias("current_model_sha256"))

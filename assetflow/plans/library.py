@@ -139,13 +139,30 @@ O_ROUTE = sql(
 def q_model_lookup(spark, d):
     """SR pages with the checkpoint they need; the model table is a handful of fixed rows."""
     pages = planned(spark, d).filter("upscale").select("rel", "variant", F.col("plan.native_scale").alias("native_scale"))
-    return models.model_lookup(pages, models.model_table(spark, "real-hat-auto")).select("rel", "variant", "model_file", "model_label")
+    found = models.model_lookup(pages, models.model_table(spark, "real-hat-auto"), require=True)
+    return found.select("rel", "variant", "model_file", "model_label", "model_missing")
 
 
 O_MODEL = sql(
     ["assets"],
     """SELECT rel, variant, CASE variant WHEN 'normal' THEN 'Real_HAT_GAN_SRx4.pth' ELSE 'Real_HAT_GAN_SRx4_sharper.pth' END AS model_file,
-  'Real-HAT-GAN-x4-' || variant AS model_label FROM routed WHERE variant IS NOT NULL""",
+  'Real-HAT-GAN-x4-' || variant AS model_label, false AS model_missing FROM routed WHERE variant IS NOT NULL""",
+    [PLANNED_X4, ROUTED],
+)
+
+
+def q_current_models(spark, d):
+    """Plan, route and checkpoint of every image, composed to the model hash that recovery compares with."""
+    table = models.model_table(spark, "real-hat-auto")
+    hashes = table.select("model_file", F.sha2("model_file", 256).alias("sha256"))
+    return models.current_models(planned(spark, d), table, hashes, "rel")
+
+
+O_CURRENT_MODELS = sql(
+    ["assets"],
+    """SELECT rel, CASE WHEN error IS NOT NULL THEN NULL WHEN variant IS NULL THEN 'no-model:transcode-only:v1'
+  ELSE sha256(CASE variant WHEN 'normal' THEN 'Real_HAT_GAN_SRx4.pth' ELSE 'Real_HAT_GAN_SRx4_sharper.pth' END) END AS current_model_sha256
+FROM routed""",
     [PLANNED_X4, ROUTED],
 )
 
@@ -686,6 +703,7 @@ REGISTRY = {
     "resolution_plan": (q_resolution_plan, O_RESOLUTION),
     "route_variant": (q_route_variant, O_ROUTE),
     "model_lookup": (q_model_lookup, O_MODEL),
+    "current_models": (q_current_models, O_CURRENT_MODELS),
     "tile_choice": (q_tile_choice, O_TILE_CHOICE),
     "tile_grid": (q_tile_grid, O_TILE_GRID),
     "model_switches": (q_model_switches, O_SWITCHES),

@@ -117,6 +117,9 @@ def test_models(spark):
     pages = spark.createDataFrame([(2,), (4,)], "native_scale int")
     got = {x.native_scale: (x.model_label, x.model_missing) for x in model_lookup(pages, some).collect()}
     assert got == {2: ("HAT-S-x2", False), 4: ("HAT-S-x4", True)}
+    assert model_lookup(pages.filter("native_scale = 2"), some, require=True).count() == 1
+    with pytest.raises(Exception, match="model checkpoint is missing: HAT-S_SRx4.pth"):
+        model_lookup(pages, some, require=True).collect()
 
 
 def test_actions(spark):
