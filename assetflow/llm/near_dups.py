@@ -6,17 +6,23 @@ fingerprint. Each class is posted under the (coordinate, value) pairs of its sig
 each class are posted: any two classes that agree often enough meet in one of these lists, and lists that only
 one class has are skipped. Long lists of a passage that many documents share are not among a class's rarest.
 
+A class that is linked has at least the threshold's share of its shingles in another posted class, so those that
+clearly have not, by a count of a quarter of all shingles (chosen by their hash), are dropped first.
+
 Lists are merged in two passes. First, the most central class of each list (the one whose pairs are the most
 common) meets the others; pairs above the match threshold are confirmed on the full sets, and links make
 components. Lists whose classes are now one component are skipped. In what remains, classes of different
-components are compared in blocks of bounded size, and only pairs above the threshold leave the task. A pair that
-is not compared lies within one component already, so components lose nothing.
+components are compared in blocks of bounded size, each pair in one of its lists: pairs above the match threshold
+are confirmed on the full sets there, and only links that join what was apart leave the task. A pair that is not
+compared lies within one component already, so components lose nothing, and rows grow with the documents, not
+with the pairs. What a large group of classes that resemble one another without being linked costs is time: its
+pairs are compared, block by block, in parallel.
 
 Null and empty texts have no shingles and link with nothing. With fewer words than a shingle has, the whole
 sequence is one. Rows that repeat a doc_id are one document: its sets are linked. Rows with a null doc_id can take
 part in a class but never name it: their component is that of the class, or null. An empty table gives no rows.
-Other columns of the input are not carried. Two sets of similarity 0.8 are missed with a probability of about
-1e-6 at the default sizes, and those of more similarity less often.
+Other columns of the input are not carried. Two sets of similarity 0.8 are missed with a probability of a few
+millionths at the default sizes, and those of more similarity less often.
 """
 
 from __future__ import annotations
@@ -33,8 +39,12 @@ from assetflow.llm.components import components
 from assetflow.llm.tokens import WordHashes, chunks, text_column, words
 from assetflow.session import shared_dir
 
-#: Classes of a list that are compared with one another in one task.
+#: Classes of a list, and their shingles, that make a block (about: they are dealt by hash).
 BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1_000_000
+#: Of this many shingles one is counted to find classes that cannot be linked; by how many standard deviations.
+COUNTED = 4
+DEVIATIONS = 5.0
 SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, signature binary"
 
 
@@ -124,21 +134,85 @@ def _agreeing(coordinates: int, matches: int):
     return agree
 
 
-def _blockwise(coordinates: int, matches: int, percent: int):
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, shingle) of the shingles that are counted."""
+    for batch in batches:
+        own = [np.frombuffer(data.as_buffer(), np.uint64) for data in batch.column(1)]
+        own = [x[x % np.uint64(COUNTED) == 0].view(np.int64) for x in own]
+        if own:
+            rep = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(own))], names=["rep", "shingle"])
+
+
+def _common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sorted sets shares with ``own``."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    ends = np.cumsum([len(o) for o in others])
+    hits = np.concatenate([[0], np.cumsum(own[at] == flat)])
+    return hits[ends] - hits[np.concatenate([[0], ends[:-1]])]
+
+
+def _pairs(key: tuple, table: pa.Table, coordinates: int, matches: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a cell, each with the rows that it has to be compared with in this list: of other components, close
+    in size, above the match threshold, and without an earlier list that both are posted in and agree in."""
+    token, low, high = (k.as_py() for k in key)
+    rep, n, comp, block, mask = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "block", "mask"))
+    sig = _matrix(table.column("signature"), coordinates)
+    earlier = np.int64((1 << (token >> 32)) - 1)  # coordinates before the list's
+    bits = np.int64(1) << np.arange(coordinates, dtype=np.int64)
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    for i in left:
+        close = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
+        if low == high:
+            close &= rep[right] > rep[i]
+        at = right[close]
+        if len(at):
+            same = sig[at] == sig[i]
+            shared = (same * bits).sum(axis=1) & mask[at] & mask[i] & earlier
+            at = at[(same.sum(axis=1) >= matches) & (shared == 0)]
+            if len(at):
+                yield i, at
+
+
+def _compared(*limits: int):
+    def compared(key: tuple, table: pa.Table) -> pa.Table:
+        """The rows of a cell that have anything to be compared with."""
+        wanted = np.zeros(table.num_rows, bool)
+        for i, at in _pairs(key, table, *limits):
+            wanted[i] = wanted[at] = True
+        return table.filter(pa.array(wanted))
+
+    return compared
+
+
+def _blockwise(*limits: int):
+    percent = limits[-1]
+
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        _, low, high = (k.as_py() for k in key)
-        rep, n, comp, block = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "block"))
-        sig = _matrix(table.column("signature"), coordinates)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        pairs = []
-        for i in left:
-            close = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
-            close &= (rep[right] > rep[i]) if low == high else (rep[right] != rep[i])
-            if close.any():
-                at = right[close]
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= matches]
-                pairs += [(min(rep[i], r), max(rep[i], r)) for r in rep[at]]
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        """Links that join what is apart."""
+        rep, n, comp = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.setdefault(c, c)) != c:
+                parent[c] = parent[up]
+                c = up
+            return c
+
+        links = []
+        for i, at in _pairs(key, table, *limits):
+            at = at[[root(int(c)) != root(int(comp[i])) for c in comp[at]]]
+            if not len(at):
+                continue
+            common = _common(sets[i], [sets[j] for j in at])
+            for j in at[100 * common >= percent * (n[at] + n[i] - common)]:
+                p, q = root(int(comp[i])), root(int(comp[j]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    links.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+        a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return compare
@@ -179,7 +253,7 @@ def _close_sizes(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 14) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets.
@@ -204,9 +278,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     own = F.sort_array(F.collect_list(F.struct("length", "token")))
     prefixes = posted.join(common, "token").groupBy("rep", "n").agg(own.alias("lists"), F.sum("length").alias("central"))
     prefix = F.slice("lists", 1, F.size("lists") - matches + 1)
-    postings = kept(
-        prefixes.where(F.size("lists") >= matches).select("rep", "n", "central", F.explode(prefix["token"]).alias("token")), "postings"
+    coordinate = F.transform(prefix, lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p["token"], 32).cast("int")))
+    posting = prefixes.where(F.size("lists") >= matches).select(
+        "rep", "n", "central", F.aggregate(coordinate, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(c)).alias("mask"), F.explode(prefix["token"]).alias("token")
+    )
+    posted_all = kept(posting, "postings")
+    contested = posted_all.groupBy("token").agg(F.count("*").alias("length")).where("length > 1").select("token")
+    contested = posted_all.join(contested, "token", "left_semi").select("rep").distinct()
+    sets = kept(
+        source.withColumnRenamed("doc_id", "rep").join(contested, "rep").select("rep", "text").mapInArrow(_set_rows(shingle), "rep long, shingles binary"), "sets"
     )
+    counted = kept(sets.mapInArrow(_counted, "rep long, shingle long"), "counted")
+    repeated = counted.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    shares = counted.join(repeated, "shingle", "left").groupBy("rep").agg(F.count("*").alias("all"), F.count("times").alias("also"))
+    share = percent / 100
+    too_few = F.col("also") < share * F.col("all") - DEVIATIONS * F.sqrt(share * (1 - share) * F.col("all"))
+    postings = kept(posted_all.join(shares.where(too_few).select("rep"), "rep", "left_anti"), "linkable")
     lists = postings.groupBy("token").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), "n")).alias("lead"), F.count("*").alias("length")).where("length > 1")
     leaders = lists.select("token", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("lead_n"))
     led = postings.join(leaders, "token").where((F.col("rep") != F.col("lead")) & _close_sizes(F.col("n"), F.col("lead_n"), percent))
@@ -214,29 +301,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
 
     table = reps.select("rep", "signature")
     agreeing = kept(_both(candidates, table, "signature").mapInArrow(_agreeing(coordinates, matches), "a long, b long"), "candidates")
-    contested = postings.select("rep").distinct()
-    sets = kept(
-        source.withColumnRenamed("doc_id", "rep").join(contested, "rep").select("rep", "text").mapInArrow(_set_rows(shingle), "rep long, shingles binary"), "sets"
-    )
-    confirm = _confirmed(percent)
-    # classes that share a doc_id are one document
-    links = kept(_both(agreeing, sets, "shingles").mapInArrow(confirm, "a long, b long"), "links")
+    links = kept(_both(agreeing, sets, "shingles").mapInArrow(_confirmed(percent), "a long, b long"), "links")
     found = kept(components(links), "components")
-
-    def placed(df: DataFrame) -> DataFrame:
-        named = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-        return df.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-
-    where = kept(placed(postings.select("rep", "n", "token")), "placed")
+    named = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    where = kept(postings.select("rep", "n", "mask", "token").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
     open_lists = (
-        where.groupBy("token").agg(F.count("*").alias("length"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most")
-    ).select("token", F.ceil(F.col("length") / BLOCK_ROWS).alias("blocks"))
+        where.groupBy("token")
+        .agg(F.count("*").alias("length"), F.sum("n").alias("shingles"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        .where("least != most")
+        .select("token", F.ceil(F.col("length") / BLOCK_ROWS + F.col("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    )
     rest = where.join(open_lists, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     cells = rest.join(table, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("rep", "n", "comp", "signature", "block", "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    more = cells.groupBy("token", "low", "high").applyInArrow(_blockwise(coordinates, matches, percent), "a long, b long").distinct()
-    more = kept(more.join(agreeing, ["a", "b"], "left_anti"), "more-candidates")
-    more_links = kept(_both(more, sets, "shingles").mapInArrow(confirm, "a long, b long"), "more-links")
+    cell = ["token", "low", "high"]
+    cells = cells.select(
+        "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "n", "comp", "mask", "signature", "block"
+    )
+    limits = (coordinates, matches, percent)
+    # the sets travel only where signatures ask for a comparison
+    asked = kept(cells.groupBy(*cell).applyInArrow(_compared(*limits), cells.schema), "asked")
+    compared = asked.join(sets, "rep").groupBy(*cell).applyInArrow(_blockwise(*limits), "a long, b long")
+    more_links = kept(compared.distinct(), "more-links")
     if not more_links.isEmpty():
         found = kept(components(links.union(more_links)), "components")
     named = found.select(F.col("node").alias("rep"), "component")
