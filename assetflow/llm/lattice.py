@@ -5,7 +5,10 @@ characters spell, byte pieces for every character, and, for words that the train
 whole word. A forward recursion in logarithms sums all segmentations. Piece probabilities start from the
 vocabulary's own scores and are re-estimated by expectation-maximisation over the distinct training words; the
 whole-word arc has the word's count, the pieces share what a new word gets (as many counts as there are distinct
-words). A document's probability is that of its words and one end.
+words). A document is a mixture of classes: the most common values of a column (its language) in training, and one
+class for the rest. A class has word counts of its own and gives the share of a new word to the distribution over all
+words. A document's probability is that of its words and one end, summed over the classes; its own value of the
+column isn't looked at.
 
 The base score beside it is that of word counts with 0.5 added.
 
@@ -32,6 +35,8 @@ from assetflow.session import shared_dir
 
 #: Words whose counts and scores every task holds.
 HEAD_WORDS = 1 << 17
+#: Classes that have counts of their own, at most; a value beyond them counts for one class more.
+CLASSES = 7
 #: Words whose counts a task sums before it passes them on.
 HELD_WORDS = 200_000
 #: Words of one length whose lattices are worked out together.
@@ -165,29 +170,37 @@ def _held_out(doc_id, folds: int, held: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts in training; those of held-out documents with 0."""
+def _count(names: list[str | None]):
+    """Words with their counts in training, by class; those of held-out documents with 0, for class 0."""
+    place = {name: k for k, name in enumerate(names)}
 
-    def passed_on(counts: dict) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return out
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[Counter] = [Counter() for _ in range(len(names) + 1)]
+
+        def passed_on() -> pa.RecordBatch:
+            word = [w for c in counts for w in c]
+            n = np.fromiter((n for c in counts for n in c.values()), np.int64, len(word))
+            kind = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c in counts])
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(kind), pa.array(n)], names=["word", "class", "n"])
 
-    counts: Counter = Counter()
-    for batch in batches:
-        held, texts = batch.column(0).to_pylist(), text_column(batch)
-        for out, text in zip(held, texts, strict=True):
-            own = words(text)
-            if out:
-                for w in set(own):
-                    if w not in counts:
-                        counts[w] = 0
-            else:
-                counts.update(own)
-            if len(counts) > HELD_WORDS:
-                yield passed_on(counts)
-    if counts:
-        yield passed_on(counts)
+        for batch in batches:
+            held, name, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_column(batch)
+            for out, own_name, text in zip(held, name, texts, strict=True):
+                own = words(text)
+                if out:
+                    for w in set(own):
+                        if w not in counts[0]:
+                            counts[0][w] = 0
+                else:
+                    counts[place.get(own_name, len(names))].update(own)
+                if sum(map(len, counts)) > HELD_WORDS:
+                    yield passed_on()
+        if any(counts):
+            yield passed_on()
+
+    return count
 
 
 def train_pieces(word_table: DataFrame, vocabulary: str, rounds: int) -> tuple[list[str], np.ndarray]:
@@ -218,43 +231,48 @@ def _tally(shared):
     """For each document a row of its sums over the head words (no word), and a row for each other word."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, key = shared.value, TaskContext.get().partitionId() << 40
+        place, known_one, base_one, logs = shared.value
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, held, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_column(batch)
             for first, last in chunks(texts):
                 docs, row, word, times = [], [], [], []
                 for doc_id, out, text in zip(ids[first:last], held[first:last], texts[first:last], strict=True):
-                    tokens = known = 0
-                    base = score = 0.0
-                    for w, n in Counter(words(text)).items():
-                        tokens += n
-                        if (own := head.get(w)) is None:
-                            row.append(key)
-                            word.append(w)
-                            times.append(n)
-                        else:
-                            known += n * own[0]
-                            base += n * own[1]
-                            score += n * own[2]
-                    docs.append((key, doc_id, out, tokens, known, base, score))
+                    counts = Counter(words(text))
+                    at = np.fromiter((place.get(w, -1) for w in counts), np.int64, len(counts))
+                    n = np.fromiter(counts.values(), np.int64, len(counts))
+                    if (at < 0).any():
+                        own = list(counts)
+                        rest = np.flatnonzero(at < 0)
+                        row += [key] * len(rest)
+                        word += [own[j] for j in rest]
+                        times += n[rest].tolist()
+                    at, m = at[at >= 0], n[at >= 0]
+                    docs.append((key, doc_id, out, int(n.sum()), int(m @ known_one[at]), float(m @ base_one[at]), (m @ logs[at]).tolist()))
                     key += 1
                 k, rest = len(docs), len(row)
                 cols = list(zip(*docs, strict=True))
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([*cols[0], *row], pa.int64()),
-                        *(pa.concat_arrays([pa.array(c, t), pa.nulls(rest, t)]) for c, t in zip(cols[1:], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)),
+                        *(pa.concat_arrays([pa.array(c, t), pa.nulls(rest, t)]) for c, t in zip(cols[1:], kinds, strict=True)),
                         pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(word, pa.binary())]),
                         pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(times, pa.int64())]),
                     ],
-                    names=["row", "doc_id", "held_out", "tokens", "known", "base", "score", "word", "times"],
+                    names=["row", "doc_id", "held_out", "tokens", "known", "base", "logs", "word", "times"],
                 )
 
     return tally
 
 
-def score_documents(docs: DataFrame, vocabulary: str, folds: int = 5, held: int = 1, rounds: int = 3, head_words: int = HEAD_WORDS) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def score_documents(
+    docs: DataFrame, vocabulary: str, folds: int = 5, held: int = 1, rounds: int = 3, head_words: int = HEAD_WORDS, by: str = "lang", classes: int = CLASSES
+) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    ``by``: the column whose ``classes`` most common values are classes; a table without it has one class.
+    """
     spark = docs.sparkSession
 
     def kept(df: DataFrame, purpose: str) -> DataFrame:
@@ -263,43 +281,80 @@ def score_documents(docs: DataFrame, vocabulary: str, folds: int = 5, held: int
         return spark.read.schema(df.schema).parquet(path)
 
     doc_id = F.col("doc_id").cast("long")
-    source = docs.select(doc_id.alias("doc_id"), _held_out(doc_id, folds, held).alias("held_out"), "text")
-    ends = source.where("NOT held_out").count()
-    word_table = kept(source.select("held_out", "text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    sums = word_table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    tokens, types = sums["n"] + ends, sums["v"] + (ends > 0)
+    kind = F.col(by).cast("string") if by in docs.columns else F.lit(None).cast("string")
+    source = docs.select(doc_id.alias("doc_id"), _held_out(doc_id, folds, held).alias("held_out"), "text", kind.alias("kind"))
+    common = source.where("NOT held_out").groupBy("kind").count()
+    ends = common.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    top = common.where("kind IS NOT NULL").orderBy(F.desc("count"), "kind").limit(classes).collect()
+    names, own_ends = [r["kind"] for r in top], [r["count"] for r in top]
+    own_ends.append(ends - sum(own_ends))
+    k_all = len(own_ends)
+    counted = source.select("held_out", "kind", "text").mapInArrow(_count(names), "word binary, class int, n long")
+    per_class = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(k_all)]
+    word_table = kept(counted.groupBy("word").agg(F.sum("n").alias("n"), *per_class), "words")
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *(f"n{k}" for k in range(k_all)))]
+    types = [F.count(F.when(F.col(c) > 0, 1)).alias(f"v_{c}") for c in ("n", *(f"n{k}" for k in range(k_all)))]
+    sums = word_table.agg(*total, *types).first()
+    tokens, new = sums["n"] + ends, sums["v_n"] + (ends > 0)
+    own_tokens = np.array([sums[f"n{k}"] + e for k, e in enumerate(own_ends)], float)
+    own_new = np.array([max(1, sums[f"v_n{k}"]) for k in range(k_all)], float)
     model = spark.sparkContext.broadcast(train_pieces(word_table, vocabulary, rounds))
-    new = float(max(1, types))
+    share = float(max(1, new))
+
+    def class_logs(own: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """log10 of a word in each class (rows, classes), from its counts there and its probability over all."""
+        return np.log10((own + own_new * whole[:, None]) / (own_tokens + own_new))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
         for batch in batches:
             n = batch.column(1).to_numpy()
-            pieces = lattice.log_probability([w.decode() for w in batch.column(0).to_pylist()]) + np.log(new)
+            pieces = lattice.log_probability([w.decode() for w in batch.column(0).to_pylist()]) + np.log(share)
             with np.errstate(divide="ignore"):
-                both = (np.logaddexp(np.log(n), pieces) - np.log(tokens + new)) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both)], names=["word", "n", "log"])
-
-    weighed = kept(word_table.mapInArrow(weigh, "word binary, n long, log double"), "word-scores")
+                log = np.logaddexp(np.log(n), pieces) - np.log(tokens + share)
+            own = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1).astype(float)
+            with np.errstate(divide="ignore"):
+                whole = np.exp(log)
+                found = class_logs(own, whole)
+                tiny = ~np.isfinite(found)  # a probability that is too small to be added
+                found = np.where(tiny, log[:, None] / np.log(10) + np.log10(own_new / (own_tokens + own_new)), found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in np.ascontiguousarray(found.T))], names=["word", "n", *logs])
+
+    logs = [f"log{k}" for k in range(k_all)]
+    weighed = kept(word_table.mapInArrow(weigh, "word binary, n long, " + ", ".join(f"{c} double" for c in logs)), "word-scores")
     top = weighed.orderBy(F.desc("n"), "word").limit(head_words).collect()
-    head = spark.sparkContext.broadcast({bytes(w): (int(n > 0), float(np.log10(n + 0.5)), x) for w, n, x in top})
+    counts = np.array([r["n"] for r in top], np.int64)
+    head = spark.sparkContext.broadcast(
+        ({bytes(r["word"]): k for k, r in enumerate(top)}, (counts > 0).astype(np.int64), np.log10(counts + 0.5), np.array([[r[c] for c in logs] for r in top]).reshape(-1, k_all))
+    )
     tallied = kept(
-        source.mapInArrow(_tally(head), "row long, doc_id long, held_out boolean, tokens long, known long, base double, score double, word binary, times long"), "tallies"
+        source.select("doc_id", "held_out", "text").mapInArrow(
+            _tally(head), "row long, doc_id long, held_out boolean, tokens long, known long, base double, logs array<double>, word binary, times long"
+        ),
+        "tallies",
     )
     rest = tallied.where("word IS NOT NULL").select("row", "word", "times").join(weighed, "word")
     rest = rest.select(
         "row",
         F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"),
         (F.col("times") * F.log10(F.col("n") + 0.5)).alias("base"),
-        (F.col("times") * F.col("log")).alias("score"),
+        *((F.col("times") * F.col(c)).alias(c) for c in logs),
     )
-    whole = tallied.where("word IS NULL").select("row", "doc_id", "held_out", "tokens", "known", "base", "score")
+    whole = tallied.where("word IS NULL").select("row", "doc_id", "held_out", "tokens", "known", "base", *(F.col("logs")[k].alias(c) for k, c in enumerate(logs)))
     both = whole.unionByName(rest, allowMissingColumns=True).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("tokens"), *(F.sum(c).alias(c) for c in ("known", "base", "score"))
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("tokens"), *(F.sum(c).alias(c) for c in ("known", "base", *logs))
     )
-    end_base, end_score = float(np.log10(ends + 0.5)), float(np.log10(max(ends, 0.5)) - np.log10(tokens + new))
-    scale = float(np.log10(tokens + 0.5 * (types + 1)))
+    end_base = float(np.log10(ends + 0.5))
+    scale = float(np.log10(tokens + 0.5 * (new + 1)))
     n_tokens = F.col("tokens") + 1
+    # the share of each class among the documents, and its end
+    whole_end = max(ends, 0.5) / (tokens + share)
+    extra = [
+        float(np.log10((e + 0.5) / (ends + 0.5 * k_all)) + np.log10((e + v * whole_end) / (n + v))) for e, n, v in zip(own_ends, own_tokens, own_new, strict=True)
+    ]
+    in_class = [F.col(c) + x for c, x in zip(logs, extra, strict=True)]
+    best = F.greatest(*in_class) if k_all > 1 else in_class[0]
+    score = best + F.log10(sum((F.pow(F.lit(10.0), c - best) for c in in_class[1:]), F.pow(F.lit(10.0), in_class[0] - best)))
     return both.select(
         "doc_id",
         "held_out",
@@ -307,5 +362,5 @@ def score_documents(docs: DataFrame, vocabulary: str, folds: int = 5, held: int
         (F.col("known") + int(ends > 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + end_base - n_tokens * scale).alias("base_score"),
-        (F.col("score") + end_score).alias("score"),
+        score.alias("score"),
     )
