@@ -81,11 +81,11 @@ def attestation(found: DataFrame, checks: Sequence[str], spark: SparkSession) ->
 # --- manifest ---------------------------------------------------------------------------------
 
 
-def manifest_header(header: DataFrame, kind_suffix: str = "representative_manifest", source_root: str | None = None) -> DataFrame:
+def manifest_header(header: DataFrame, kind: str = "library_representative_manifest", source_root: str | None = None) -> DataFrame:
     """Schema, kind, read-only source, no discovery errors, some pages."""
     rules = [
         (F.col("schema_version") == 1, "schema_version"),
-        (F.col("kind").endswith(kind_suffix), "kind"),
+        (F.col("kind") == kind, "kind"),
         (F.col("source_is_read_only"), "source_is_read_only"),
         (F.col("discovery.errors") == 0, "discovery_errors"),
         (F.size("pages") > 0, "no_pages"),
@@ -308,8 +308,8 @@ def job_timing(job: DataFrame, expected_pages: int, run_kind: str) -> DataFrame:
     return union_all([head, intervals, stages, extra])
 
 
-def job_header(job: DataFrame, expected_pages: int, run_kind: str, target_unmet: int = 0, signature: str | None = None) -> DataFrame:
-    """Complete report with counters that are exact for the run kind."""
+def job_header(job: DataFrame, expected_pages: int, run_kind: str, target_unmet: int = 0, signature: str | None = None, kind: str = "library-job-metrics") -> DataFrame:
+    """Complete report of exactly this record type, with counters that are exact for the run kind."""
     first = run_kind == "first"
     n = expected_pages
     counters = {
@@ -320,7 +320,7 @@ def job_header(job: DataFrame, expected_pages: int, run_kind: str, target_unmet:
         "metrics_write_errors": 0,
     }
     rules = [
-        (F.col("type").endswith("-job-metrics"), "type"),
+        (F.col("type") == kind, "type"),
         (F.col("schema_version") == 1, "schema_version"),
         (F.col("status") == "complete", "status"),
         (F.length("run_id") > 0, "run_id"),
@@ -350,8 +350,9 @@ def page_rows(
     policy: PlanPolicy = PlanPolicy(),
     precision: str = "bf16",
     batch_tiles: int = 1,
+    kind: str = "library-page-metrics",
 ) -> DataFrame:
-    """Page records against the expected facts and, on a first run, the engine settings.
+    """Page records of exactly this type against the expected facts and, on a first run, the engine settings.
 
     ``models``: variant, model_file, model_label (a few rows, broadcast).
     """
@@ -361,7 +362,7 @@ def page_rows(
     d = lambda name: F.col(f"details.{name}")
     e = lambda name: F.col(f"e_{name}")
     rules = [
-        (F.col("type").endswith("-page-metrics"), "type"),
+        (F.col("type") == kind, "type"),
         (F.col("schema_version") == 1, "schema_version"),
         (F.col("run_id") == run_id, "run_id"),
         (e("key").isNotNull(), "unexpected_source"),
@@ -442,11 +443,11 @@ def state_records(state: DataFrame, expected: DataFrame, fields: Sequence[str] =
     )
 
 
-def baseline_header(baseline: DataFrame, bindings: Mapping[str, str]) -> DataFrame:
+def baseline_header(baseline: DataFrame, bindings: Mapping[str, str], kind: str = "library-soak-attestation") -> DataFrame:
     """A valid first-run attestation with the same file bindings and all first-run checks true."""
     rules = [
         (F.col("schema_version") == 1, "schema_version"),
-        (F.col("kind").endswith("-attestation"), "kind"),
+        (F.col("kind") == kind, "kind"),
         (F.col("valid"), "valid"),
         (F.col("run_kind") == "first", "run_kind"),
         *[(F.col("files")[name] == sha, name) for name, sha in bindings.items()],

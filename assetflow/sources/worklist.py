@@ -13,7 +13,7 @@ WORKLIST_SCHEMA = (
 )
 
 
-def read_worklist(spark: SparkSession, path: str) -> DataFrame:
+def read_worklist(spark: SparkSession, path: str, header_type: str = "library-worklist") -> DataFrame:
     """All rows with ``kind`` (header, item, plan) and ``line_no``, an ordering of the lines.
 
     ``line_no`` is a struct of the append's sequence number, the split's offset in its file and the
@@ -24,7 +24,7 @@ def read_worklist(spark: SparkSession, path: str) -> DataFrame:
     )
     order = F.struct(F.coalesce("j.seq", F.lit(0)).alias("seq"), "block", "row")
     rows = lines.select(order.alias("line_no"), "j.*").drop("seq")
-    kind = F.when(F.col("type").endswith("-worklist"), "header").when(F.col("type") == "plan", "plan").when(F.col("type").isNull(), "item")
+    kind = F.when(F.col("type") == header_type, "header").when(F.col("type") == "plan", "plan").when(F.col("type").isNull(), "item")
     return rows.withColumn("kind", kind)
 
 

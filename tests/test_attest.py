@@ -25,7 +25,7 @@ def manifest():
 
     pages = [page(1, "n/a.png", 9, 11, False), page(2, "s/b.png", 1000, 1001, True)]
     return {
-        "schema_version": 1, "kind": "real_representative_manifest", "source_root": "/lib", "source_is_read_only": True,
+        "schema_version": 1, "kind": "library_representative_manifest", "source_root": "/lib", "source_is_read_only": True,
         "selected_counts": {"normal": 1, "sharper": 1}, "discovery": {"errors": 0},
         "coverage": {"exact_threshold": 1, "grayscale": 1, "rgb_or_color": 1, "odd_dimension": 2, "minimum_selected_pixels": 99, "maximum_selected_pixels": 1001000},
         "pages": pages,
@@ -136,7 +136,7 @@ def manifest_checks(spark, m, files, only=None):
 FILES = [("n/a.png", 101, A), ("s/b.png", 102, A)]
 MANIFEST_MUTATIONS = [
     (("schema_version",), 2, ("manifest_header", "schema_version")),
-    (("kind",), "other", ("manifest_header", "kind")),
+    (("kind",), "x_library_representative_manifest", ("manifest_header", "kind")),
     (("source_is_read_only",), False, ("manifest_header", "source_is_read_only")),
     (("source_root",), "/else", ("manifest_header", "source_root")),
     (("discovery", "errors"), 1, ("manifest_header", "discovery_errors")),
@@ -283,7 +283,7 @@ def test_state_baseline_models_roots_gate(spark):
     assert found(attest.state_records(other, want)) == {("state_records", "missing"), ("state_records", "extra")}
 
     base = {
-        "schema_version": 1, "kind": "library-attestation", "valid": True, "run_kind": "first", "files": {"config_sha256": A}, "checks": dict.fromkeys(attest.BASELINE_CHECKS, True),
+        "schema_version": 1, "kind": "library-soak-attestation", "valid": True, "run_kind": "first", "files": {"config_sha256": A}, "checks": dict.fromkeys(attest.BASELINE_CHECKS, True),
     }
     schema = "schema_version int, kind string, valid boolean, run_kind string, files map<string, string>, checks map<string, boolean>"
     check = lambda b: found(attest.baseline_header(parse(spark, [b], schema), {"config_sha256": A}))

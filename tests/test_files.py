@@ -128,7 +128,7 @@ def test_inventory_with_links(spark):
 def test_worklist_round_trip_keeps_append_order(spark, tmp_path):
     path = tmp_path / "w.jsonl"
     lines = [
-        {"type": "lib-worklist", "schema": 2, "run_id": "r", "count": 2, "target_short_edge": 1600},
+        {"type": "library-worklist", "schema": 2, "run_id": "r", "count": 2, "target_short_edge": 1600},
         {"source": "a.png", "source_snapshot": {"size": 1, "mtime_ns": 2, "ctime_ns": 3, "device": 4, "inode": 5}, "destination": "a.jxl", "action": "encode_new"},
         {"source": "b.png", "source_snapshot": {"size": 1, "mtime_ns": 2, "ctime_ns": 3, "device": 4, "inode": 5}, "destination": "b.jxl", "action": "encode_new"},
     ]
@@ -198,7 +198,7 @@ def test_commits_at_once_lose_nothing(spark, tmp_path, monkeypatch):
 
 def test_last_append_wins(spark, tmp_path):
     path = str(tmp_path / "w")
-    head = spark.range(1).select(F.lit("x-worklist").alias("type"))
+    head = spark.range(1).select(F.lit("library-worklist").alias("type"))
     sinks.write_worklist(head, spark.createDataFrame([("a",)], "source string"), path)
     for n in range(6):
         plan = [("a" if k == 0 else f"{n}-{k}", f"plan{n}", [1, 2], 4, "r" * (200 if n % 2 else 1)) for k in range(1 + 50 * (n % 3))]
