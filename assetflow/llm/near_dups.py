@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     contested = posted_all.groupBy("token").agg(F.count("*").alias("length")).where("length > 1").select("token")
     contested = posted_all.join(contested, "token", "left_semi").select("rep").distinct()
     sets = kept(
-        source.withColumnRenamed("doc_id", "rep").join(contested, "rep").select("rep", "text").mapInArrow(_set_rows(shingle), "rep long, shingles binary"), "sets"
+        source.withColumnRenamed("doc_id", "rep").join(contested.hint("merge"), "rep").select("rep", "text").mapInArrow(_set_rows(shingle), "rep long, shingles binary"), "sets"
     )
     counted = kept(sets.mapInArrow(_counted, "rep long, shingle long"), "counted")
     repeated = counted.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
