@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.llm.components import components
-from assetflow.llm.tokens import WordHashes, chunks, text_column, words
+from assetflow.llm.tokens import CACHE_WORDS, WordHashes, chunks, text_column, words
 from assetflow.session import shared_dir
 
 #: Classes of a list, and their shingles, that make a block (about: they are dealt by hash).
@@ -50,7 +50,7 @@ SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, signature binary"
 
 @lru_cache(maxsize=1)
 def _hashes() -> WordHashes:
-    return WordHashes()
+    return WordHashes(CACHE_WORDS // 2)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.llm.leaks import plain_words
-from assetflow.llm.tokens import Remembered, text_column
+from assetflow.llm.tokens import CACHE_WORDS, Remembered, text_column
 from assetflow.session import shared_dir
 
 BUCKET_BITS = 20
@@ -50,7 +50,7 @@ class WordBuckets(Remembered):
 
 @lru_cache(maxsize=1)
 def _word_buckets() -> WordBuckets:
-    return WordBuckets()
+    return WordBuckets(CACHE_WORDS // 2)
 
 
 def describe(text: bytes) -> tuple[list[float], np.ndarray]:
