@@ -3,7 +3,9 @@
 Words are lower-cased (A-Z) and free of ASCII punctuation. A test item's seeds are n-grams: of every ``stride``
 n-grams in a row the one that fewest training documents hold, so that each run of n + stride - 1 words that a
 document shares with an item holds a seed, however common the passage is. Where a document holds a seed, the item
-is aligned with the words around it. The score is the alignment's, as a share of what the whole item would get.
+is aligned with the words around it, as far as an alignment that passes can reach: one with k inserted words loses
+k of its score, so at most 2 * (1 - min_score) words an item word are inserted. A place that holds too few of the
+item's words to pass is not aligned. The score is the alignment's, as a share of what the whole item would get.
 
 Test items are the query set: they are taken in blocks of bounded size, and each block meets all rows of the
 training table. An item of fewer than n words is a seed as a whole. Items without words match nothing, as do null
@@ -13,6 +15,7 @@ kept. Whole texts are read. Other columns of the input are not carried.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -141,6 +144,15 @@ def _windows(hits: list[tuple[int, int]], length: int, slack: int) -> Iterator[t
     yield first - slack, last + length + slack
 
 
+def _shared_words(own: np.ndarray, words: np.ndarray) -> int:
+    """How many words of the item the words hold, repeated ones as often as both have them: no alignment matches more."""
+    kinds, counts = np.unique(own, return_counts=True)
+    at = np.searchsorted(kinds, words)
+    at[at == len(kinds)] = 0
+    there = np.bincount(at[kinds[at] == words], minlength=len(kinds))
+    return int(np.minimum(counts, there).sum())
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -220,13 +232,16 @@ class Searcher:
                     hits[item].append((place, own))
         for item, at in hits.items():
             own, best = self.items.word_ids[item], (0, 0, 0)
-            for a, b in _windows(at, len(own), self.slack):
+            needed = self.min_score * 2 * len(own)
+            for a, b in _windows(at, len(own), max(self.slack, math.floor(2 * len(own) - needed + 1e-9))):
                 a, b = max(0, a), min(len(ids), b)
+                if 2 * _shared_words(own, ids[a:b]) < needed:
+                    continue
                 score, end = align(own, ids[a:b])
                 if score > best[0]:
                     best = (score, a, a + end)
             score, a, end = best
-            if score >= self.min_score * 2 * len(own):
+            if score >= needed:
                 _, size = align(own[::-1], ids[a:end][::-1])
                 yield item, score / (2 * len(own)), end - size, end
 

@@ -71,6 +71,23 @@ def test_leaks_against_all_pairs(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_copies_with_inserted_runs_against_all_pairs(spark):
+    """Runs of 9 words to 0.8 item lengths, in one place or two, and next to copies of the item's parts."""
+    docs, items = [], []
+    for k, (length, inserted) in enumerate([(38, 20), (38, 16), (59, 25), (20, 12), (20, 9), (40, 32), (40, 31), (60, 48), (30, 9)]):
+        own = [f"w{k}x{j}" for j in range(length)]
+        run = [f"new{k}x{j}" for j in range(inserted)]
+        half, third = length // 2, length // 3
+        items.append((k, " ".join(own)))
+        docs.append((10 * k, " ".join(["a b c", *own[:half], *run, *own[half:], "d e f"])))
+        docs.append((10 * k + 1, " ".join([*own[:third], *run[: inserted // 2], *own[third : 2 * third], *run[inserted // 2 :], *own[2 * third :]])))
+        docs.append((10 * k + 2, " ".join([*own[:half], *run, *own[:half], *run, *own[half:], *run, *own[half:]])))
+    want = brute_leaks(docs, items)
+    assert len(want) > 20
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in got} == want
+
+
 def test_exact_passages_are_found_wherever_they_are(spark):
     items = {r.item_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     texts = {r.doc_id: " ".join(r.text.lower().split()) for r in documents(spark).collect()}
