@@ -6,6 +6,11 @@ whose guess cost is high: dynamic programming finds the cheapest segmentation of
 dates, repeats, keyboard walks and brute-force spans, in decimal logarithms of guesses. Values that a base span
 covers are not reported twice.
 
+A quoted value goes up to its closing quote, with spaces and line ends, but not over an empty line; a single quote
+that a letter, digit or underscore follows closes nothing. Any other value, also one whose quote is not closed, goes
+up to white space, without closing punctuation; brackets that the value opens stay. The cost alone decides, whatever
+the length. A value within another one is as cheap as that one, and not judged again.
+
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Whole texts are read, whatever their
 length. Repeated rows are scanned each for itself; other columns are left as they are.
 """
@@ -14,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,10 +33,18 @@ SPANS = "array<struct<kind: string, start: int, end: int>>"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: What comes before a value in a credential context.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:"([^"\s]{8,})"|'([^'\s]{8,})'|([^\s"'<>,;(){}]{8,}))""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*""",
     re.ASCII | re.IGNORECASE,
 )
+#: Ends of quoted values, and empty lines, over which none goes; a backslash takes the next character with it.
+QUOTES = {
+    q: re.compile(rf"""\\[\s\S]|(?P<close>{end})|(?P<open>\n[^\S\n]*\n)""")
+    for q, end in (('"', '"'), ("'", r"'(?!\w)"), ('"""', '"""'), ("'''", "'''"))
+}
+SPACE = re.compile(r"\s")
+CLOSING = {")": "(", "]": "[", "}": "{", ">": "<"} | dict.fromkeys(".,;:'\"", "")
 #: A text without any of these, in lower case, has no credential context.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential")
 
@@ -109,6 +124,35 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values in credential contexts that lie in no earlier one."""
+    ends: dict[str, list[tuple[int, bool]]] = {}
+    reached = space = 0
+    for m in CONTEXT.finditer(text):
+        start = at = m.end()
+        end = None
+        if (quote := text[at : at + 1]) in QUOTES:
+            quote = quote * 3 if text.startswith(quote * 3, at) else quote
+            start = at + len(quote)
+            if quote not in ends:
+                ends[quote] = [(x.start(), x["close"] is not None) for x in QUOTES[quote].finditer(text) if x.lastgroup]
+            k = bisect_left(ends[quote], (start, False))
+            if k < len(ends[quote]) and ends[quote][k][1]:
+                end = ends[quote][k][0]
+        if end is None:
+            if space < start:
+                space = found.start() if (found := SPACE.search(text, start)) else len(text)
+            end = space
+            opened = {c: text.count(o, start, end) - text.count(c, start, end) for c, o in CLOSING.items() if o}
+            while end > start and (c := text[end - 1]) in CLOSING and opened.get(c, -1) < 0:
+                if c in opened:
+                    opened[c] += 1
+                end -= 1
+        if end > max(start, reached):
+            yield start, end
+            reached = end
+
+
 def find_spans(text: str | None, min_cost: float) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end), in order."""
     if not text:
@@ -120,12 +164,10 @@ def find_spans(text: str | None, min_cost: float) -> list[tuple[int, int, int]]:
     if any(h in low for h in HINTS):
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
         base = sorted((start, end) for start, _, end in spans)
-        for m in CONTEXT.finditer(text):
-            k = m.lastindex
-            start, end = m.span(k)
+        for start, end in _values(text):
             if any(a <= start and end <= b for a, b in base):
                 continue
-            if guess_cost(m[k]) >= min_cost:
+            if guess_cost(text[start:end]) >= min_cost:
                 spans.append((start, 3, end))
     return sorted(spans)
 

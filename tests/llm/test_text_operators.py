@@ -170,6 +170,29 @@ def test_values_that_the_method_adds():
     assert [k for k, _ in spans("password=b7db7aa4a5fcc78305")] == ["assign"]
 
 
+def test_whole_values_in_credential_contexts():
+    found = lambda t: [t[a:b] for a, k, b in secrets.find_spans(t, 8.0) if secrets.KINDS[k] == "guess"]
+    assert found("pwd: xK9$q2! end") == ["xK9$q2!"]
+    assert found('passphrase: "Vq7 zK2! mX9# pL4" end') == ["Vq7 zK2! mX9# pL4"]
+    assert found("password=x(9K$2qLm7Zp end") == ["x(9K$2qLm7Zp"]
+    assert found("(pwd=Tr0'b4d!ur&3xQ;) end") == ["Tr0'b4d!ur&3xQ"]
+    assert found("password: abcdefgh;9K$2qLm7Zp end") == ["abcdefgh;9K$2qLm7Zp"]
+    assert found("pwd='Tr0'b4d!ur&3xQ', x") == ["Tr0'b4d!ur&3xQ"] == found("pwd='Tr0'b4d!ur&3xQ\n\nit's")
+    assert found('pwd="a\\"b 9K$2q" x "y"') == ['a\\"b 9K$2q']
+    assert found('private_key = """-BEGIN-\nq8Zx Kd02\n-END-"""') == ["-BEGIN-\nq8Zx Kd02\n-END-"]
+    assert found("pwd: f(xK9$q2L) pwd: (xK9$q2L)") == ["f(xK9$q2L)", "(xK9$q2L)"]
+    assert found('pass:word,pwd:"Vq7 zK2! mX9#" end') == ['word,pwd:"Vq7', 'Vq7 zK2! mX9#']
+    assert found('pwd: "" pwd: \'\' token: pwd: x9 pwd:') == [] == found('pwd="hello world" secret: on')
+    text = "token=" * 20_000
+    assert len(found(text + " " + 'pwd="' * 20_000 + " pwd='" * 20_000)) < 3
+
+
+def test_redaction_leaves_no_tail(spark):
+    texts = [(1, "password: abcdefgh;9K$2qLm7Zp, x"), (2, 'a passphrase: "Vq7 zK2! mX9# pL4" b'), (3, 'pass:word,pwd:"Vq7 zK2! mX9#" end')]
+    clean = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert clean == {1: "[secret], x", 2: 'a passphrase: "[secret]" b', 3: 'pass:[secret]" end'}
+
+
 def test_odd_secrets(spark):
     df = odd_docs(spark)
     assert secrets.find_secrets(df, "found").count() == df.count()
