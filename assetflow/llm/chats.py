@@ -5,12 +5,16 @@ and turn numbers matter only for the order. Each turn gets a rolling hash of the
 conversation is dropped if a longer one begins with all of it, or if an equal one has a smaller conv_id (a null
 conv_id is the smallest). What is left is rendered.
 
-Rows with a null conv_id form one conversation. A null role or text renders as an empty one, but differs from an
-empty one when compared. Markers of the format in a text are escaped. An empty table gives no rows. Other columns
-of the input are not carried.
-
-Conversations are worked on in slices of ``SLICE_TURNS`` turn numbers, with counts and hashes carried from slice
-to slice, so that a single huge conversation is spread over tasks until it is rendered into its one cell.
+Rows with a null conv_id belong to no known conversation: each distinct turn of theirs is a conversation of its own,
+of one turn. A null role or text renders as an empty one, but differs from an empty one when compared. Markers of the
+format in a text are escaped. An empty table gives no rows. Other columns of the input are not carried.
+
+Turns are dealt out in ranges of the order, which are written to the shared folder, with counts, sizes and hashes
+carried from range to range. Only turns of one conversation that agree in turn number, role and the first
+``KEY_CHARS`` characters of their text (of all of it, if the role is longer than that) are never parted. Conversations
+are rendered in parts of at most ``SLICE_TURNS`` turns that begin within ``PART_BYTES`` bytes. ``collapse`` joins the
+parts into one cell up to ``CELL_BYTES`` bytes; of a longer conversation each part stays a row of its own, and
+``collapse_parts`` tells their order.
 """
 
 from __future__ import annotations
@@ -18,7 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetflow.session import shared_dir
+
 SLICE_TURNS = 4096
+PART_BYTES = 8_000_000
+CELL_BYTES = 64_000_000
+KEY_CHARS = 256
+PARTS = ("conv_id", "n_turns", "n_copies", "part", "text")
 
 
 def rendered_turn(role: Column, text: Column) -> Column:
@@ -28,57 +38,102 @@ def rendered_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), clean(role), F.lit("|>\n"), clean(text), F.lit("\n<|end|>\n"))
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys that may be null; the right side's keys are not kept."""
-    right = b.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in b.columns if c not in keys))
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = a.join(right, condition, how)
-    return joined.drop(*(f"_{k}" for k in keys))
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``range`` that rises with the order of (conv_id, turn, role, text)."""
+    long_role = F.coalesce(F.length("role") > KEY_CHARS, F.lit(False))
+    head = F.when(~long_role, F.left("text", F.lit(KEY_CHARS)))
+    ranged = rows.repartitionByRange("conv_id", "turn", F.left("role", F.lit(KEY_CHARS)), long_role, head).withColumn("range", F.spark_partition_id())
+    path = shared_dir(rows.sparkSession, "turns")
+    ranged.write.parquet(path)
+    return rows.sparkSession.read.schema(ranged.schema).parquet(path)
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, position (from 1), role, text, and the hash (p1, p2) of the turns up to this one."""
-    rows = turns.select(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")).distinct().withColumn("slice", F.floor(F.col("turn") / SLICE_TURNS))
-    slice_keys, slice_order = ["conv_id", "slice"], Window.partitionBy("conv_id").orderBy("slice")
-    in_slice = Window.partitionBy(*slice_keys).orderBy("turn", "role", "text")
-    before = slice_order.rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*slice_keys).agg(F.count("*").alias("n")).select(*slice_keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("turns_before"))
-    placed = _same(rows.withColumn("own", F.row_number().over(in_slice)), counts, slice_keys).withColumn("position", F.col("turns_before") + F.col("own"))
+def _hashed(placed: DataFrame) -> DataFrame:
     what = (F.col("role").isNull(), F.col("text").isNull(), F.col("role"), F.col("text"), F.col("position"))
-    hashed = placed.withColumn("h1", F.xxhash64(F.lit(1), *what)).withColumn("h2", F.xxhash64(*what, F.lit(2)))
-    in_slices = hashed.groupBy(*slice_keys).agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
-    carried = in_slices.select(*slice_keys, *(F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("x1", "x2")))
-    running = Window.partitionBy(*slice_keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("h1", F.xxhash64(F.lit(1), *what)).withColumn("h2", F.xxhash64(*what, F.lit(2)))
+
+
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """conv_id, position (from 1), role, text, and of the turns up to this one the rendered bytes (up_to) and the hash (p1, p2).
+
+    Of rows with a conv_id.
+    """
+    rows = _in_ranges(turns.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text").distinct())
+    rows = rows.withColumn("size", F.octet_length(rendered_turn(F.col("role"), F.col("text"))).cast("long"))
+    keys, order = ["conv_id", "range"], Window.partitionBy("conv_id").orderBy("range")
+    in_range = Window.partitionBy(*keys).orderBy("turn", "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sums = sums.select(*keys, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "bytes")))
+    own = rows.withColumn("own", F.row_number().over(in_range)).withColumn("own_bytes", F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = own.join(sums, keys).withColumn("position", F.col("n_before") + F.col("own")).withColumn("up_to", F.col("bytes_before") + F.col("own_bytes"))
+    hashed = _hashed(placed)
+    in_ranges = hashed.groupBy(*keys).agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
+    carried = in_ranges.select(*keys, *(F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("x1", "x2")))
+    running = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     own = hashed.withColumn("r1", F.bit_xor("h1").over(running)).withColumn("r2", F.bit_xor("h2").over(running))
-    return _same(own, carried, slice_keys).select(
-        "conv_id", "position", "role", "text", F.col("r1").bitwiseXOR(F.col("x1_before")).alias("p1"), F.col("r2").bitwiseXOR(F.col("x2_before")).alias("p2")
+    return own.join(carried, keys).select(
+        "conv_id", "position", "role", "text", "size", "up_to", F.col("r1").bitwiseXOR(F.col("x1_before")).alias("p1"), F.col("r2").bitwiseXOR(F.col("x2_before")).alias("p2")
     )
 
 
-def maximal_conversations(hashes: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies of the conversations that no other one continues."""
+def single_turns(turns: DataFrame) -> DataFrame:
+    """The columns of ``prefix_hashes`` for the distinct turns without a conv_id, each by itself."""
+    rows = turns.where("conv_id IS NULL").select("conv_id", "turn", "role", "text").distinct().withColumn("position", F.lit(1).cast("long"))
+    size = F.octet_length(rendered_turn(F.col("role"), F.col("text"))).cast("long")
+    return _hashed(rows).select("conv_id", "position", "role", "text", size.alias("size"), size.alias("up_to"), F.col("h1").alias("p1"), F.col("h2").alias("p2"))
+
+
+def maximal_conversations(hashes: DataFrame, singles: DataFrame) -> DataFrame:
+    """conv_id, n_turns, n_copies, n_bytes, p1, p2 of the conversations that no other one continues."""
     prefixes = hashes.select("conv_id", "position", "p1", "p2")
-    ends = prefixes.groupBy("conv_id").agg(F.max(F.struct("position", "p1", "p2")).alias("end"))
-    whole = ends.groupBy(F.col("end.position").alias("position"), F.col("end.p1").alias("p1"), F.col("end.p2").alias("p2")).agg(
-        F.min(F.struct("conv_id")).alias("first"), F.count("*").alias("n_copies")
+    end = ["position", "p1", "p2"]
+    ends = hashes.groupBy("conv_id").agg(F.max(F.struct(*end, "up_to")).alias("end")).select("conv_id", "end.*")
+    whole = ends.union(singles.select("conv_id", *end, "up_to")).groupBy(*end).agg(
+        F.min(F.struct("conv_id")).alias("first"), F.count("*").alias("n_copies"), F.max("up_to").alias("n_bytes")
+    )
+    proper = prefixes.join(ends.select("conv_id", F.col("position").alias("n")), "conv_id").where("position < n").select(*end).distinct()
+    return whole.join(proper, end, "left_anti").select(F.col("first.conv_id").alias("conv_id"), F.col("position").alias("n_turns"), "n_copies", "n_bytes", "p1", "p2")
+
+
+def _rendered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The parts of the conversations with a conv_id, with n_bytes of the whole, and those of the others."""
+    hashes, singles = prefix_hashes(turns), single_turns(turns)
+    kept = maximal_conversations(hashes, singles)
+    turn = rendered_turn(F.col("role"), F.col("text"))
+    named = kept.where("conv_id IS NOT NULL").select("conv_id", "n_turns", "n_copies", "n_bytes")
+    chosen = hashes.select(
+        "conv_id", "position", "role", "text",
+        F.floor((F.col("up_to") - F.col("size")) / PART_BYTES).alias("by_bytes"), F.floor((F.col("position") - 1) / SLICE_TURNS).alias("by_turns"),
+    ).join(named, "conv_id")
+    # dealt out by part: the join's deal by conv_id would do for the groups, with a whole conversation in one task
+    parts = (
+        chosen.repartition("conv_id", "by_bytes", "by_turns")
+        .groupBy("conv_id", "n_turns", "n_copies", "n_bytes", "by_bytes", "by_turns")
+        .agg(F.min("position").alias("part"), F.sort_array(F.collect_list(F.struct("position", turn.alias("turn")))).alias("turns"))
+        .select("conv_id", "n_turns", "n_copies", "n_bytes", "part", F.array_join("turns.turn", "").alias("text"))
     )
-    proper = _same(prefixes, ends.select("conv_id", F.col("end.position").alias("n")), ["conv_id"]).where("position < n").select("position", "p1", "p2").distinct()
-    return whole.join(proper, ["position", "p1", "p2"], "left_anti").select(F.col("first.conv_id").alias("conv_id"), F.col("position").alias("n_turns"), "n_copies")
+    alone = singles.select("role", "text", "p1", "p2").distinct().join(kept.where("conv_id IS NULL"), ["p1", "p2"])
+    return parts, alone.select("conv_id", "n_turns", "n_copies", F.col("n_turns").alias("part"), turn.alias("text"))
+
+
+def collapse_parts(turns: DataFrame) -> DataFrame:
+    """Maximal conversations in parts: conv_id, n_turns, n_copies, part (the position of its first turn), text."""
+    parts, alone = _rendered(turns)
+    return parts.select(*PARTS).union(alone)
 
 
 def collapse(turns: DataFrame) -> DataFrame:
-    """One row per maximal conversation: conv_id, n_turns, n_copies, text."""
-    hashes = prefix_hashes(turns)
-    kept = maximal_conversations(hashes)
-    chosen = _same(hashes.select("conv_id", "position", "role", "text"), kept, ["conv_id"])
-    turn = F.struct("position", rendered_turn(F.col("role"), F.col("text")).alias("turn"))
-    return (
-        chosen.groupBy("conv_id", "n_turns", "n_copies")
-        .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-        .select("conv_id", "n_turns", "n_copies", F.array_join("turns.turn", "").alias("text"))
+    """One row per maximal conversation of at most ``CELL_BYTES``, and per part of a longer one: conv_id, n_turns, n_copies, text."""
+    parts, alone = _rendered(turns)
+    cell = F.when(F.col("n_bytes") > CELL_BYTES, F.col("part")).alias("cell")
+    joined = (
+        parts.withColumn("cell", cell)
+        .groupBy("conv_id", "n_turns", "n_copies", "cell")
+        .agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"))
+        .select("conv_id", "n_turns", "n_copies", F.array_join("parts.text", "").alias("text"))
     )
+    return joined.union(alone.drop("part"))
 
 
 SQL = r"""

@@ -283,6 +283,35 @@ def test_snapshots(spark, monkeypatch, slice_turns):
     assert chats.collapse(df.limit(0)).count() == 0
 
 
+def test_snapshots_without_conv_id_and_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(chats, "PART_BYTES", 300)
+    monkeypatch.setattr(chats, "CELL_BYTES", 2000)
+    monkeypatch.setattr(chats, "SLICE_TURNS", 16)
+    named = [(1, None, "user", f"{'x' * (k % 7)}{k}") for k in range(300)] + [(2, k, "user", "short" * 3) for k in range(40)]
+    named += [(3, 0, "user", "one"), (3, 1, "b", "two"), (4, 0, "user", "lone")]
+    nulls = [(None, k, "user", f"n{k % 50}") for k in range(200)] + [(None, 0, "user", "one"), (None, 5, "user", "lone"), (None, 5, "user", "lone"), (None, None, None, None)]
+    df = spark.createDataFrame(named + nulls, "conv_id long, turn long, role string, text string").repartition(4)
+    # each turn without a conv_id by itself: a conversation of its own below all others
+    want = plain_collapse(named + [(-1 - k, *r[1:]) for k, r in enumerate(sorted(set(nulls), key=repr))])
+    got = defaultdict(list)
+    for r in chats.collapse_parts(df).collect():
+        got[r.conv_id if r.conv_id is not None else (r.text,)].append((r.part, r.n_turns, r.n_copies, r.text))
+    whole = {c: (*own[0][1:3], "".join(x[3] for x in sorted(own))) for c, own in got.items()}
+    assert whole == {c if c > 0 else (w[2],): w for c, w in want.items()} and 4 not in whole
+    assert len(got[1]) > 10 and max(len(x[3]) for own in got.values() for x in own) < 400
+    cells = chats.collapse(df).collect()
+    assert Counter(r.conv_id for r in cells) == {1: len(got[1]), 2: 1, 3: 1, None: 52}
+    assert [r.text for r in cells if r.conv_id == 2] == [want[2][2]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many ranges
+    try:
+        ranges = chats._in_ranges(df.where("conv_id = 1")).groupBy("range").count().collect()
+        many = chats.collapse(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) > 3 and max(r["count"] for r in ranges) < 150  # one conversation, and no turn numbers
+    assert Counter(map(tuple, many)) == Counter(map(tuple, cells))
+
+
 def test_snapshots_stay_in_the_jvm(spark):
     plan = chats.collapse(spark.read.parquet(f"{SF}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
