@@ -5,7 +5,8 @@ n-grams in a row the one that fewest training documents hold, so that each run o
 document shares with an item holds a seed, however common the passage is. Where a document holds a seed, the item
 is aligned with the words around it, as far as an alignment that passes can reach: one with k inserted words loses
 k of its score, so at most 2 * (1 - min_score) words an item word are inserted. A place that holds too few of the
-item's words to pass is not aligned. The score is the alignment's, as a share of what the whole item would get.
+item's words to pass is not aligned. The score is the alignment's, as a share of what the whole item would get. A
+document that holds ``min_run`` words of an item in a row is reported as well, whatever the item's length and the score.
 
 Test items are the query set: they are taken in blocks of bounded size, and each block meets all rows of the
 training table. An item of fewer than n words is a seed as a whole. Items without words match nothing, as do null
@@ -16,7 +17,7 @@ kept. Whole texts are read. Other columns of the input are not carried.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +30,8 @@ from assetflow.llm.tokens import text_column
 
 #: UTF-8 bytes of the items that are sent to the executors at once.
 BLOCK_BYTES = 16_000_000
+#: So many words of an item in a row are a copy of a part: 13, as is usual for overlap with test sets.
+RUN_WORDS = 13
 FILTER_BITS = 22
 PLAIN = bytes.maketrans(b'ABCDEFGHIJKLMNOPQRSTUVWXYZ!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~', b"abcdefghijklmnopqrstuvwxyz" + b" " * 32)
 HITS = "doc_id long, item_id long, score double, doc_start int, doc_end int, item_words int"
@@ -144,6 +147,17 @@ def _windows(hits: list[tuple[int, int]], length: int, slack: int) -> Iterator[t
     yield first - slack, last + length + slack
 
 
+def _holds_run(own: np.ndarray, words: np.ndarray, hits: list[tuple[int, int]], length: int, least: int) -> bool:
+    """Whether ``length`` words of the item stand in a row in the document, on a diagonal with ``least`` seed hits."""
+    for shift, n in Counter(place - at for place, at in hits).items():
+        if n >= least:
+            first, last = max(0, -shift), min(len(own), len(words) - shift)
+            sums = np.concatenate([[0], np.cumsum(own[first:last] == words[first + shift : last + shift])])
+            if (sums[length:] - sums[:-length] == length).any():
+                return True
+    return False
+
+
 def _shared_words(own: np.ndarray, words: np.ndarray) -> int:
     """How many words of the item the words hold, repeated ones as often as both have them: no alignment matches more."""
     kinds, counts = np.unique(own, return_counts=True)
@@ -162,7 +176,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int = 3, min_score: float = 0.6, slack: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int = 3, min_score: float = 0.6, slack: int = 8, block_bytes: int = BLOCK_BYTES, min_run: int = RUN_WORDS) -> DataFrame:
     """One row per document and item that it holds a copy of: doc_id, item_id, score, doc_start, doc_end, item_words.
 
     ``doc_start`` and ``doc_end`` are word numbers of the best alignment.
@@ -173,7 +187,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int =
     for rows in _blocks(benchmark, block_bytes):
         items = Items.of(rows, n, stride)
         if items.keys:
-            found = found.unionByName(_search(source, items, _frequencies(source, items), min_score, slack))
+            found = found.unionByName(_search(source, items, _frequencies(source, items), min_score, slack, min_run))
     return found
 
 
@@ -217,8 +231,10 @@ def choose_seeds(items: Items, frequency: np.ndarray) -> dict[int, list[tuple[in
 class Searcher:
     """Finds the items of a block in documents, by their seeds."""
 
-    def __init__(self, items: Items, seeds: dict[int, list[tuple[int, int]]], min_score: float, slack: int):
-        self.items, self.seeds, self.min_score, self.slack = items, seeds, min_score, slack
+    def __init__(self, items: Items, seeds: dict[int, list[tuple[int, int]]], min_score: float, slack: int, min_run: int = RUN_WORDS):
+        self.items, self.seeds, self.min_score, self.slack, self.min_run = items, seeds, min_score, slack, min_run
+        # each stride of a run's n-grams holds a seed
+        self.run_seeds = max(1, (min_run - items.n + 1) // items.stride)
         self.wanted = np.array(sorted(seeds), np.uint64)
         self.lookup = Lookup(self.wanted)
 
@@ -233,6 +249,8 @@ class Searcher:
         for item, at in hits.items():
             own, best = self.items.word_ids[item], (0, 0, 0)
             needed = self.min_score * 2 * len(own)
+            if len(own) >= self.min_run and _holds_run(own, ids, at, self.min_run, self.run_seeds):
+                needed = min(needed, 2 * self.min_run)
             for a, b in _windows(at, len(own), max(self.slack, math.floor(2 * len(own) - needed + 1e-9))):
                 a, b = max(0, a), min(len(ids), b)
                 if 2 * _shared_words(own, ids[a:b]) < needed:
@@ -246,12 +264,12 @@ class Searcher:
                 yield item, score / (2 * len(own)), end - size, end
 
 
-def _search(source: DataFrame, items: Items, frequency: np.ndarray, min_score: float, slack: int) -> DataFrame:
+def _search(source: DataFrame, items: Items, frequency: np.ndarray, min_score: float, slack: int, min_run: int) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast((items, choose_seeds(items, frequency)))
     kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("doc_start", pa.int32()), ("doc_end", pa.int32()), ("item_words", pa.int32())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Searcher(*shared.value, min_score, slack)
+        finder = Searcher(*shared.value, min_score, slack, min_run)
         for batch in batches:
             rows = [
                 (key, item_id, score, start, end, len(finder.items.word_ids[item]))
@@ -265,21 +283,21 @@ def _search(source: DataFrame, items: Items, frequency: np.ndarray, min_score: f
     return source.mapInArrow(search, HITS)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int = 3, min_score: float = 0.6, slack: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int = 3, min_score: float = 0.6, slack: int = 8, block_bytes: int = BLOCK_BYTES, min_run: int = RUN_WORDS) -> DataFrame:
     """``docs`` without those that hold a copy of an item; each document is tested where it is read."""
     for rows in _blocks(benchmark, block_bytes):
         items = Items.of(rows, n, stride)
         if not items.keys:
             continue
         shared = docs.sparkSession.sparkContext.broadcast((items, choose_seeds(items, _frequencies(docs.select("text"), items))))
-        docs = docs.where(_is_clean(shared, min_score, slack)(F.col("text")))
+        docs = docs.where(_is_clean(shared, min_score, slack, min_run)(F.col("text")))
     return docs
 
 
-def _is_clean(shared, min_score: float, slack: int):
+def _is_clean(shared, min_score: float, slack: int, min_run: int):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        finder = Searcher(*shared.value, min_score, slack)
+        finder = Searcher(*shared.value, min_score, slack, min_run)
         return pa.array([next(finder.leaks(t), None) is None for t in texts.cast(pa.binary()).to_pylist()], pa.bool_())
 
     return clean

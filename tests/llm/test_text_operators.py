@@ -88,6 +88,21 @@ def test_copies_with_inserted_runs_against_all_pairs(spark):
     assert {(r.doc_id, r.item_id): round(r.score, 9) for r in got} == want
 
 
+def test_long_runs_of_an_item(spark):
+    """13 words in a row are reported, 12 are not, at every place of an item of 200 words."""
+    own = [f"w{j}" for j in range(200)]
+    docs = [(100 + k, " ".join(["a", *own[k : k + 13], "b"])) for k in range(0, 188, 11)]
+    docs += [(300 + k, " ".join(["a", *own[k : k + 12], "b"])) for k in range(0, 188, 11)]
+    docs += [(1, " ".join(own[50:150])), (2, " ".join(own[:12] + ["x"] + own[13:25]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(own)), (8, "w3 w4 w5 zz w7")], "item_id long, text string")
+    got = {r.doc_id: r for r in leaks.find_leaks(df, bench).where("item_id = 7").collect()}
+    assert set(got) == {d for d, _ in docs if 100 <= d < 300} | {1}
+    assert (got[1].score, got[1].doc_start, got[1].doc_end) == (0.5, 0, 100) and got[100].score == 13 / 200
+    assert set(got) & {r.doc_id for r in leaks.drop_leaks(df, bench).collect()} == set()
+    assert {r.doc_id for r in leaks.find_leaks(df, bench, min_run=12).where("item_id = 7").collect()} == {d for d, _ in docs}
+
+
 def test_exact_passages_are_found_wherever_they_are(spark):
     items = {r.item_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     texts = {r.doc_id: " ".join(r.text.lower().split()) for r in documents(spark).collect()}
