@@ -140,9 +140,9 @@ def _values(text: str) -> Iterator[tuple[int, int]]:
             if k < len(ends[quote]) and ends[quote][k][1]:
                 end = ends[quote][k][0]
         if end is None:
-            if space < start:
-                space = found.start() if (found := SPACE.search(text, start)) else len(text)
-            end = space
+            if start < space:
+                continue  # in a value up to the same space
+            end = space = found.start() if (found := SPACE.search(text, start)) else len(text)
             opened = {c: text.count(o, start, end) - text.count(c, start, end) for c, o in CLOSING.items() if o}
             while end > start and (c := text[end - 1]) in CLOSING and opened.get(c, -1) < 0:
                 if c in opened:
