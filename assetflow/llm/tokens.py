@@ -131,7 +131,8 @@ class TextEncoder(Remembered):
             return self._part(word)
         word = word.lower()
         head = word.rstrip(self.CLOSING)
-        if head and len(head) < len(word) and (head[-1:].isalnum() or head[-1] >= 128 and head.decode()[-1].isalnum()):
+        # what the tokenizer makes of the last letter decides; U+0130 ends in a combining mark there
+        if head and len(head) < len(word) and (head[-1:].isalnum() or head[-1] >= 128 and head.decode().lower()[-1].isalnum()):
             return self._part(head) + self._part(word[len(head) :])
         return self._part(word)
 
