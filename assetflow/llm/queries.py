@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetflow.llm import balance, chats, lattice, leaks, near_dups, packing, quality, secrets, shards, vectors
+from assetflow.llm import balance, chats, chunked_bpe, lattice, leaks, near_dups, packing, quality, secrets, shards, vectors
 from assetflow.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 VOCABULARY = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 
 
@@ -72,6 +73,12 @@ def op10_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_TOKENIZER)
+    coded = chunked_bpe.decode(chunked_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 REGISTRY = {
     "op1_token_shards": (op1_token_shards, None),
     "op2_subword_lattice": (op2_subword_lattice, None),
@@ -83,4 +90,5 @@ REGISTRY = {
     "op8_weak_label_quality": (op8_weak_label_quality, None),
     "op9_packing": (op9_packing, None),
     "op10_hnsw_near_vectors": (op10_hnsw_near_vectors, None),
+    "op12_chunked_bpe": (op12_chunked_bpe, None),
 }
