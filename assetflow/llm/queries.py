@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetflow.llm import balance, chats, chunked_bpe, lattice, leaks, near_dups, packing, quality, secrets, shards, vectors
+from assetflow.llm import balance, chats, chunked_bpe, lattice, leaks, near_dups, packing, quality, ranked, secrets, shards, vectors
 from assetflow.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +79,10 @@ def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY = {
     "op1_token_shards": (op1_token_shards, None),
     "op2_subword_lattice": (op2_subword_lattice, None),
@@ -91,4 +95,5 @@ REGISTRY = {
     "op9_packing": (op9_packing, None),
     "op10_hnsw_near_vectors": (op10_hnsw_near_vectors, None),
     "op12_chunked_bpe": (op12_chunked_bpe, None),
+    "op13_ranked_search": (op13_ranked_search, ranked.SQL),
 }
