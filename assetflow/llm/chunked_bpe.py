@@ -1,11 +1,12 @@
 """Operator 12: byte-level BPE ids of whole texts by reuse of content-defined chunks, and their decoding.
 
-A rolling hash of the last 16 bytes says where a text is cut, so texts that share a passage share its chunks, wherever
+A rolling hash of the last 8 bytes says where a text is cut, so texts that share a passage share its chunks, wherever
 it stands. Each chunk is encoded once and remembered. Chunks do not end where the tokenizer's words end, so every join
 is repaired: the text from the left chunk's last certain word on is encoded again, further and further to the right,
 until a word of this window starts exactly where a word of a chunk's own encoding starts. From there on both readings
 are the same, because the tokenizer splits words from left to right and looks at most ``CERTAIN`` letters past a word's
-end. If no such place comes, the window reaches the end of the text and is the encoding.
+end. If no such place comes, the window reaches the end of the text and is the encoding. Inside chunks and windows, words between single spaces are encoded once as
+long as they are remembered.
 
 On a cluster a document is sent to where the least hash of its chunks belongs: ranges of (least hash, doc_id), so that
 documents with common passages meet in one task while a large group of copies is still dealt out over several. A
@@ -19,6 +20,7 @@ account. An empty table gives no rows. Other columns of the input are not carrie
 
 from __future__ import annotations
 
+import re
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetflow.llm.tokens import chunks as batches_of
-from assetflow.llm.tokens import text_column
+from assetflow.llm.tokens import Remembered, TextEncoder, text_column
 
 #: Bytes of a chunk: least, most, and the bits of the rolling hash that must be zero where it may end.
 LEAST, MOST, ZERO_BITS = 512, 8192, 10
@@ -44,8 +46,6 @@ REACH = 32
 HEADS = 12
 #: Letters of chunks that a worker remembers, in each of two generations.
 REMEMBERED = 8_000_000
-#: Chunks that go through the tokenizers library at once.
-AT_ONCE = 256
 
 _LETTER = np.random.default_rng(12).integers(0, 1 << 32, 256, np.uint32)
 _FACTOR = 0x9E3779B1
@@ -58,8 +58,8 @@ def cuts(data: bytes) -> list[int]:
         return [n] if n else []
     raw = np.frombuffer(data, np.uint8)
     h = _LETTER[raw]
-    for step in (1, 2, 4, 8):
-        h[step:] = h[step:] + h[:-step] * np.uint32(pow(_FACTOR, step, 1 << 32))
+    for step in (1, 2, 4):
+        h[step:] += h[:-step] * np.uint32(pow(_FACTOR, step, 1 << 32))
     at = np.flatnonzero(h[:-1] >> np.uint32(32 - ZERO_BITS) == 0) + 1
     ends, last = [], 0
     for cut in [*at[raw[at] & 0xC0 != 0x80].tolist(), n]:
@@ -84,9 +84,35 @@ class Encoded(NamedTuple):
     letters: int
 
 
+class UnitIds(Remembered):
+    """The ids of a space and what follows it up to the next white space, as bytes of an array."""
+
+    CLOSING = '!"#$%&()*+,./:;=?@[\\]^_`{|}~-'
+
+    def __init__(self, tokenizer, code: str):
+        super().__init__()
+        self.tokenizer, self.merges, self.code = tokenizer, tokenizer.model, code
+
+    def _whole(self, text: str) -> bytes:
+        inner = text[1:] if text[:1] == " " else text
+        if inner.isalpha() and max(inner) < "\u0250":  # one word of the tokenizer: straight to its merges
+            spelled = text.encode().decode("latin-1").translate(TextEncoder.LETTERS)
+            return array(self.code, [t.id for t in self.merges.tokenize(spelled)]).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def make(self, unit: str) -> bytes:
+        head = unit.rstrip(self.CLOSING)
+        if head and len(head) < len(unit) and head[-1].isalnum() and head[-1] < "\u0250":
+            return self[head] + self[unit[len(head) :]]  # the tokenizer never joins a letter and these
+        return self._whole(unit)
+
+
 class ChunkEncoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library."""
 
+    #: White space in which a space is no plain separator of words.
+    IRREGULAR = re.compile(r"\s\s| [^\S ]|[^\S ] ")
+
     def __init__(self, path: str):
         import os
 
@@ -98,23 +124,47 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.added = {token.content: k for k, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.units = UnitIds(self.tokenizer, self.code)
         self.chunks: dict[str, Encoded] = {}
         self.older: dict[str, Encoded] = {}
         self.held = 0
         self.encoded = 0
 
+    def _spaced(self, text: str, heads: int | None) -> Encoded:
+        """A text whose words are separated by single spaces, from the ids of its words."""
+        parts = text.split(" ")
+        units = [*parts[:1], *[" " + part for part in parts[1:]]] if parts[0] else [" " + part for part in parts[1:]]
+        ids = list(map(self.units.__getitem__, units))
+        size = array(self.code).itemsize
+        n, last = len(text), len(units) - 1
+        tail = n - len(units[last])
+        while last and tail > n - CERTAIN:
+            last -= 1
+            tail -= len(units[last])
+        starts, letter, before = {}, 0, 0
+        for unit, own in zip(units[:heads], ids, strict=False):
+            starts[letter] = before
+            letter += len(unit)
+            before += len(own) // size
+        tail_ids = sum(map(len, ids[:last])) // size
+        return Encoded(array(self.code, b"".join(ids)), starts, tail, tail_ids, n)
+
     def _read(self, texts: list[str], heads: int | None) -> Iterator[Encoded]:
-        """Each text encoded by itself; the starts of its first ``heads`` words."""
-        for first in range(0, len(texts), AT_ONCE):
-            some = texts[first : first + AT_ONCE]
-            for text, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                ids = array(self.code, e.ids)
-                n, words = len(text), e.token_to_word(len(ids) - 1) + 1
-                last = words - 1
-                while last and e.word_to_chars(last)[0] > n - CERTAIN:
-                    last -= 1
-                starts = {e.word_to_chars(k)[0]: e.word_to_tokens(k)[0] for k in range(min(words, heads or words))}
-                yield Encoded(ids, starts, e.word_to_chars(last)[0], e.word_to_tokens(last)[0], n)
+        """Each text encoded by itself, and where words start (the first ``heads`` of them at least)."""
+        for text in texts:
+            self.units.turn()
+            yield self._whole(text, heads) if self.IRREGULAR.search(text) else self._spaced(text, heads)
+
+    def _whole(self, text: str, heads: int | None) -> Encoded:
+        """A text from one call of the library."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = array(self.code, e.ids)
+        n, words = len(text), e.token_to_word(len(ids) - 1) + 1
+        last = words - 1
+        while last and e.word_to_chars(last)[0] > n - CERTAIN:
+            last -= 1
+        starts = {e.word_to_chars(k)[0]: e.word_to_tokens(k)[0] for k in range(min(words, heads or words))}
+        return Encoded(ids, starts, e.word_to_chars(last)[0], e.word_to_tokens(last)[0], n)
 
     def _known(self, wanted: list[str]) -> dict[str, Encoded]:
         """The encodings of these chunks; those that are not remembered are made."""
@@ -224,8 +274,6 @@ def id_bytes(path: str) -> list[bytes]:
     """The bytes that each id of a byte-level vocabulary stands for."""
     from tokenizers import Tokenizer
 
-    from assetflow.llm.tokens import TextEncoder
-
     tokenizer = Tokenizer.from_file(path)
     of_letter = {chr(letter): byte for byte, letter in TextEncoder.LETTERS.items()}
     names = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
@@ -237,7 +285,8 @@ def _least_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = []
         for raw in text_column(batch):
             ends = cuts(raw) if raw else []
-            keys.append(min((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)), default=0) >> 1)
+            least = min((xxhash.xxh64_digest(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)), default=b"")
+            keys.append(xxhash.xxh64_intdigest(least) >> 1)  # hashed again: long texts have small least hashes
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "meets"])
 
 
