@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetflow.llm import balance, chats, chunked_bpe, lattice, leaks, near_dups, packing, quality, ranked, secrets, shards, vectors
+from assetflow.llm import balance, chats, chunked_bpe, lattice, leaks, near_dups, packing, quality, ranked, secrets, shards, vectors, whitening
 from assetflow.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,10 @@ def op10_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_TOKENIZER)
     coded = chunked_bpe.decode(chunked_bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -94,6 +98,7 @@ REGISTRY = {
     "op8_weak_label_quality": (op8_weak_label_quality, None),
     "op9_packing": (op9_packing, None),
     "op10_hnsw_near_vectors": (op10_hnsw_near_vectors, None),
+    "op11_feast_whitening": (op11_feast_whitening, None),
     "op12_chunked_bpe": (op12_chunked_bpe, None),
     "op13_ranked_search": (op13_ranked_search, ranked.SQL),
 }
