@@ -1,6 +1,7 @@
 """Ordered operators with forced slices and skewed groups, against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,26 +39,52 @@ def brute_merge(rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("bucket", [40, 5000, 10**9])
-def test_merge_intervals(spark, seed, bucket):
+@pytest.mark.parametrize("ranges", [1, 7, 60, None])
+def test_merge_intervals(spark, seed, ranges):
     rows = skewed_spans(seed=seed)
     df = spark.createDataFrame(rows, "g string, n string, start_ns long, end_ns long")
-    got = intervals.merge_intervals(df, ["g", "n"], bucket=bucket)
+    got = intervals.merge_intervals(df, ["g", "n"], ranges=ranges)
     assert {tuple(r) for r in got.collect()} == brute_merge(rows)
 
 
-@pytest.mark.parametrize("how", [{"bucket": 100}, {"slices": 20}])
-def test_slices_bound_every_hot_group(spark, how):
-    df = spark.createDataFrame(skewed_spans(), "g string, n string, start_ns long, end_ns long").select("g", "start_ns").distinct()
-    sliced = slices.slice_groups(df, ["g"], ["start_ns"], **how)
-    assert sliced.rows.count() == df.count()
-    sizes = [r["count"] for r in sliced.rows.groupBy("g", slices.SLICE).count().collect()]
-    assert max(sizes) < 300
-    # slices are contiguous ranges of the order
-    ranges = sliced.rows.groupBy("g", slices.SLICE).agg(F.min("start_ns").alias("a"), F.max("start_ns").alias("b")).orderBy("g", slices.SLICE).collect()
-    for one, two in zip(ranges, ranges[1:]):
-        if one.g == two.g:
-            assert one.b < two.a
+def test_ranges_split_every_hot_group(spark):
+    """Sixty percent of the rows are one group; no range has much more than its share of them."""
+    df = spark.createDataFrame([("hot" if k % 5 < 3 else f"g{k % 7}", k * 37 % 20_011) for k in range(20_000)], "g string, t long")
+    rows = slices.ranged(df, ["g"], ["t"], 20).select("g", "t", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == 20_000
+    sizes = Counter(r.p for r in rows)
+    assert len({r.p for r in rows if r.g == "hot"}) >= 10 and max(sizes.values()) < 2_000
+    ordered = [(r.g, r.t) for r in sorted(rows, key=lambda r: (r.p, r.g, r.t))]
+    assert ordered == sorted(ordered)
+
+
+def test_islands_across_many_ranges_and_batches(spark):
+    """Islands that span several ranges, end inside one, or touch at an edge; batches of a few rows."""
+    rng = random.Random(9)
+    rows = [("r", "x", k * 10, k * 10 + (12 if k % 97 else 9)) for k in range(3000)]
+    rows += [("r", "y", 0, 40_000), ("r", "y", 40_001, 40_001)] + [("r", "y", rng.randrange(50_000), 0) for _ in range(2000)]
+    rows = [(g, n, s, max(e, s)) for g, n, s, e in rows]
+    df = spark.createDataFrame(rows, "g string, n string, start_ns long, end_ns long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for ranges in (1, 40):
+            assert {tuple(r) for r in intervals.merge_intervals(df, ["g", "n"], ranges=ranges).collect()} == brute_merge(rows)
+        lines = df.select(F.concat("g", "n").alias("run"), (F.col("start_ns") * 3_000_000).alias("ts_us"))
+        for ranges in (1, 40):
+            check_stalls(stalls.stall_gaps(lines, stall_seconds=60, ranges=ranges), [(r.run, r.ts_us) for r in lines.collect()], 60)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def check_stalls(got, rows, seconds):
+    want = set()
+    for run in {r for r, _ in rows}:
+        times = sorted({t for r, t in rows if r == run})
+        gaps = [(a, b) for a, b in zip(times, times[1:]) if b - a >= seconds * 1_000_000]
+        want |= {(run, a, b, (b - a) / 1e6, i, "restart" if i <= 2 else "restart_limit_reached") for i, (a, b) in enumerate(gaps, 1)}
+    found = [tuple(r) for r in got.select("run", "silent_from_us", "silent_to_us", "gap_seconds", "attempt", "outcome").collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    return want
 
 
 def test_overlap_example(spark):
@@ -83,18 +110,18 @@ def test_missing_side_has_no_overlap(spark):
     assert row.overlap_seconds == 0 and row.busy_union_seconds == 5e-9
 
 
-@pytest.mark.parametrize("slices_of", [1, 30])
-def test_numbering_and_switches(spark, slices_of):
+@pytest.mark.parametrize("ranges", [1, 30])
+def test_numbering_and_switches(spark, ranges):
     rng = random.Random(3)
     rows = [(f"k{rng.randrange(400):03d}", f"f{i}", rng.choice(["normal", "sharper"])) for i in range(700)]
     df = spark.createDataFrame(rows, "key string, rel string, variant string")
     ordered = sorted(rows)
-    got = ordering.page_numbering(df, slices=slices_of).collect()
+    got = ordering.page_numbering(df, ranges=ranges).collect()
     assert {(r.key, r.rel): r.page_index for r in got} == {(k, f): i for i, (k, f, _) in enumerate(ordered, 1)}
     assert {r.total for r in got} == {700}
     want = sum(a[2] != b[2] for a, b in zip(ordered, ordered[1:]))
-    assert ordering.model_switches(df, slices=slices_of).first().switches == want
-    keyed = slices.number_rows(df, ["variant"], ["key", "rel"], total="n", slices=slices_of).collect()
+    assert ordering.model_switches(df, ranges=ranges).first().switches == want
+    keyed = slices.number_rows(df, ["variant"], ["key", "rel"], total="n", ranges=ranges).collect()
     for variant in ("normal", "sharper"):
         mine = [(k, f) for k, f, v in ordered if v == variant]
         assert {(r.key, r.rel): (r.row_index, r.n) for r in keyed if r.variant == variant} == {x: (i, len(mine)) for i, x in enumerate(mine, 1)}
@@ -106,8 +133,8 @@ def test_no_rows(spark):
     assert ordering.page_numbering(empty).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [700_000_000, 10**12])
-def test_stalls(spark, bucket):
+@pytest.mark.parametrize("ranges", [1, 23, None])
+def test_stalls(spark, ranges):
     rng = random.Random(5)
     rows = []
     for run, n in (("hot", 600), ("b", 40), ("c", 1)):
@@ -115,16 +142,11 @@ def test_stalls(spark, bucket):
         for _ in range(n):
             t += rng.choice((0, 1, 30, 599, 600, 1000)) * 1_000_000
             rows.append((run, t))
+    rows += [(None, 5), (None, 700_000_005)]
     df = spark.createDataFrame(rows, "run string, ts_us long")
-    want = set()
-    for run in ("hot", "b", "c"):
-        times = sorted({t for r, t in rows if r == run})
-        gaps = [(a, b) for a, b in zip(times, times[1:]) if b - a >= 600_000_000]
-        want |= {(run, a, b, (b - a) / 1e6, i, "restart" if i <= 2 else "restart_limit_reached") for i, (a, b) in enumerate(gaps, 1)}
-    got = stalls.stall_gaps(df, bucket=bucket)
-    assert {tuple(r) for r in got.select("run", "silent_from_us", "silent_to_us", "gap_seconds", "attempt", "outcome").collect()} == want
-    sessions = stalls.stall_sessions(df, bucket=bucket).collect()
-    assert len(sessions) == len(want) + 3 and sum(s.lines for s in sessions) == len(rows)
+    want = check_stalls(stalls.stall_gaps(df, ranges=ranges), rows, 600)
+    sessions = stalls.stall_sessions(df, ranges=ranges).collect()
+    assert len(sessions) == len(want) + 4 and sum(s.lines for s in sessions) == len(rows)
     windows = df.groupBy("run", F.session_window(F.timestamp_micros("ts_us"), "599 seconds 999999 microseconds").alias("w")).count()
     assert {(r.run, r.session_start_us, r.session_end_us, r.lines) for r in sessions} == {
         tuple(r) for r in windows.select("run", F.unix_micros("w.start"), F.unix_micros("w.end") + 1, "count").collect()
