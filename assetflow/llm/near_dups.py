@@ -19,10 +19,12 @@ with the pairs. What a large group of classes that resemble one another without
 pairs are compared, block by block, in parallel.
 
 Null and empty texts have no shingles and link with nothing. With fewer words than a shingle has, the whole
-sequence is one. Rows that repeat a doc_id are one document: its sets are linked. Rows with a null doc_id can take
-part in a class but never name it: their component is that of the class, or null. An empty table gives no rows.
-Other columns of the input are not carried. Two sets of similarity 0.8 are missed with a probability of a few
-millionths at the default sizes, and those of more similarity less often.
+sequence is one. Rows that repeat a doc_id are one document for ``near_duplicates``: its sets are linked with one
+another. Rows with a null doc_id take part in classes and links but never name a component: their component is that of
+the others in it, or null. ``one_of_each_group`` looks at texts alone: a doc_id with several texts links nothing there,
+and each group of texts keeps one row, whatever its doc_id. An empty table gives no rows. Other columns of the input
+are not carried by ``near_duplicates``. Two sets of similarity 0.8 are missed with a probability of a few millionths at
+the default sizes, and those of more similarity less often.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 
 from assetflow.llm.components import components
 from assetflow.llm.tokens import CACHE_WORDS, WordHashes, chunks, text_column, words
+from assetflow.operators.skew import lookup_join
 from assetflow.session import shared_dir
 
 #: Classes of a list, and their shingles, that make a block (about: they are dealt by hash).
@@ -45,7 +48,9 @@ BLOCK_SHINGLES = 1_000_000
 #: Of this many shingles one is counted to find classes that cannot be linked; by how many standard deviations.
 COUNTED = 4
 DEVIATIONS = 5.0
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, signature binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, signature binary"
+#: What tells a document's set.
+SET = ["n_shingles", "f1", "f2"]
 
 
 @lru_cache(maxsize=1)
@@ -72,6 +77,13 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def fingerprint(own: np.ndarray) -> tuple[int, int, int]:
+    """A set's size and 128 bits of it."""
+    if not len(own):
+        return 0, 0, 0
+    return len(own), int(own.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(_mix(own)).view(np.int64))
+
+
 def _factors(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     return rng.integers(0, 1 << 63, coordinates, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, coordinates, np.uint64)
@@ -96,15 +108,14 @@ def _sign(shingle: int, coordinates: int):
                 sets = [shingle_set(t, shingle) for t in texts[first:last]]
                 full = [s for s in sets if len(s)]
                 signed = iter(signatures(full, coordinates)) if full else iter(())
+                n, f1, f2 = zip(*map(fingerprint, sets), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, last - first),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
-                        pa.array(np.array([np.bitwise_xor.reduce(_mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)),
+                        *(batch.column(c).slice(first, last - first) for c in ("doc_id", "text_hash")),
+                        *(pa.array(x, pa.int64()) for x in (n, f1, f2)),
                         pa.array([next(signed).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "f1", "f2", "signature"],
+                    names=["doc_id", "text_hash", *SET, "signature"],
                 )
 
     return sign
@@ -232,12 +243,23 @@ def _confirmed(percent: int):
 
 
 def _set_rows(shingle: int):
+    """The set of each class, from rows of (rep, its fingerprint, a text); rows that repeat a class come in a row."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_rep = None
         for batch in batches:
-            texts = text_column(batch)
+            reps, texts = batch.column(0).to_pylist(), text_column(batch)
+            prints = list(zip(*(batch.column(c).to_pylist() for c in SET), strict=True))
             for first, last in chunks(texts):
-                sets = [shingle_set(t, shingle).tobytes() for t in texts[first:last]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+                found, sets = [], []
+                for rep, of_class, text in zip(reps[first:last], prints[first:last], texts[first:last], strict=True):
+                    if rep != last_rep:
+                        own = shingle_set(text, shingle)
+                        if fingerprint(own) == of_class:  # else another text with the same hash and doc_id
+                            found.append(rep)
+                            sets.append(own.tobytes())
+                            last_rep = rep
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return make
 
@@ -253,26 +275,32 @@ def _close_sizes(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 14) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _kept(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Documents are linked if 100 * intersection >= ``percent`` * union of their sets.
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _signed_classes(docs: DataFrame, shingle: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's set, and the classes of equal sets: rep (a number of their own), set, signature, pick.
+
+    ``pick`` is the class's first row: whether its doc_id is null, the doc_id, and the hash of its text.
     """
-    spark = docs.sparkSession
-
-    def kept(df: DataFrame, purpose: str) -> DataFrame:
-        path = shared_dir(spark, purpose)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = kept(source.mapInArrow(_sign(shingle, coordinates), SIGNED), "signed")
-    shared_set = ["n_shingles", "f1", "f2"]
-    classes = (
-        signed.where("n_shingles > 0").groupBy(*shared_set).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
-    )
-    classes = kept(classes, "classes")
-    reps = classes.where("rep IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "signature")
+    signed = _kept(_keyed(docs).mapInArrow(_sign(shingle, coordinates), SIGNED), "signed")
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    classes = signed.where("n_shingles > 0").groupBy(*SET).agg(pick.alias("pick"), F.min("signature").alias("signature"))
+    # the numbers hold because the classes are written before they are read
+    return signed, _kept(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+
+
+def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """(a, b) links between classes that make all classes of a similar group one component."""
+    source = _keyed(docs)
+    reps = classes.select("rep", F.col("n_shingles").alias("n"), "signature")
     posted = reps.mapInArrow(_posted(coordinates), "rep long, n long, token long")
     common = posted.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
     own = F.sort_array(F.collect_list(F.struct("length", "token")))
@@ -282,29 +310,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     posting = prefixes.where(F.size("lists") >= matches).select(
         "rep", "n", "central", F.aggregate(coordinate, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(c)).alias("mask"), F.explode(prefix["token"]).alias("token")
     )
-    posted_all = kept(posting, "postings")
+    posted_all = _kept(posting, "postings")
     contested = posted_all.groupBy("token").agg(F.count("*").alias("length")).where("length > 1").select("token")
     contested = posted_all.join(contested, "token", "left_semi").select("rep").distinct()
-    sets = kept(
-        source.withColumnRenamed("doc_id", "rep").join(contested.hint("merge"), "rep").select("rep", "text").mapInArrow(_set_rows(shingle), "rep long, shingles binary"), "sets"
-    )
-    counted = kept(sets.mapInArrow(_counted, "rep long, shingle long"), "counted")
+    wanted = classes.join(contested, "rep", "left_semi").select("rep", *SET, F.col("pick.doc_id").alias("of"), F.col("pick.text_hash").alias("hash")).hint("merge")
+    picked = source.join(wanted, source["doc_id"].eqNullSafe(wanted["of"]) & (source["text_hash"] == wanted["hash"]))
+    sets = _kept(picked.select("rep", *SET, "text").mapInArrow(_set_rows(shingle), "rep long, shingles binary"), "sets")
+    counted = _kept(sets.mapInArrow(_counted, "rep long, shingle long"), "counted")
     repeated = counted.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
     shares = counted.join(repeated, "shingle", "left").groupBy("rep").agg(F.count("*").alias("all"), F.count("times").alias("also"))
     share = percent / 100
     too_few = F.col("also") < share * F.col("all") - DEVIATIONS * F.sqrt(share * (1 - share) * F.col("all"))
-    postings = kept(posted_all.join(shares.where(too_few).select("rep"), "rep", "left_anti"), "linkable")
+    postings = _kept(posted_all.join(shares.where(too_few).select("rep"), "rep", "left_anti"), "linkable")
     lists = postings.groupBy("token").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"), "n")).alias("lead"), F.count("*").alias("length")).where("length > 1")
     leaders = lists.select("token", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("lead_n"))
     led = postings.join(leaders, "token").where((F.col("rep") != F.col("lead")) & _close_sizes(F.col("n"), F.col("lead_n"), percent))
     candidates = led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
     table = reps.select("rep", "signature")
-    agreeing = kept(_both(candidates, table, "signature").mapInArrow(_agreeing(coordinates, matches), "a long, b long"), "candidates")
-    links = kept(_both(agreeing, sets, "shingles").mapInArrow(_confirmed(percent), "a long, b long"), "links")
-    found = kept(components(links), "components")
+    agreeing = _kept(_both(candidates, table, "signature").mapInArrow(_agreeing(coordinates, matches), "a long, b long"), "candidates")
+    links = _kept(_both(agreeing, sets, "shingles").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    found = _kept(components(links), "components")
     named = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    where = kept(postings.select("rep", "n", "mask", "token").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
+    where = _kept(postings.select("rep", "n", "mask", "token").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
     open_lists = (
         where.groupBy("token")
         .agg(F.count("*").alias("length"), F.sum("n").alias("shingles"), F.min("comp").alias("least"), F.max("comp").alias("most"))
@@ -319,14 +347,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     )
     limits = (coordinates, matches, percent)
     # the sets travel only where signatures ask for a comparison
-    asked = kept(cells.groupBy(*cell).applyInArrow(_compared(*limits), cells.schema), "asked")
+    asked = _kept(cells.groupBy(*cell).applyInArrow(_compared(*limits), cells.schema), "asked")
     compared = asked.join(sets, "rep").groupBy(*cell).applyInArrow(_blockwise(*limits), "a long, b long")
-    more_links = kept(compared.distinct(), "more-links")
-    if not more_links.isEmpty():
-        found = kept(components(links.union(more_links)), "components")
-    named = found.select(F.col("node").alias("rep"), "component")
-    labelled = classes.join(named, "rep", "left").select(*shared_set, F.coalesce("component", "rep").alias("component"))
-    # a doc_id that several rows have, with different sets: their least component
-    of_rows = signed.select("doc_id", *shared_set).join(labelled, shared_set, "left")
+    more_links = _kept(compared.distinct(), "more-links")
+    return links.union(more_links)
+
+
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) links between the classes of each doc_id that has several sets."""
+    rows = signed.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", *SET)
+    several = rows.groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("least"), F.max(F.struct(*SET)).alias("most")).where("least != most").select("doc_id")
+    owned = lookup_join(rows, several, "doc_id", "left_semi").distinct().join(classes.select(*SET, "rep"), SET).select("doc_id", "rep")
+    owned = _kept(owned, "several-sets")
+    return lookup_join(owned, owned.groupBy("doc_id").agg(F.min("rep").alias("hub")), "doc_id").select(F.col("hub").alias("a"), F.col("rep").alias("b")).where("a != b")
+
+
+def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with ``first``: the first row (by pick) of their component."""
+    found = _kept(components(links), "components").select(F.col("node").alias("rep"), "component")
+    linked = classes.select("rep", "pick").join(found, "rep")
+    firsts = linked.groupBy("component").agg(F.min("pick").alias("first"))
+    named = lookup_join(linked.select("rep", "component"), firsts, "component").select("rep", "first")
+    return classes.join(named, "rep", "left").select(*SET, F.coalesce("first", "pick").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 14) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked if 100 * intersection >= ``percent`` * union of their sets.
+    """
+    signed, classes = _signed_classes(docs, shingle, coordinates)
+    links = _links(docs, classes, shingle, percent, coordinates, matches).union(_same_document(signed, classes))
+    labelled = _labelled(classes, links).select(*SET, F.col("first.doc_id").alias("component"))
+    of_rows = signed.select("doc_id", *SET).join(labelled, SET, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return of_rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 14) -> DataFrame:
+    """The rows of ``docs``, one of each group of similar texts: that with the smallest doc_id (null: last).
+
+    Of rows with that doc_id and text, one stays. Rows without shingles all stay.
+    """
+    signed, classes = _signed_classes(docs, shingle, coordinates)
+    first = _labelled(classes, _links(docs, classes, shingle, percent, coordinates, matches)).select("first.*").distinct()
+    empty = signed.where("n_shingles = 0").select(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash").distinct()
+    first, empty = (x.select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")) for x in (first, empty))
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash")))
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        same = keyed[key]["doc_id"].eqNullSafe(wanted["_of"]) & (keyed[key]["hash"] == wanted["_hash"])
+        return keyed.join(wanted, same, "left_semi")
+
+    return rows_of(first).dropDuplicates([key]).drop(key).unionByName(rows_of(empty).drop(key))

@@ -2,8 +2,10 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from assetflow.llm import near_dups
 from assetflow.llm.components import components
@@ -69,6 +71,47 @@ def test_copies_of_copies_and_common_passages(spark, monkeypatch):
     check(spark, [(k * 3 + 1, " ".join(t)) for k, t in enumerate(texts)], 4)
 
 
+A, B = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+
+
+def kept_rows(spark, docs, **kw):
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_key", F.lit("x"))
+    got = near_dups.one_of_each_group(df, **kw)
+    assert got.columns == df.columns
+    return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+
+def test_a_doc_id_with_several_texts(spark):
+    docs = [(9, A), (10, A), (10, B), (12, B)]
+    got = near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(9, 9, True), (10, 9, False), (10, 9, False), (12, 9, False)]
+    # the corpus keeps both texts, each once
+    assert kept_rows(spark, docs) == [(10, B), (9, A)]
+    assert kept_rows(spark, [*docs, (None, A), (None, "c d e f g h"), (None, "c d e f g h"), (3, None), (3, ""), (3, "")]) == sorted(
+        [(9, A), (10, B), (None, "c d e f g h"), (3, None), (3, ""), (3, "")], key=str
+    )
+
+
+def test_a_doc_id_that_a_third_of_the_rows_repeat(spark):
+    rng = random.Random(8)
+    near = lambda text: " ".join(w if rng.random() > 0.01 else "changed" for w in text.split())
+    fresh = [" ".join(f"w{rng.randrange(9000)}" for _ in range(80)) for _ in range(150)]
+    docs = [(7, t) for t in fresh] + [(7, A)] * 150 + [(100 + k, near(fresh[k])) for k in range(0, 150, 5)] + [(1000 + k, near(A)) for k in range(20)]
+    docs += [(2000 + k, " ".join(f"v{rng.randrange(9000)}" for _ in range(80))) for k in range(200)] + [(None, near(fresh[3])), (None, near(B)), (5, B)]
+    check(spark, [d for d in docs if d[0] is not None], 4)
+    pairs = near_dups._links(spark.createDataFrame(docs, "doc_id long, text string"), *near_dups._signed_classes(spark.createDataFrame(docs, "doc_id long, text string"), 4, 32)[1:], 4, 80, 32, 14)
+    assert pairs.count() < len(docs)  # no link for each pair of repeated rows
+    want = {}
+    texts = [(i, d, t) for i, (d, t) in enumerate(docs)]
+    sets = {i: next(iter(sets_of([(0, t)], 5).values()))[0] for i, _, t in texts}
+    links = [(i, j) for i, j in itertools.combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    groups = classes_of(links, set(sets))
+    for i, d, t in texts:
+        want[groups[i]] = min(want.get(groups[i], (True, 0)), (d is None, d or 0))
+    got = kept_rows(spark, docs)
+    assert len(got) == len(want) and Counter(d for d, _ in got) == Counter(None if null else d for null, d in want.values())
+
+
 def test_odd_rows(spark):
     df = odd_docs(spark)
     got = near_dups.near_duplicates(df, shingle=4).collect()
