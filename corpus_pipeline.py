@@ -1,7 +1,7 @@
 """A training corpus from documents: quality, near-duplicates, benchmark copies, secrets, packing.
 
 Each stage takes all rows that its predecessor kept and returns the columns of documents, the last one pieces of
-sequences. Rows with a null doc_id stay unless their text is rejected; empty texts are rejected as junk. A stage's
+sequences. Rows with a null doc_id are judged by their texts like all others; empty texts are rejected as junk. A stage's
 result is written to the shared folder and read again.
 """
 
@@ -24,12 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates; of rows that repeat it, the least."""
-    found = near_dups.near_duplicates(docs, shingle=5, percent=80)
-    first = found.where("kept").select(F.col("doc_id").alias("_first")).distinct()
-    rest = [F.col(c) for c in docs.columns if c != "doc_id"]
-    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    return kept.select("doc_id", "_row.*").select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """One row of each group of near-duplicate texts, that with the smallest doc_id; a doc_id's different texts all stay."""
+    return near_dups.one_of_each_group(docs, shingle=5, percent=80)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
