@@ -12,9 +12,8 @@ format in a text are escaped. An empty table gives no rows. Other columns of the
 Turns are dealt out in ranges of the order, which are written to the shared folder, with counts, sizes and hashes
 carried from range to range. Only turns of one conversation that agree in turn number, role and the first
 ``KEY_CHARS`` characters of their text (of all of it, if the role is longer than that) are never parted. Conversations
-are rendered in parts of at most ``SLICE_TURNS`` turns that begin within ``PART_BYTES`` bytes. ``collapse`` joins the
-parts into one cell up to ``CELL_BYTES`` bytes; of a longer conversation each part stays a row of its own, and
-``collapse_parts`` tells their order.
+are rendered in parts, one row each, whatever their size: a part's turns begin in the same ``PART_BYTES`` bytes of the
+rendered conversation and the same ``SLICE_TURNS`` turns. ``part`` is the position of its first turn and tells the order.
 """
 
 from __future__ import annotations
@@ -22,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetflow.operators.skew import lookup_join
 from assetflow.session import shared_dir
 
 SLICE_TURNS = 4096
 PART_BYTES = 8_000_000
-CELL_BYTES = 64_000_000
 KEY_CHARS = 256
 PARTS = ("conv_id", "n_turns", "n_copies", "part", "text")
 
@@ -92,60 +91,54 @@ def maximal_conversations(hashes: DataFrame, singles: DataFrame) -> DataFrame:
     whole = ends.union(singles.select("conv_id", *end, "up_to")).groupBy(*end).agg(
         F.min(F.struct("conv_id")).alias("first"), F.count("*").alias("n_copies"), F.max("up_to").alias("n_bytes")
     )
-    proper = prefixes.join(ends.select("conv_id", F.col("position").alias("n")), "conv_id").where("position < n").select(*end).distinct()
+    proper = lookup_join(prefixes, ends.select("conv_id", F.col("position").alias("n")), "conv_id").where("position < n").select(*end).distinct()
     return whole.join(proper, end, "left_anti").select(F.col("first.conv_id").alias("conv_id"), F.col("position").alias("n_turns"), "n_copies", "n_bytes", "p1", "p2")
 
 
 def _rendered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The parts of the conversations with a conv_id, with n_bytes of the whole, and those of the others."""
+    """The parts of the conversations with a conv_id, and those of the others."""
     hashes, singles = prefix_hashes(turns), single_turns(turns)
     kept = maximal_conversations(hashes, singles)
     turn = rendered_turn(F.col("role"), F.col("text"))
-    named = kept.where("conv_id IS NOT NULL").select("conv_id", "n_turns", "n_copies", "n_bytes")
-    chosen = hashes.select(
+    named = kept.where("conv_id IS NOT NULL").select("conv_id", "n_turns", "n_copies")
+    own = hashes.select(
         "conv_id", "position", "role", "text",
         F.floor((F.col("up_to") - F.col("size")) / PART_BYTES).alias("by_bytes"), F.floor((F.col("position") - 1) / SLICE_TURNS).alias("by_turns"),
-    ).join(named, "conv_id")
+    )
+    chosen = lookup_join(own, named, "conv_id")
     # dealt out by part: the join's deal by conv_id would do for the groups, with a whole conversation in one task
     parts = (
         chosen.repartition("conv_id", "by_bytes", "by_turns")
-        .groupBy("conv_id", "n_turns", "n_copies", "n_bytes", "by_bytes", "by_turns")
+        .groupBy("conv_id", "n_turns", "n_copies", "by_bytes", "by_turns")
         .agg(F.min("position").alias("part"), F.sort_array(F.collect_list(F.struct("position", turn.alias("turn")))).alias("turns"))
-        .select("conv_id", "n_turns", "n_copies", "n_bytes", "part", F.array_join("turns.turn", "").alias("text"))
+        .select("conv_id", "n_turns", "n_copies", "part", F.array_join("turns.turn", "").alias("text"))
     )
     alone = singles.select("role", "text", "p1", "p2").distinct().join(kept.where("conv_id IS NULL"), ["p1", "p2"])
     return parts, alone.select("conv_id", "n_turns", "n_copies", F.col("n_turns").alias("part"), turn.alias("text"))
 
 
-def collapse_parts(turns: DataFrame) -> DataFrame:
+def collapse(turns: DataFrame) -> DataFrame:
     """Maximal conversations in parts: conv_id, n_turns, n_copies, part (the position of its first turn), text."""
     parts, alone = _rendered(turns)
     return parts.select(*PARTS).union(alone)
 
 
-def collapse(turns: DataFrame) -> DataFrame:
-    """One row per maximal conversation of at most ``CELL_BYTES``, and per part of a longer one: conv_id, n_turns, n_copies, text."""
-    parts, alone = _rendered(turns)
-    cell = F.when(F.col("n_bytes") > CELL_BYTES, F.col("part")).alias("cell")
-    joined = (
-        parts.withColumn("cell", cell)
-        .groupBy("conv_id", "n_turns", "n_copies", "cell")
-        .agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"))
-        .select("conv_id", "n_turns", "n_copies", F.array_join("parts.text", "").alias("text"))
-    )
-    return joined.union(alone.drop("part"))
-
-
-SQL = r"""
-WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-convs AS (
-  SELECT conv_id, count(*) AS n_turns,
-    list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
-    string_agg('<|' || replace(coalesce(role, ''), '<|', '<\|') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|')
-      || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
-  FROM turns GROUP BY conv_id),
-firsts AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM convs GROUP BY turns)
-SELECT c.conv_id, c.n_turns, f.n_copies, c.text
-FROM convs c JOIN firsts f ON f.conv_id = c.conv_id
-WHERE NOT EXISTS (SELECT 1 FROM convs d WHERE d.n_turns > c.n_turns AND d.turns[1] = c.turns[1] AND d.turns[1:c.n_turns] = c.turns)
+SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone,
+    '<|' || replace(coalesce(role, ''), '<|', '<\|') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|') || chr(10) || '<|end|>' || chr(10) AS turn_text
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+placed AS (
+  SELECT *, row_number() OVER w AS position, sum(strlen(turn_text)) OVER w - strlen(turn_text) AS bytes_before
+  FROM turns WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+convs AS (SELECT conv_id, alone, count(*) AS n_turns, list({{'role': role, 'text': text}} ORDER BY position) AS turns FROM placed GROUP BY conv_id, alone),
+firsts AS (
+  SELECT *, count(*) OVER (PARTITION BY turns) AS n_copies FROM convs
+  QUALIFY row_number() OVER (PARTITION BY turns ORDER BY conv_id NULLS FIRST, alone) = 1),
+kept AS (
+  SELECT * FROM firsts c WHERE NOT EXISTS (
+    SELECT 1 FROM convs d WHERE d.conv_id IS NOT NULL AND d.n_turns > c.n_turns AND d.turns[1] = c.turns[1] AND d.turns[1:c.n_turns] = c.turns))
+SELECT k.conv_id, k.n_turns, k.n_copies, min(position) AS part, string_agg(turn_text, '' ORDER BY position) AS text
+FROM kept k JOIN placed p ON k.conv_id IS NOT DISTINCT FROM p.conv_id AND k.alone IS NOT DISTINCT FROM p.alone
+GROUP BY k.conv_id, k.alone, k.n_turns, k.n_copies, bytes_before // {PART_BYTES}, (position - 1) // {SLICE_TURNS}
 """

@@ -12,8 +12,8 @@ column isn't looked at.
 
 The base score beside it is that of word counts with 0.5 added.
 
-Counts come from all training documents. The most frequent ``HEAD_WORDS`` words are sent to all tasks, the rest are
-joined, so each word of each document gets its exact count. Null and empty texts are the end alone. A null doc_id
+Counts come from all training documents. The most frequent words, ``HEAD_WORDS`` at most, are sent to all tasks, the
+rest are joined, so each word of each document gets its exact count. Null and empty texts are the end alone. A null doc_id
 is held in training (its remainder is none). Repeated rows count and are scored each. An empty table gives no rows.
 Other columns of the input are not carried.
 """
@@ -266,6 +266,18 @@ def _tally(shared):
     return tally
 
 
+def _most_common(weighed: DataFrame, limit: int) -> DataFrame:
+    """Words from a count up at which there are at most ``limit`` of them; a histogram of a few hundred rows says which."""
+    step = F.floor(F.log2(F.col("n")) * 16)
+    found, held = None, 0
+    for row in sorted(weighed.where("n > 0").groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), reverse=True):
+        held += row["words"]
+        if held > limit:
+            break
+        found = row["least"]
+    return weighed.where(F.col("n") >= found if found is not None else F.lit(False))
+
+
 def score_documents(
     docs: DataFrame, vocabulary: str, folds: int = 5, held: int = 1, rounds: int = 3, head_words: int = HEAD_WORDS, by: str = "lang", classes: int = CLASSES
 ) -> DataFrame:
@@ -322,7 +334,7 @@ def score_documents(
 
     logs = [f"log{k}" for k in range(k_all)]
     weighed = kept(word_table.mapInArrow(weigh, "word binary, n long, " + ", ".join(f"{c} double" for c in logs)), "word-scores")
-    top = weighed.orderBy(F.desc("n"), "word").limit(head_words).collect()
+    top = _most_common(weighed, head_words).collect()
     counts = np.array([r["n"] for r in top], np.int64)
     head = spark.sparkContext.broadcast(
         ({bytes(r["word"]): k for k, r in enumerate(top)}, (counts > 0).astype(np.int64), np.log10(counts + 0.5), np.array([[r[c] for c in logs] for r in top]).reshape(-1, k_all))

@@ -243,11 +243,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> tuple[Sc
     given = _label_rows(labels)
     pool = given if not given.isEmpty() else source.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")).distinct()
     chosen = pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = source.join(F.broadcast(chosen), "doc_id").mapInArrow(_described, "doc_id long, quality int, toxic int, stats array<double>, buckets binary").collect()
-    seen: dict[tuple, tuple] = {}  # a row that the table repeats counts once
-    for r in rows:
-        seen.setdefault((r["doc_id"], bytes(r["buckets"])), r)
-    rows = [seen[k] for k in sorted(seen)][:sample_rows]
+    # a doc_id may have many rows: texts that repeat count once, and keys alone decide which are taken
+    keyed = source.withColumn("hash", F.xxhash64("text"))
+    taken = keyed.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "hash").distinct()
+    taken = taken.orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(sample_rows)
+    described = keyed.join(F.broadcast(taken), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).drop("hash")
+    rows = described.mapInArrow(_described, "doc_id long, quality int, toxic int, stats array<double>, buckets binary").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["buckets"])))
     stats = np.array([r["stats"] for r in rows]).reshape(-1, len(STATS))
     buckets = [np.frombuffer(r["buckets"], np.int32) for r in rows]
     lexicon = learn_lexicon(buckets, [r["toxic"] for r in rows])

@@ -126,6 +126,17 @@ def test_documents_are_judged_as_labelled(spark):
     assert clean[True] >= 0.98 * sum(clean.values()) and junk[False] >= 0.95 * sum(junk.values()) and toxic[False] >= 0.9 * sum(toxic.values())
 
 
+def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
+    """A labelled doc_id that most rows repeat, with one text or with many."""
+    docs = spark.createDataFrame([(7, f"text number {k % 40}") for k in range(3000)] + [(k, f"another {k}") for k in range(100, 140)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0)] + [(k, k % 2, 0) for k in range(100, 140)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "learn_lexicon", lambda buckets, toxic, f=quality.learn_lexicon: seen.append(len(buckets)) or f(buckets, toxic))
+    quality.fit(docs, labels, sample_rows=60)
+    quality.fit(docs, labels, sample_rows=1000)
+    assert seen == [60, 80]
+
+
 def test_odd_judgements(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 1), (9, None, None), (3, 1, 7)], "doc_id long, quality int, toxic int").selectExpr("*", "'x' AS text")
     df = odd_docs(spark)
@@ -180,7 +191,7 @@ def test_stages_take_odd_rows(spark):
         assert out.columns == docs.columns
         out.collect()
     one = corpus_pipeline.keep_one_of_each_group(spark, docs, SF)
-    assert Counter(r.doc_id for r in one.collect()) == Counter({0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1, 11: 1, 12: 1, None: 2})
+    assert Counter(r.doc_id for r in one.collect()) == Counter({0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1, 11: 1, 12: 1, None: 1})
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs(spark), SF).count() == 0
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -293,14 +294,16 @@ def test_snapshots(spark, monkeypatch, slice_turns):
     rows += [(50, 0, None, None), (51, 0, "", ""), (52, None, "user", "a <|end|> b"), (52, 3, "user", "x"), (52, 3, "user", "x"), (53, 7, "user", "a <|end|> b")]
     rows += [(None, 0, "user", "only"), (54, 0, "user", "only"), (55, 1, "b", "tie"), (55, 1, "a", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS position", "2 AS slice", "3 AS p1")
-    got = {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in chats.collapse(df).collect()}
-    assert got == plain_collapse(rows)
+    parts = defaultdict(list)
+    for r in sorted(chats.collapse(df).collect(), key=lambda r: r.part):
+        parts[r.conv_id].append(r)
+    assert {c: (own[0].n_turns, own[0].n_copies, "".join(r.text for r in own)) for c, own in parts.items()} == plain_collapse(rows)
+    assert all(r.part == 1 + k * slice_turns for own in parts.values() for k, r in enumerate(own))
     assert chats.collapse(df.limit(0)).count() == 0
 
 
 def test_snapshots_without_conv_id_and_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(chats, "PART_BYTES", 300)
-    monkeypatch.setattr(chats, "CELL_BYTES", 2000)
     monkeypatch.setattr(chats, "SLICE_TURNS", 16)
     named = [(1, None, "user", f"{'x' * (k % 7)}{k}") for k in range(300)] + [(2, k, "user", "short" * 3) for k in range(40)]
     named += [(3, 0, "user", "one"), (3, 1, "b", "two"), (4, 0, "user", "lone")]
@@ -309,14 +312,12 @@ def test_snapshots_without_conv_id_and_of_any_length(spark, monkeypatch):
     # each turn without a conv_id by itself: a conversation of its own below all others
     want = plain_collapse(named + [(-1 - k, *r[1:]) for k, r in enumerate(sorted(set(nulls), key=repr))])
     got = defaultdict(list)
-    for r in chats.collapse_parts(df).collect():
+    for r in chats.collapse(df).collect():
         got[r.conv_id if r.conv_id is not None else (r.text,)].append((r.part, r.n_turns, r.n_copies, r.text))
     whole = {c: (*own[0][1:3], "".join(x[3] for x in sorted(own))) for c, own in got.items()}
     assert whole == {c if c > 0 else (w[2],): w for c, w in want.items()} and 4 not in whole
     assert len(got[1]) > 10 and max(len(x[3]) for own in got.values() for x in own) < 400
     cells = chats.collapse(df).collect()
-    assert Counter(r.conv_id for r in cells) == {1: len(got[1]), 2: 1, 3: 1, None: 52}
-    assert [r.text for r in cells if r.conv_id == 2] == [want[2][2]]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many ranges
     try:
         ranges = chats._in_ranges(df.where("conv_id = 1")).groupBy("range").count().collect()
@@ -327,6 +328,20 @@ def test_snapshots_without_conv_id_and_of_any_length(spark, monkeypatch):
     assert Counter(map(tuple, many)) == Counter(map(tuple, cells))
 
 
+def test_snapshots_match_sql_with_nulls_and_a_hot_conversation(spark):
+    """A conversation of half of all rows."""
+    rows = [(1, k // 3, "user", f"{k % 700}") for k in range(9000)] + [(k, j, "user", f"{k % 300} {j}") for k in range(2, 2500) for j in range(1 + k % 4)]
+    rows += [(None, k, "user", f"{k % 9} 0") for k in range(60)] + [(None, 1, None, None), (None, 2, None, None), (5000, None, None, None), (5001, None, "", "<|end|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = Counter(con.execute(chats.SQL).fetchall())
+    assert sum(want.values()) > 300 and Counter(tuple(r) for r in chats.collapse(df).collect()) == want
+    # both sides of the joins by conv_id are plain shuffles, which Spark splits where a conversation is hot
+    plan = chats.collapse(df)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(conv_id#\d+L, _zero#\d+L, \d+\), ENSURE_REQUIREMENTS", plan)) >= 4
+
+
 def test_snapshots_stay_in_the_jvm(spark):
     plan = chats.collapse(spark.read.parquet(f"{SF}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
