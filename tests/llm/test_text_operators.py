@@ -336,10 +336,15 @@ def test_snapshots_match_sql_with_nulls_and_a_hot_conversation(spark):
     con = duckdb.connect()
     con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
     want = Counter(con.execute(chats.SQL).fetchall())
-    assert sum(want.values()) > 300 and Counter(tuple(r) for r in chats.collapse(df).collect()) == want
-    # both sides of the joins by conv_id are plain shuffles, which Spark splits where a conversation is hot
-    plan = chats.collapse(df)._jdf.queryExecution().executedPlan().toString()
-    assert len(re.findall(r"Exchange hashpartitioning\(conv_id#\d+L, _zero#\d+L, \d+\), ENSURE_REQUIREMENTS", plan)) >= 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        found = chats.collapse(df)
+        assert sum(want.values()) > 300 and Counter(tuple(r) for r in found.collect()) == want
+        # both sides of the joins by conv_id are plain shuffles, which Spark splits where a conversation is hot
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(conv_id#\d+L, _zero#\d+L, \d+\), ENSURE_REQUIREMENTS", plan)) >= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_snapshots_stay_in_the_jvm(spark):
