@@ -82,13 +82,14 @@ def attestation(found: DataFrame, checks: Sequence[str], spark: SparkSession) ->
 
 
 def manifest_header(header: DataFrame, kind: str = "library_representative_manifest", source_root: str | None = None) -> DataFrame:
-    """Schema, kind, read-only source, no discovery errors, some pages."""
+    """Schema, kind, read-only source, no discovery errors, some pages (``n_pages``, or the array ``pages``)."""
+    n_pages = F.col("n_pages") if "n_pages" in header.columns else F.size("pages")
     rules = [
         (F.col("schema_version") == 1, "schema_version"),
         (F.col("kind") == kind, "kind"),
         (F.col("source_is_read_only"), "source_is_read_only"),
         (F.col("discovery.errors") == 0, "discovery_errors"),
-        (F.size("pages") > 0, "no_pages"),
+        (n_pages > 0, "no_pages"),
     ]
     if source_root is not None:
         rules.append((F.col("source_root") == source_root, "source_root"))

@@ -16,7 +16,8 @@ from assetflow.plans.library import O_UPSERT, PLANNED_X24, assets, planned, sql
 from assetflow.plans.views import spark_view, table
 from assetflow.session import shared_dir
 from assetflow.sources import archives, headers, metrics as metrics_source, sinks, worklist
-from assetflow.sources.journal import ManifestTable
+from assetflow.sources.documents import write_object
+from assetflow.sources.journal import ManifestTable, read_journal, write_journal
 from assetflow.sources.library import from_inventory, scan_counts
 from assetflow.streaming import arrivals, metrics_tail, stalls as stall_stream
 
@@ -120,6 +121,35 @@ def q_manifest_table(spark, d):
     return t.read()
 
 
+def q_journal_file(spark, d):
+    """Journals written as JSON objects, and read back in parallel."""
+    path = shared_dir(spark, "journals")
+    records = ["size", "source_sha256", "phase", "action", "candidate_sha256", "output_width", "output_height", "verified"]
+    write_journal(spark_view(spark, d, "journal").select("key", *records), path)
+    return read_journal(spark, path).select("key", *records)
+
+
+O_JOURNAL_FILE = sql(["journal"], "SELECT key, size, source_sha256, phase, action, candidate_sha256, output_width, output_height, verified FROM journal")
+
+
+def q_manifest_file(spark, d):
+    """Representative manifests, each one JSON object, read back as headers and pages."""
+    path = shared_dir(spark, "manifests")
+    page = F.struct(F.col("rel").alias("source"), "width", "height", F.col("has_alpha").alias("grayscale"), F.col("size").alias("file_bytes"), F.col("asset_id").alias("index"))
+    head = '{"schema_version": 1, "kind": "library_representative_manifest", "discovery": {"errors": 0, "notes": ["a, {b"]}, "pages": ['
+    write_object(assets(spark, d).select(F.to_json(page).alias("member")), path, head, '], "source_is_read_only": true}')
+    headers, pages = metrics_source.read_manifest(spark, path)
+    of = headers.select("file", "schema_version", "kind", "source_is_read_only", F.col("discovery.errors").alias("errors"))
+    return pages.join(of, "file").select("source", "width", "height", "grayscale", "file_bytes", "index", "schema_version", "kind", "source_is_read_only", "errors")
+
+
+O_MANIFEST_FILE = sql(
+    ["assets"],
+    """SELECT rel AS source, width, height, has_alpha AS grayscale, size AS file_bytes, asset_id AS "index", CAST(1 AS INTEGER) AS schema_version,
+  'library_representative_manifest' AS kind, true AS source_is_read_only, CAST(0 AS BIGINT) AS errors FROM assets""",
+)
+
+
 def q_checksum_lines(spark, d):
     path = shared_dir(spark, "checksums")
     sinks.write_checksums(assets(spark, d).select(F.col("rel").alias("path"), "sha256"), path)
@@ -296,6 +326,8 @@ REGISTRY = {
     "archive_members": (q_archive_members, O_ARCHIVES),
     "worklist_files": (q_worklist_files, O_WORKLIST_FILES),
     "manifest_table": (q_manifest_table, O_UPSERT),
+    "journal_file": (q_journal_file, O_JOURNAL_FILE),
+    "manifest_file": (q_manifest_file, O_MANIFEST_FILE),
     "checksum_lines": (q_checksum_lines, O_CHECKSUM_LINES),
     "job_summary": (q_job_summary, O_JOB_SUMMARY),
     "job_report": (q_job_report, O_JOB_REPORT),

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from assetflow.operators.incremental import manifest_upsert
+from assetflow.sources.documents import json_pieces, members, write_object
 
 RECORD = (
     "size: bigint, mtime_ns: bigint, source_sha256: string, source_root: string, model_sha256: string, pipeline_signature: string, "
@@ -24,85 +24,148 @@ RECORD = (
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object keyed by source path, as rows; a missing file is an empty table.
 
-    Booleans do not read as integers: such fields come back NULL and fail the field rules.
+    The document is read in parallel, whatever its size; below a folder every file is a journal. Of a key that an object
+    repeats the last record counts. Booleans do not read as integers: such fields come back NULL and fail the field
+    rules. A document that is damaged raises.
     """
-    columns = T.StructType([T.StructField("key", T.StringType())] + list(T._parse_datatype_string(RECORD.replace(": ", " "))))
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], columns)
-    parsed = text.select(F.explode(F.from_json("value", f"map<string, struct<{RECORD}>>")).alias("key", "r"))
-    return parsed.select("key", "r.*")
+    record = members(json_pieces(spark, path, 1)).filter("trim(text) <> ''")
+    text = F.concat(F.lit("{"), "text", F.lit("}"))
+    sound = F.when(F.try_parse_json(text).isNull(), F.raise_error(F.concat(F.lit("damaged journal record: "), F.left("text", F.lit(200))))).otherwise(text)
+    parsed = record.select("file", "block", "n", F.explode(F.from_json(sound, f"map<string, struct<{RECORD}>>")).alias("key", "r"))
+    last = parsed.groupBy("file", "key").agg(F.max_by("r", F.struct("block", "n")).alias("r"))
+    return last.select("key", "r.*")
 
 
-class ManifestTable:
-    """Versioned parquet snapshots of the committed state.
+def write_journal(records: DataFrame, path: str) -> None:
+    """The records (key and fields) as journals, one JSON object for each partition."""
+    fields = F.to_json(F.struct(*[c for c in records.columns if c != "key"]))
+    quoted = F.to_json(F.array("key"))
+    write_object(records.select(F.concat(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(": "), fields).alias("member")), path)
 
-    A commit writes a whole new folder and only then creates the commit file of its version, which
-    fails if another writer has created it: then the commit is made again on top of that version.
-    Readers follow the highest commit file, so a job that dies half way leaves the previous version
-    in force.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "rel") -> None:
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+class ManifestTable:
+    """The committed state as a log: what changes is written, not the whole table.
 
-    def _latest(self) -> tuple[int, str] | None:
-        """The highest commit: its version and its folder."""
-        try:
-            commits = self.spark.read.schema("version bigint, folder string").json(f"{self.path}/commits")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        last = commits.agg(F.max(F.struct("version", "folder")).alias("last")).first()["last"]
-        return None if last is None else (last["version"], last["folder"])
+    Keys are dealt to ``buckets`` by their hash. Every change writes one folder that holds the new rows, or marks of
+    dropped keys, by bucket, and then one commit file that lists the folders of each bucket in order; the file's
+    creation fails if another writer has made that version, and then the same folder is put on top of theirs, without
+    being written again. Readers follow the highest commit: a bucket of one folder is read as it is, of several the
+    last row of each key counts. ``compact`` merges buckets of several folders, and changes do it themselves once a
+    bucket has more than ``most`` of them. A job that dies half way leaves the previous version in force.
 
-    def version(self) -> int | None:
-        latest = self._latest()
-        return None if latest is None else latest[0]
+    Columns named _bucket, _dropped and _order are the table's own. Of rows that repeat a key within one change, the
+    greatest counts.
+    """
 
-    def read(self) -> DataFrame:
-        return self._at(self._latest())
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "rel", buckets: int = 16, most: int = 8) -> None:
+        self.spark, self.path, self.schema, self.key, self.buckets, self.most = spark, path.rstrip("/"), schema, key, buckets, most
+        self.names = [f.name for f in T._parse_datatype_string(schema)]
 
-    def _at(self, commit: tuple[int, str] | None) -> DataFrame:
-        if commit is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{commit[1]}")
+    def _file(self, name: str):
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits{name}")
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()), file
 
-    def _claim(self, version: int, folder: str) -> bool:
+    def _latest(self) -> tuple[int, dict[int, list[str]]]:
+        """The highest commit: its version and the folders of each bucket; version 0 if there is none."""
+        system, pattern = self._file("/*.json")
+        names = sorted(str(status.getPath()) for status in system.globStatus(pattern) or [])
+        if not names:
+            return 0, {}
+        row = self.spark.read.schema("version bigint, folders map<string, array<string>>").json(names[-1]).first()
+        return row["version"], {int(b): own for b, own in row["folders"].items()}
+
+    def version(self) -> int | None:
+        return self._latest()[0] or None
+
+    def read(self, of: DataFrame | None = None) -> DataFrame:
+        """The current rows; with ``of``, those of the buckets that its keys fall into (and so of all its keys)."""
+        folders = self._latest()[1]
+        if of is not None:
+            touched = {r[0] for r in of.select(self._bucket()).distinct().collect()}  # as many as there are buckets
+            folders = {b: own for b, own in folders.items() if b in touched}
+        return self._merged(folders)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("_bucket")
+
+    def _merged(self, folders: dict[int, list[str]]) -> DataFrame:
+        several = {b for b, own in folders.items() if len(own) > 1}
+        alone = self._rows({b: own for b, own in folders.items() if b not in several})
+        rows = self._rows({b: own for b, own in folders.items() if b in several})
+        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), F.struct("_order", F.struct(*self.names))).alias("_r")).select("_r.*")
+        return alone.unionByName(last).filter("NOT _dropped").select(*self.names)
+
+    def _rows(self, folders: dict[int, list[str]]) -> DataFrame:
+        """All rows of these folders with their _order; one scan a folder, of the buckets that list it."""
+        where: dict[str, dict[int, int]] = {}
+        for bucket, own in folders.items():
+            for order, folder in enumerate(own):
+                where.setdefault(folder, {})[bucket] = order
+        columns = f"{self.schema}, _dropped boolean"
+        parts = [self.spark.createDataFrame([], f"{columns}, _order int")]
+        for folder, orders in where.items():
+            scan = self.spark.read.schema(f"{columns}, _bucket int").parquet(f"{self.path}/{folder}").filter(F.col("_bucket").isin(*orders))
+            place = F.create_map(*[F.lit(x) for pair in orders.items() for x in pair])[F.col("_bucket")]
+            parts.append(scan.withColumn("_order", place).drop("_bucket"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _claim(self, version: int, folders: dict[int, list[str]]) -> bool:
         """Create the commit file of a version; False if there is one."""
-        jvm = self.spark._jvm
-        file = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{version:020d}.json")
-        system = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        system, file = self._file(f"/{version:020d}.json")
         try:
             out = system.create(file, False)
         except Py4JJavaError:
             if system.exists(file):
                 return False
             raise
-        out.write(bytearray(json.dumps({"version": version, "folder": folder}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "folders": folders}).encode()))
         out.close()
         return True
 
-    def _change(self, rows: Callable[[DataFrame], DataFrame]) -> int:
-        """Commit what ``rows`` makes of the current state; again if another commit comes first."""
+    def _write(self, rows: DataFrame) -> tuple[str, list[int]]:
+        """A folder of these rows (with _dropped) by bucket, and the buckets it has."""
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        system, pattern = self._file(f"/../{folder}/_bucket=*")
+        return folder, [int(str(status.getPath()).rpartition("=")[2]) for status in system.globStatus(pattern) or []]
+
+    def _change(self, folders: Callable[[dict[int, list[str]]], dict[int, list[str]]]) -> int:
+        """Commit what ``folders`` makes of the current lists; again, on the new ones, if another commit comes first."""
         while True:
-            latest = self._latest()
-            version, folder = (latest[0] if latest else 0) + 1, f"data-{uuid.uuid4().hex}"
-            rows(self._at(latest)).write.parquet(f"{self.path}/{folder}")
-            if self._claim(version, folder):
-                return version
+            version, now = self._latest()
+            if self._claim(version + 1, folders(now)):
+                return version + 1
 
     def commit(self, rows: DataFrame) -> int:
-        return self._change(lambda _old: rows)
+        """These rows and no others."""
+        folder, touched = self._write(rows.select(*self.names, F.lit(False).alias("_dropped")))
+        return self._change(lambda _now: {b: [folder] for b in touched})
+
+    def _append(self, rows: DataFrame) -> int:
+        folder, touched = self._write(rows)
+        version = self._change(lambda now: now | {b: [*now.get(b, []), folder] for b in touched})
+        return self.compact(self.most) or version
 
     def upsert(self, new: DataFrame) -> int:
-        names = [f.name for f in T._parse_datatype_string(self.schema)]
-        return self._change(lambda old: manifest_upsert(old, new.select(*names), self.key))
+        return self._append(new.select(*self.names, F.lit(False).alias("_dropped")))
 
     def discard(self, keys: DataFrame) -> int:
         """Drop records; a table without rows reads as empty."""
-        return self._change(lambda old: old.join(keys.select(self.key), self.key, "left_anti"))
+        kinds = {f.name: f.dataType for f in T._parse_datatype_string(self.schema)}
+        return self._append(keys.select(*[F.col(c) if c == self.key else F.lit(None).cast(kinds[c]).alias(c) for c in self.names], F.lit(True).alias("_dropped")))
+
+    def compact(self, most: int = 1) -> int | None:
+        """Merge the buckets that have more than ``most`` folders. What others append meanwhile stays on top."""
+        old = {b: own for b, own in self._latest()[1].items() if len(own) > most}
+        if not old:
+            return None
+        folder, touched = self._write(self._merged(old).withColumn("_dropped", F.lit(False)))
+
+        def merged(now: dict[int, list[str]]) -> dict[int, list[str]]:
+            out = dict(now)
+            for b, own in old.items():
+                if now.get(b, [])[: len(own)] == own:  # else it was replaced or merged by another writer
+                    out[b] = ([folder] if b in touched else []) + now[b][len(own) :]
+            return {b: own for b, own in out.items() if own}
+
+        return self._change(merged)

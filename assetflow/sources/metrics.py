@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
+
+from assetflow.session import written
+from assetflow.sources.documents import json_pieces, member_name, members
 
 INTERVALS = "map<string, array<struct<clock: string, start_offset_ns: bigint, end_offset_ns: bigint, duration_seconds: double>>>"
 DETAILS = (
@@ -78,9 +82,29 @@ def job_count_violations(jobs: DataFrame) -> DataFrame:
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
-
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Headers and pages of representative manifests, one JSON object a file, of any size.
 
-def manifest_pages(manifest: DataFrame) -> DataFrame:
-    return manifest.select(F.explode("pages").alias("p")).select("p.*")
+    Headers: file, the fields beside ``pages``, and n_pages. Pages: file and the page's fields; what is no object has
+    null fields.
+    """
+    pieces = written(members(json_pieces(spark, path, 2)), "manifest-pieces")
+    place = F.struct("block", "n")
+    tops = pieces.filter("depth <= 1").withColumn("_until", F.lead(place).over(Window.partitionBy("file").orderBy("block", "n")))
+    lists = tops.filter(member_name(F.col("text")) == "pages").groupBy("file").agg(F.max(F.struct(place.alias("at"), F.col("_until").alias("until"))).alias("_pages"))
+    # one row a file, beside the pieces of that file
+    placed = pieces.join(F.broadcast(lists), "file", "left")
+    within = F.coalesce((place >= F.col("_pages.at")) & (F.col("_pages.until").isNull() | (place < F.col("_pages.until"))), F.lit(False))
+    element = F.regexp_replace("text", r'^\s*"pages"\s*:\s*\[', "")
+    element = F.when(place == F.col("_pages.at"), element).otherwise(F.col("text"))
+    element = F.when(F.col("end") <= 1, F.regexp_replace(element, r"\]\s*$", "")).otherwise(element)
+    pages = placed.filter(within).select("file", element.alias("text")).filter("trim(text) <> ''")
+    typed = StructType.fromDDL(MANIFEST_SCHEMA)
+    rows = pages.select("file", F.from_json("text", typed["pages"].dataType.elementType).alias("p")).select("file", "p.*")
+    fields = StructType([f for f in typed if f.name != "pages"])
+    texts = placed.groupBy("file").agg(
+        F.sort_array(F.collect_list(F.when(~within, F.struct("block", "n", "text")))).alias("_t"), F.count_if(within & (F.trim(element) != "")).alias("n_pages")
+    )
+    whole = F.concat(F.lit("{"), F.array_join(F.filter("_t.text", lambda t: F.trim(t) != ""), ","), F.lit("}"))
+    headers = texts.select("file", F.from_json(whole, fields).alias("h"), "n_pages").select("file", "h.*", "n_pages")
+    return headers, rows

@@ -36,7 +36,7 @@ def process_arrivals(
     def handle(batch: DataFrame, _epoch: int) -> None:
         batch.persist()  # read by the emptiness test and by the commit
         try:
-            todo = pending(batch, table.read(), fields, table.key)
+            todo = pending(batch, table.read(of=batch), fields, table.key)
             if not todo.isEmpty():
                 # written once: the upsert reads it more than once, and the work must not be done again
                 path = shared_dir(batch.sparkSession, "arrivals")

@@ -6,13 +6,14 @@ import json
 import struct
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assetflow.operators import reconcile
-from assetflow.sources import archives, headers, images, journal, library, metrics, sinks, worklist
+from assetflow.sources import archives, documents, headers, images, journal, library, metrics, sinks, worklist
 
 
 def tiff(order, width, height, bits, orientation, pages=1, filler=0):
@@ -171,6 +172,62 @@ def test_journal(spark, tmp_path):
     assert rows["b.png"].phase == "committed"
 
 
+def odd_journal(n):
+    """Keys and values with quotes, commas, brackets and escapes."""
+    odd = ['a,b"c', "x{y[", 'back\\slash"', "tab\t,]}", "ünï,cödé", '"', "\\", ",,,", ""]
+    return {f"{k}/{odd[k % len(odd)]}.png": {"size": k, "phase": odd[-1 - k % len(odd)], "destination": "d,{" * (k % 5), "verified": k % 2 == 0} for k in range(n)}
+
+
+@pytest.mark.parametrize(("block", "indent"), [("100000", None), ("230", None), ("300", 1)])
+def test_journal_in_parts_of_any_size(spark, tmp_path, block, indent):
+    """Equal to parsing the whole file, wherever byte ranges begin: inside strings, after escapes, between brackets."""
+    want = odd_journal(45)
+    path = tmp_path / "state.json"
+    path.write_text(json.dumps(want, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {r.key: (r["size"], r.phase, r.destination, r.verified) for r in journal.read_journal(spark, str(path)).collect()}
+        blocks = documents.json_pieces(spark, str(path), 1).select("block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {k: (v["size"], v["phase"], v["destination"], v["verified"]) for k, v in want.items()}
+    assert blocks > (8 if len(block) == 3 else 0)
+
+
+def test_odd_journals(spark, tmp_path):
+    for name, text, want in (("e", "{}", {}), ("s", ' {\n}\n', {}), ("one", '{"k": {"size": 1}}', {"k": 1}), ("twice", '{"k": {"size": 1}, "j": {}, "k": {"size": 2}}', {"k": 2, "j": None}), ("none", "", {})):
+        (tmp_path / name).write_text(text)
+        assert {r.key: r["size"] for r in journal.read_journal(spark, str(tmp_path / name)).collect()} == want
+    for k, text in enumerate(("[1, 2]", '{"k": {"size": 1}, "j"', '{"k": {]}, "j": {}}', '{"k": }')):
+        (tmp_path / f"bad{k}").write_text(text)
+        with pytest.raises(Exception, match="damaged|not one JSON object"):
+            journal.read_journal(spark, str(tmp_path / f"bad{k}")).collect()
+
+
+@pytest.mark.parametrize("block", ["100000", "350"])
+def test_manifest_in_parts_of_any_size(spark, tmp_path, block):
+    page = lambda k: {"source": f"s,{k}", "width": k, "height": 2, "grayscale": k % 2 == 0, "index": k, "copied_path": 'inputs/"[{,'}
+    head = {"schema_version": 1, "kind": "k,{", "selected_counts": {"normal": 3, "sharper": 4}, "coverage": {"grayscale": 2}, "discovery": {"errors": 0}, "source_is_read_only": True}
+    items = list(head.items())
+    for name, before, n in (("last", 6, 9), ("first", 0, 9), ("middle", 3, 9), ("none", 2, 0), ("one", 4, 1)):
+        (tmp_path / name).write_text(json.dumps(dict([*items[:before], ("pages", [page(k) for k in range(n)]), *items[before:]]), indent=2 if name == "middle" else None))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        headers, pages = metrics.read_manifest(spark, str(tmp_path))
+        found = {r.file.split("/")[-1]: r for r in headers.collect()}
+        rows = Counter((r.file.split("/")[-1], r.source, r.width, r.grayscale, r["index"], r.copied_path) for r in pages.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    sizes = {"last": 9, "first": 9, "middle": 9, "none": 0, "one": 1}
+    assert {k: r.n_pages for k, r in found.items()} == sizes
+    assert all((r.kind, r.selected_counts, r.discovery.errors, r.coverage.grayscale) == ("k,{", {"normal": 3, "sharper": 4}, 0, 2) for r in found.values())
+    assert rows == Counter((name, f"s,{k}", k, k % 2 == 0, k, 'inputs/"[{,') for name, n in sizes.items() for k in range(n))
+
+
 def test_manifest_table(spark, tmp_path):
     table = journal.ManifestTable(spark, str(tmp_path / "t"), "rel string, size bigint")
     assert table.read().count() == 0 and table.version() is None
@@ -196,6 +253,48 @@ def test_commits_at_once_lose_nothing(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in one.read().collect()} == {("a", 1), ("b", 2), ("c", 3)}
 
 
+def test_a_change_writes_what_it_changes(spark, tmp_path):
+    """Rows written follow the change and not the table; merging leaves the table as it is."""
+    table = journal.ManifestTable(spark, str(tmp_path / "t"), "rel string, size bigint", buckets=4, most=3)
+    state = {f"k{k}": k for k in range(2000)}
+    frame = lambda rows: spark.createDataFrame(sorted(rows.items()), "rel string, size bigint")
+    table.commit(frame(state))
+    seen = {p.name for p in (tmp_path / "t").glob("data-*")}
+    for step in range(7):
+        change = {f"k{step * 50}": -step, f"new{step}": step}
+        state |= change
+        before = {b: len(own) for b, own in table._latest()[1].items()}
+        if step % 2:
+            table.upsert(frame(change))
+        else:
+            table.discard(frame({f"k{step + 1}": 0}))
+            state.pop(f"k{step + 1}")
+            table.upsert(frame(change))
+        after = {b: len(own) for b, own in table._latest()[1].items()}
+        new = {p.name for p in (tmp_path / "t").glob("data-*")} - seen
+        seen |= new
+        if all(after[b] >= before[b] for b in after):
+            assert sum(spark.read.parquet(str(tmp_path / "t" / name)).count() for name in new) <= 3
+        assert {tuple(r) for r in table.read().collect()} == set(state.items())
+    few = frame({"k8": 0, "absent": 1})
+    assert {r.rel for r in table.read(of=few).collect()} < set(state) and "k8" in {r.rel for r in table.read(of=few).collect()}
+    assert max(map(len, table._latest()[1].values())) <= 3
+    table.compact()
+    assert {len(own) for own in table._latest()[1].values()} == {1} and {tuple(r) for r in table.read().collect()} == set(state.items())
+
+
+def test_merging_while_another_writer_appends(spark, tmp_path, monkeypatch):
+    one, two = (journal.ManifestTable(spark, str(tmp_path / "t"), "rel string, size bigint", buckets=2) for _ in range(2))
+    rows = lambda *r: spark.createDataFrame(list(r), "rel string, size bigint")
+    one.commit(rows(*((f"k{k}", k) for k in range(20))))
+    one.upsert(rows(("k1", 100), ("k2", 200), ("k3", 300)))
+    claim, between = one._claim, iter([lambda: two.upsert(rows(("k2", 7), ("late", 8)))])
+    monkeypatch.setattr(one, "_claim", lambda *args: (next(between, lambda: None)(), claim(*args))[1])
+    one.compact()
+    want = {f"k{k}": k for k in range(20)} | {"k1": 100, "k2": 7, "k3": 300, "late": 8}
+    assert {tuple(r) for r in one.read().collect()} == set(want.items())
+
+
 def test_last_append_wins(spark, tmp_path):
     path = str(tmp_path / "w")
     head = spark.range(1).select(F.lit("library-worklist").alias("type"))
