@@ -42,6 +42,29 @@ BASELINE_CHECKS = (
     "mirror_state_committed_and_hash_bound",
     "worklist_and_part_files_absent",
 )
+# What a run's report says of itself, the nine above and, when incremental, one more.
+INCREMENTAL_CHECK = "incremental_inventories_unchanged"
+#: Which violations speak against which of them: a check, and its details if not all of them count there.
+VERDICT_RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("roots_are_isolated", "roots_disjoint", ()),
+    ("base_semantics_inherited", "isolated_config", ()),
+    ("base_semantics_inherited", "config", ()),
+    ("base_semantics_inherited", "gate_arithmetic", ()),
+    ("manifest_inputs_redecoded_and_unchanged", "manifest_header", ()),
+    ("manifest_inputs_redecoded_and_unchanged", "manifest_pages", ()),
+    ("manifest_inputs_redecoded_and_unchanged", "manifest_coverage", ()),
+    ("routes_models_plans_and_native_scale_bound", "page_rows", ("upscale", "native_scale", "planned_output_dimensions", "plan_reason", "model_label", "model_checkpoint", "tile", "tile_candidates", "overlap", "precision", "batch_tiles")),
+    ("routes_models_plans_and_native_scale_bound", "model_inventory", ()),
+    ("reserved_vram_within_limit", "page_rows", ("no_memory_evidence", "memory_limit")),
+    ("worklist_and_part_files_absent", "output_inventory", ("part_file", "worklist_kept")),
+    ("final_jxl_redecoded", "output_inventory", ()),
+    ("mirror_state_committed_and_hash_bound", "state_records", ()),
+    ("metrics_complete_and_bound", "page_rows", ()),
+    ("metrics_complete_and_bound", "page_spans", ()),
+    ("metrics_complete_and_bound", "job_header", ()),
+    ("metrics_complete_and_bound", "job_timing", ()),
+    (INCREMENTAL_CHECK, "baseline", ()),
+)
 
 
 def violations(df: DataFrame, check: str, subject: str | Column, detail: str | Column) -> DataFrame:
@@ -78,6 +101,22 @@ def attestation(found: DataFrame, checks: Sequence[str], spark: SparkSession) ->
     )
 
 
+def run_verdict(found: DataFrame, run_kind: str) -> DataFrame:
+    """A run's verdict in the report's own terms, from the violations of all checks.
+
+    Every violation counts once: where a rule names its detail, else where a rule takes the whole check. One of a
+    check that no rule knows raises. A first run has nine checks, an incremental one ten.
+    """
+    name = F.lit(None).cast("string")
+    for verdict, check, details in reversed(sorted(VERDICT_RULES, key=lambda rule: not rule[2])):
+        applies = F.col("check_name") == check
+        name = F.when(applies & F.col("detail").isin(*details) if details else applies, verdict).otherwise(name)
+    known = F.when(name.isNull(), F.raise_error(F.concat(F.lit("no verdict has the check "), "check_name"))).otherwise(name)
+    named = found.select(known.alias("check_name"), "subject", "detail")
+    checks = [*BASELINE_CHECKS, *([INCREMENTAL_CHECK] if run_kind == "incremental" else [])]
+    return attestation(named, checks, found.sparkSession)
+
+
 # --- manifest ---------------------------------------------------------------------------------
 
 

@@ -327,3 +327,16 @@ def test_verdict_lists_every_check(spark):
     bad = spark.createDataFrame([("b", "x", "d"), ("b", "a", "d")], "check_name string, subject string, detail string")
     got = [tuple(r) for r in attest.attestation(bad, ["a", "b"], spark).orderBy("check_name").collect()]
     assert got == [("a", 0, True, None), ("b", 2, False, "a")]
+
+
+def test_run_verdict_takes_every_violation_once(spark):
+    rows = [("page_rows", "a", "status"), ("page_rows", "b", "memory_limit"), ("page_rows", "c", "model_label"), ("output_inventory", "d", "part_file"), ("output_inventory", "e", "missing"), ("baseline", "f", "valid")]
+    bad = spark.createDataFrame(rows, "check_name string, subject string, detail string")
+    got = {r.check_name: (r.violations, r.first_subject) for r in attest.run_verdict(bad, "incremental").collect()}
+    assert got.keys() == {*attest.BASELINE_CHECKS, attest.INCREMENTAL_CHECK} and sum(n for n, _ in got.values()) == len(rows)
+    assert got["metrics_complete_and_bound"] == (1, "a") and got["reserved_vram_within_limit"] == (1, "b")
+    assert got["routes_models_plans_and_native_scale_bound"] == (1, "c") and got["worklist_and_part_files_absent"] == (1, "d")
+    assert got["final_jxl_redecoded"] == (1, "e") and got[attest.INCREMENTAL_CHECK] == (1, "f")
+    assert attest.run_verdict(bad.limit(0), "first").where("NOT passed").count() == 0
+    with pytest.raises(Exception, match="no verdict has the check"):
+        attest.run_verdict(spark.createDataFrame([("other", "x", "y")], "check_name string, subject string, detail string"), "first").collect()
