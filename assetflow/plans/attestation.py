@@ -11,6 +11,7 @@ from assetflow.operators import attest
 from assetflow.operators.models import model_table
 from assetflow.plans.library import IMAGE, assets, sql
 from assetflow.plans.views import spark_view
+from assetflow.session import written
 from assetflow.sources import metrics as metrics_source
 
 
@@ -129,7 +130,7 @@ def run_pages(spark, d):
     k = F.col("asset_id")
     w = F.when(k % 2 == 0, 400 + k % 200).otherwise(1100 + k % 200)
     h = F.when(k % 2 == 0, 500 + k % 300).otherwise(1200 + k % 300)
-    pages = a.select("asset_id", F.concat(F.lit("p/"), k.cast("string"), F.lit(".png")).alias("key"), w.alias("width"), h.alias("height"), "sha256", "size", "has_alpha")
+    pages = a.select("asset_id", F.concat(F.lit("p/"), k.cast("string"), F.lit(".png")).alias("key"), w.alias("width"), h.alias("height"), "sha256", "size", "has_alpha", F.split("rel", "/")[0].alias("lang"))
     return pages.select(
         "*",
         (k + 1).alias("index"),
@@ -187,11 +188,10 @@ def run_job(spark, n, kind):
     return spark.createDataFrame([(json.dumps(job),)], "v string").select(F.from_json("v", metrics_source.JOB_SCHEMA).alias("j")).select("j.*")
 
 
-def run_violations(spark, d, kind):
-    """All checks of a run of this kind over the whole inventory, some of whose facts are wrong."""
-    pages = run_pages(spark, d)
+def run_violations(spark, pages, expected, kind):
+    """All checks of a run of this kind over the whole inventory (``run_pages``), some of whose facts are wrong."""
     n = pages.agg(F.max("index")).first()[0]
-    expected, models = attest.expected_facts(pages), model_table(spark, "real-hat-auto")
+    models = model_table(spark, "real-hat-auto")
     wrong = lambda verdict, column, value: F.when(planted(verdict), value).otherwise(F.col(column)).alias(column)
     files = pages.select(F.col("key").alias("path"), "size", wrong("manifest_inputs_redecoded_and_unchanged", "sha256", F.reverse("sha256")))
     placed = expected.join(pages.select("key", "asset_id"), "key")
@@ -199,8 +199,8 @@ def run_violations(spark, d, kind):
     left = placed.filter(planted("worklist_and_part_files_absent")).select(F.concat("destination", F.lit(".t.part")).alias("path"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
     state = placed.select("key", *[F.col("sha256").alias(c) if c.endswith("sha256") else F.lit(c).alias(c) for c in attest.STATE_FIELDS])
     kept = state.join(placed.select("key", "asset_id"), "key").select("key", *[wrong("mirror_state_committed_and_hash_bound", c, F.lit("x")) if c == "output_sha256" else F.col(c) for c in attest.STATE_FIELDS])
-    roots = assets(spark, d).select(F.split("rel", "/")[0].alias("name")).distinct().select("name", F.concat(F.lit("/lib/"), "name").alias("path"))
-    options = assets(spark, d).groupBy(F.split("rel", "/")[0].alias("name")).agg(F.count("*").cast("string").alias("value"))
+    options = pages.groupBy(F.col("lang").alias("name")).agg(F.count("*").cast("string").alias("value"))
+    roots = options.select("name", F.concat(F.lit("/lib/"), "name").alias("path"))
     gate = pages.agg(
         F.count("*").alias("pages"), F.count_if(F.col("route") == "normal").alias("normal"), F.count_if(F.col("route") == "sharper").alias("sharper"),
         F.lit(14.0).alias("max_reserved_gib"), F.lit(0).alias("min_exact_threshold"), F.count_if(F.col("short_edge") == 1000).alias("exact_threshold"),
@@ -220,7 +220,9 @@ def run_violations(spark, d, kind):
 
 def q_run_verdict(spark, d):
     """The verdicts of a first and of an incremental run, in the report's own terms."""
-    both = [attest.run_verdict(run_violations(spark, d, kind), kind).withColumn("run_kind", F.lit(kind)) for kind in ("first", "incremental")]
+    pages = written(run_pages(spark, d), "run-pages")
+    expected = written(attest.expected_facts(pages), "run-facts")
+    both = [attest.run_verdict(run_violations(spark, pages, expected, kind), kind).withColumn("run_kind", F.lit(kind)) for kind in ("first", "incremental")]
     return both[0].unionByName(both[1])
 
 

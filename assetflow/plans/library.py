@@ -258,15 +258,14 @@ O_COLLISION_UNICODE = sql(
 
 
 def q_companion_key_collision(spark, d):
-    """Collisions of all asset stems: the companion rule applied to every file's companion key."""
-    stems = assets(spark, d).select(F.col("rel").alias("source"), paths.companion_key(F.col("key")).alias("key"))
-    return companions.collisions(stems)
+    """Companion files whose names differ by case only."""
+    return companions.companion_key_collision(assets(spark, d))
 
 
 O_KEY_COLLISION = sql(
     ["assets"],
-    f"""SELECT key, source, first_source, sources FROM (SELECT {TARGET} AS key, rel AS source, min(rel) OVER (PARTITION BY {TARGET}) AS first_source,
-  count(*) OVER (PARTITION BY {TARGET}) AS sources FROM assets) c WHERE sources > 1""",
+    f"""SELECT key, source, first_source, sources FROM (SELECT lower(rel) AS key, rel AS source, min(rel) OVER (PARTITION BY lower(rel)) AS first_source,
+  count(*) OVER (PARTITION BY lower(rel)) AS sources FROM assets WHERE {JXL}) c WHERE sources > 1""",
 )
 
 
@@ -327,6 +326,33 @@ p AS (SELECT path FROM u UNION SELECT regexp_replace(path, '/?[^/]*$', '') FROM
 SELECT c.path, a.path AS ancestor FROM p c JOIN p a ON starts_with(c.path, a.path || '/')"""
 
 
+def q_root_isolation(spark, d):
+    """Site folders as named roots: those that are equal or lie in one another, each pair once."""
+    clean = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    folder = paths.dir_name(paths.comparison_path(clean))
+    roots = table(spark, d, "pages").select(folder.alias("path")).distinct().select(F.concat(F.lit("site:"), "path").alias("name"), "path")
+    return attest_paths.root_overlaps(roots.unionByName(roots.select(F.concat(F.lit("copy:"), "path").alias("name"), "path")))
+
+
+O_ROOTS = """WITH u AS (SELECT regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '(.)/+$', '\\1') AS path FROM pages),
+f AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS path FROM u),
+r AS (SELECT 'site:' || path AS name, path FROM f UNION ALL SELECT 'copy:' || path, path FROM f)
+SELECT a.name AS left, b.name AS right FROM r a JOIN r b ON a.name < b.name AND (a.path = b.path OR starts_with(a.path, b.path || '/') OR starts_with(b.path, a.path || '/'))"""
+
+
+def q_initial_actions(spark, d):
+    """What a replacing and a mirroring run do first with every image."""
+    images = companions.companion_join(assets(spark, d)).select("rel", F.col("companion_rel").isNotNull().alias("there"))
+    return images.select("rel", resolution.initial_action(True, F.col("there")).alias("replacing"), resolution.initial_action(False, F.col("there")).alias("mirroring"))
+
+
+O_INITIAL = sql(
+    ["assets"],
+    f"""SELECT rel, CASE WHEN {TARGET} IN (SELECT lower(rel) FROM assets WHERE {JXL}) THEN 'replace_existing_jxl' ELSE 'encode_new' END AS replacing, 'encode_mirror' AS mirroring
+FROM assets WHERE {IMAGE}""",
+)
+
+
 def q_path_rules(spark, d):
     """Journal path rules on every recorded destination and temporary."""
     t = spark_view(spark, d, "transactions")
@@ -404,15 +430,18 @@ UNION ALL SELECT rel, size, source_sha256, pipeline_signature FROM manifest WHER
 
 
 def q_snapshot(spark, d):
-    planned_rows = assets(spark, d).select("rel", "size", "mtime_ns")
-    listing = spark_view(spark, d, "manifest").select("rel", "size", "mtime_ns")
-    return incremental.snapshot_recheck(planned_rows, listing, fields=("size", "mtime_ns"))
+    """All five fields of a planned snapshot against a listing in which each of them has changed for some files."""
+    k = F.col("asset_id")
+    planned_rows = assets(spark, d).select("rel", "size", "mtime_ns", (F.col("mtime_ns") + 5).alias("ctime_ns"), (k % 3).alias("device"), k.alias("inode"), k)
+    changed = {"size": 17, "mtime_ns": 19, "ctime_ns": 23, "device": 29, "inode": 31}
+    listing = planned_rows.filter(k % 10 != 3).select("rel", *[F.when(k % of == 0, F.col(c) + 1).otherwise(F.col(c)).alias(c) for c, of in changed.items()])
+    return incremental.snapshot_recheck(planned_rows.drop("asset_id"), listing)
 
 
 O_SNAPSHOT = sql(
-    ["assets", "manifest"],
-    """SELECT a.rel, CASE WHEN m.rel IS NULL THEN 'deferred_missing' WHEN a.size IS DISTINCT FROM m.size OR a.mtime_ns IS DISTINCT FROM m.mtime_ns THEN 'deferred_changed' ELSE 'ok' END AS verdict
-FROM assets a LEFT JOIN manifest m ON a.rel = m.rel""",
+    ["assets"],
+    """SELECT rel, CASE WHEN asset_id % 10 = 3 THEN 'deferred_missing' WHEN asset_id % 17 = 0 OR asset_id % 19 = 0 OR asset_id % 23 = 0 OR asset_id % 29 = 0 OR asset_id % 31 = 0 THEN 'deferred_changed' ELSE 'ok' END AS verdict
+FROM assets""",
 )
 
 
@@ -436,15 +465,18 @@ def q_checksum(spark, d):
 
 
 def manifest_entries(spark, d):
-    """Expected hashes for every benchmarked and labelled document, some of them wrong or absent."""
+    """Expected hashes for every document, some of them wrong, absent or listed twice."""
     docs = table(spark, d, "documents").select("doc_id", "source", content_sha256(F.col("text")).alias("sha256"))
     wrong = F.when(F.col("source") == "src1", F.lit("")).when(F.col("source") == "src2", F.sha2("source", 256)).otherwise(F.upper("sha256"))
-    return docs.select((F.col("doc_id") + F.when(F.col("source") == "src3", F.lit(1_000_000_000)).otherwise(F.lit(0))).alias("doc_id"), wrong.alias("expected_sha256"))
+    listed = docs.select((F.col("doc_id") + F.when(F.col("source") == "src3", F.lit(1_000_000_000)).otherwise(F.lit(0))).alias("doc_id"), wrong.alias("expected_sha256"))
+    return listed.unionByName(listed.filter("doc_id % 7 = 0"))  # entries that occur twice
+
+
 
 
 O_CHECKSUM = """WITH f AS (SELECT doc_id, source, sha256(text) AS sha256 FROM documents),
 e AS (SELECT doc_id + CASE WHEN source = 'src3' THEN 1000000000 ELSE 0 END AS doc_id, CASE source WHEN 'src1' THEN '' WHEN 'src2' THEN sha256(source) ELSE sha256 END AS expected FROM f)
-SELECT e.doc_id, CAST(1 AS BIGINT) AS entries, CASE WHEN f.sha256 IS NULL THEN 'missing' WHEN e.expected <> '' AND e.expected <> f.sha256 THEN 'mismatch' ELSE 'present' END AS status
+SELECT e.doc_id, CAST(CASE WHEN e.doc_id % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS entries, CASE WHEN e.doc_id % 7 = 0 THEN 'ambiguous' WHEN f.sha256 IS NULL THEN 'missing' WHEN e.expected <> '' AND e.expected <> f.sha256 THEN 'mismatch' ELSE 'present' END AS status
 FROM e LEFT JOIN f ON e.doc_id = f.doc_id"""
 
 
@@ -716,6 +748,8 @@ REGISTRY = {
     "conflict_keys": (q_conflict_keys, O_CONFLICT_KEYS),
     "conflict_report": (q_conflict_report, O_CONFLICT),
     "path_overlap": (q_path_overlap, O_OVERLAP),
+    "root_isolation": (q_root_isolation, O_ROOTS),
+    "initial_actions": (q_initial_actions, O_INITIAL),
     "path_rules": (q_path_rules, O_PATH_RULES),
     "normalized_key": (q_normalized_key, O_NORMALIZED),
     "incremental_status": (q_incremental, O_INCREMENTAL),
