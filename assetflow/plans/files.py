@@ -307,16 +307,15 @@ O_STREAM_SESSIONS = """SELECT * FROM (SELECT run, min(t) AS session_start_us, ma
 
 
 def q_stream_alerts(spark, d):
-    """Stall alerts from state and event-time timers."""
+    """Stall alerts from state and event-time timers, with both ends of the silence where it has ended."""
     out, mark = shared_dir(spark, "alerts"), shared_dir(spark, "mark")
     query = stall_stream.stall_alerts(event_stream(spark, d)).writeStream.outputMode("append")
     query.option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
-    alerts = spark.read.schema("run long, silent_from_us long, silent_to_us long, attempt long, outcome string").parquet(out)
-    return alerts.select("run", "silent_from_us", "attempt", "outcome")
+    return spark.read.schema("run long, silent_from_us long, silent_to_us long, attempt long, outcome string").parquet(out)
 
 
 O_STREAM_ALERTS = """WITH e AS (SELECT DISTINCT user_id % 3 AS run, epoch_us(ts) AS t FROM events), g AS (SELECT run, t, lead(t) OVER (PARTITION BY run ORDER BY t) AS n FROM e)
-SELECT run, t AS silent_from_us, row_number() OVER (PARTITION BY run ORDER BY t) AS attempt, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY t) <= 2 THEN 'restart' ELSE 'restart_limit_reached' END AS outcome
+SELECT run, t AS silent_from_us, n AS silent_to_us, row_number() OVER (PARTITION BY run ORDER BY t) AS attempt, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY t) <= 2 THEN 'restart' ELSE 'restart_limit_reached' END AS outcome
 FROM g WHERE n - t >= 600000000 OR (n IS NULL AND t + 600000000 <= (SELECT max(epoch_ms(ts)) * 1000 - 60000000 FROM events))"""
 
 
