@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -161,10 +160,6 @@ def tile_estimate(width: Column, height: Column, tile: int, overlap: int) -> Col
     )
 
 
-def tile_estimates(width: Column, height: Column, candidates: Sequence[int], overlap: int) -> Column:
-    return F.array(*[tile_estimate(width, height, t, overlap) for t in candidates])
-
-
 def choose_tile(width: Column, height: Column, candidates: Sequence[int], overlap: int) -> Column:
     """Cheapest estimate; a tie goes to the smaller tile because ``work, tile`` lead the struct."""
     options = [tile_estimate(width, height, t, overlap) for t in candidates]
@@ -205,7 +200,3 @@ def replace_refusals(
 
 def first_code(codes: Column) -> Column:
     return F.when(F.size(codes) > 0, codes[0])
-
-
-def any_of(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)

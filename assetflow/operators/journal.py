@@ -186,7 +186,3 @@ def blocked_keys(decided: DataFrame) -> DataFrame:
     """
     per_key = decided.groupBy("key").agg(F.bool_or("external").alias("external"), F.bool_or("blocked").alias("_blocked"))
     return per_key.filter("_blocked").select("key", "external")
-
-
-def encoded_candidate_valid(sha: Column, size: Column, verified: Column) -> Column:
-    return F.coalesce(verified, F.lit(False)) & is_sha256(sha) & F.coalesce(size >= 1, F.lit(False))

@@ -31,8 +31,6 @@ MODEL_ROWS = (
     ("hat-s", "x2", 2, "HAT-S_SRx2.pth", "HAT-S-x2"),
     ("hat-s", "x4", 4, "HAT-S_SRx4.pth", "HAT-S-x4"),
 )
-# fixed value: the model hash of pages that need no model
-TRANSCODE_MODEL_SHA256 = "no-model:transcode-only:v1"
 PROFILE_FAMILY = {
     "real-hat-auto": "real-hat",
     "hat-auto": "hat-s",
