@@ -53,11 +53,11 @@ def workload_counts(planned: DataFrame, policy: PlanPolicy = PlanPolicy()) -> Da
     return planned.agg(*[F.count_if(test).alias(name) for name, test in counters.items()])
 
 
-def workload_report(assets: DataFrame, scales: Sequence[int] = (4,), policy: PlanPolicy = PlanPolicy(), slices: int | None = None) -> DataFrame:
+def workload_report(assets: DataFrame, scales: Sequence[int] = (4,), policy: PlanPolicy = PlanPolicy(), ranges: int | None = None) -> DataFrame:
     """One row of inventory, plan, route and switch counters."""
     planned = planned_images(assets, scales, policy)
     routed = planned.filter("upscale")
-    switches = model_switches(routed, slices=slices).withColumnRenamed("switches", "real_hat_model_switches")
+    switches = model_switches(routed, ranges=ranges).withColumnRenamed("switches", "real_hat_model_switches")
     # three one-row results side by side
     return (
         conflict_summary(assets)

@@ -108,3 +108,8 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     whole = F.concat(F.lit("{"), F.array_join(F.filter("_t.text", lambda t: F.trim(t) != ""), ","), F.lit("}"))
     headers = texts.select("file", F.from_json(whole, fields).alias("h"), "n_pages").select("file", "h.*", "n_pages")
     return headers, rows
+
+
+def manifest_pages(manifest: DataFrame) -> DataFrame:
+    """The pages of manifests that are rows already, with the array ``pages``."""
+    return manifest.select(F.explode("pages").alias("p")).select("p.*")

@@ -49,8 +49,8 @@ def test_linked_companion_is_an_error(spark):
 def test_workload_report_on_the_threshold(spark):
     rows = [(f"p{i}.png", f"p{i}.png", w, 1200, 1, 1) for i, w in enumerate((999, 1000, 1001, 999))]
     df = spark.createDataFrame(rows, "rel string, key string, width long, height long, orientation int, n_frames int")
-    for slices in (1, 3):
-        row = workload.workload_report(df, (4,), slices=slices).first()
+    for ranges in (1, 3):
+        row = workload.workload_report(df, (4,), ranges=ranges).first()
         assert (row.real_hat_normal, row.real_hat_sharper, row.real_hat_threshold_exact, row.real_hat_model_switches) == (2, 2, 1, 2)
         assert (row.source_images, row.sr_total, row.errors) == (4, 4, 0)
 
