@@ -162,9 +162,9 @@ def json_pieces(spark: SparkSession, path: str, depth: int) -> DataFrame:
 def members(pieces: DataFrame) -> DataFrame:
     """Pieces with the outermost object's own braces taken off; other outermost values raise."""
     text = F.col("text")
-    begins = F.when(F.col("depth") > 0, text).otherwise(F.regexp_replace(text, r"^[\s﻿]*\{", ""))
+    begins = F.when(F.col("depth") > 0, text).otherwise(F.regexp_replace(text, r"^[\s\uFEFF]*\{", ""))
     body = F.when(F.col("end") > 0, begins).otherwise(F.regexp_replace(begins, r"\}\s*$", ""))
-    wrong = (F.col("depth") == 0) & ~text.rlike(r"^[\s﻿]*(\{|$)")
+    wrong = (F.col("depth") == 0) & ~text.rlike(r"^[\s\uFEFF]*(\{|$)")
     damaged = wrong | ((F.col("end") == 0) & ~text.rlike(r"(^|\})\s*$")) | (F.col("end") < 0)
     return pieces.withColumn("text", F.when(damaged, F.raise_error(F.concat(F.lit("not one JSON object: "), F.left(text, F.lit(200))))).otherwise(body))
 
