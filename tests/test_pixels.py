@@ -175,3 +175,18 @@ def test_grayscale_of_images_with_gaps(spark):
         assert (r.mask is None) if mask.all() else bytes(r.mask) == mask.tobytes()
     want = sorted(map(tuple, px.grayscale_classify(pixels).collect()))
     assert sorted(map(tuple, px.grayscale_images(images).collect())) == want and ("dense" in {w[2] for w in want})
+
+def test_resampling_takes_gaps_as_black(spark):
+    pixels = spark.createDataFrame(with_gaps("rows"), with_gaps("kind"))
+    images = px.pixels_to_images(pixels)
+    sized = images.withColumns({f"out_{c}": F.ceil(F.col(c) * 0.6).cast("long") for c in ("height", "width")})
+    got = {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in px.image_pixels(resample.resample_images(sized)).collect()}
+    want = {}
+    for key in range(3):
+        own = [p for p in with_gaps("rows") if p[0] == key]
+        whole = np.zeros((max(p[1] for p in own) + 1, max(p[2] for p in own) + 1, 3), np.uint8)
+        for _, y, x, *rgb in own:
+            whole[y, x] = rgb
+        small = resample.resize_array(whole, -(-whole.shape[0] * 6 // 10), -(-whole.shape[1] * 6 // 10))
+        want |= {(key, y, x): tuple(small[y, x]) for y in range(small.shape[0]) for x in range(small.shape[1])}
+    assert got == want
