@@ -203,3 +203,11 @@ def test_strips_of_images_with_gaps(spark):
                 lines.setdefault(y, []).append(bytes(rgb) * 2)
         data = b"".join(b"".join(line) * 2 for _, line in sorted(lines.items()))
         assert found == (2 * len(lines), 2 * max(map(len, lines.values())), data)
+
+def test_gaps_stay_gaps_in_pixels_and_tiles(spark):
+    pixels = spark.createDataFrame(with_gaps("rows"), with_gaps("kind"))
+    images = px.pixels_to_images(pixels)
+    assert sorted(map(tuple, px.image_pixels(images).collect())) == sorted(with_gaps("rows"))
+    cores = tiles.batch_infer(tiles.extract_tiles(images, 4, 1), tiles.nearest_model(2), 2, 4, 1, batch=4)
+    want = sorted((k, 2 * y + a, 2 * x + b, *rgb) for k, y, x, *rgb in with_gaps("rows") for a in (0, 1) for b in (0, 1))
+    assert sorted(map(tuple, tiles.core_pixels(cores).collect())) == want
