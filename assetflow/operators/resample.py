@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assetflow.functions.colour import linear_to_srgb, quantize, srgb_to_linear
 from assetflow.operators.pixels import decode_array
+from assetflow.operators.skew import lookup_join
 
 KEYS_A = -0.5
 
@@ -55,20 +56,37 @@ def _axis(rows: DataFrame, keep: list[str], pos: str, size: str, out_size: str,
     return sums.withColumnRenamed("_o", pos)
 
 
+def filled(pixels: DataFrame, image: str, channels: list[str]) -> DataFrame:
+    """The pixels, and black ones at the places of their images where there is none.
+
+    Images are counted first, so only those with gaps meet their grid.
+    """
+    sizes = [c for c in pixels.columns if c not in (image, "y", "x", *channels)]
+    counted = pixels.groupBy(image, *sizes).agg(F.count(F.lit(1)).alias("_n"))
+    short = counted.filter(F.col("_n") < F.col("width") * F.col("height")).drop("_n")
+    places = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.col(size).cast("long") - 1))
+    grid = short.withColumn("y", places("height")).withColumn("x", places("width"))
+    there = lookup_join(pixels.select(image, "y", "x"), short.select(image), image, "left_semi")
+    gaps = grid.join(there, [image, "y", "x"], "left_anti")
+    return pixels.unionByName(gaps.withColumns({c: F.lit(0).cast(pixels.schema[c].dataType) for c in channels}))
+
+
 def resample_pixels(
     pixels: DataFrame, image: str = "image_id", linear_light: bool = True, kernel: str = "cubic"
 ) -> DataFrame:
     """Resize long-form pixels.
 
     Input: image, y, x, r, g, b and per row the sizes ``width, height, out_width, out_height``.
-    Images already of the wanted size are returned as they are.
+    Images already of the wanted size are returned as they are; others may have gaps, which count as black.
+    Pixels must be distinct.
     """
     sizes = ["width", "height", "out_width", "out_height"]
     same = (F.col("width") == F.col("out_width")) & (F.col("height") == F.col("out_height"))
     channels = ["r", "g", "b"]
     decode = (lambda c: srgb_to_linear(c / 255.0)) if linear_light else (lambda c: c / 255.0)
     encode = (lambda c: quantize(linear_to_srgb(c))) if linear_light else quantize
-    todo = pixels.filter(~same).select(image, "y", "x", *sizes, *[decode(F.col(c)).alias(c) for c in channels])
+    todo = filled(pixels.filter(~same).select(image, "y", "x", *sizes, *channels), image, channels)
+    todo = todo.select(image, "y", "x", *sizes, *[decode(F.col(c)).alias(c) for c in channels])
     wide = _axis(todo, [image, "y", *sizes], "x", "width", "out_width", channels, kernel)
     both = _axis(wide, [image, "x", *sizes], "y", "height", "out_height", channels, kernel)
     done = both.select(image, "y", "x", *[encode(F.col(c)).cast("long").alias(c) for c in channels])

@@ -211,3 +211,11 @@ def test_gaps_stay_gaps_in_pixels_and_tiles(spark):
     cores = tiles.batch_infer(tiles.extract_tiles(images, 4, 1), tiles.nearest_model(2), 2, 4, 1, batch=4)
     want = sorted((k, 2 * y + a, 2 * x + b, *rgb) for k, y, x, *rgb in with_gaps("rows") for a in (0, 1) for b in (0, 1))
     assert sorted(map(tuple, tiles.core_pixels(cores).collect())) == want
+
+def test_relational_resampling_takes_gaps_as_black(spark):
+    pixels = spark.createDataFrame(with_gaps("rows"), with_gaps("kind"))
+    out = {f"out_{c}": F.ceil(F.col(c) * 0.6).cast("long") for c in ("height", "width")}
+    got = {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in resample.resample_pixels(px.with_sizes(pixels, px.image_sizes(pixels).withColumns(out))).collect()}
+    images = px.image_pixels(resample.resample_images(px.pixels_to_images(pixels).withColumns(out)))
+    want = {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in images.collect()}
+    assert got.keys() == want.keys() and np.abs(np.array([got[k] for k in want]) - np.array(list(want.values()))).max() <= 1
