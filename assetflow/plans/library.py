@@ -258,11 +258,24 @@ O_COLLISION_UNICODE = sql(
 
 
 def q_companion_key_collision(spark, d):
+    """Collisions of all asset stems: the companion rule applied to every file's companion key."""
+    stems = assets(spark, d).select(F.col("rel").alias("source"), paths.companion_key(F.col("key")).alias("key"))
+    return companions.collisions(stems)
+
+
+O_KEY_COLLISION = sql(
+    ["assets"],
+    f"""SELECT key, source, first_source, sources FROM (SELECT {TARGET} AS key, rel AS source, min(rel) OVER (PARTITION BY {TARGET}) AS first_source,
+  count(*) OVER (PARTITION BY {TARGET}) AS sources FROM assets) c WHERE sources > 1""",
+)
+
+
+def q_companion_case_collision(spark, d):
     """Companion files whose names differ by case only."""
     return companions.companion_key_collision(assets(spark, d))
 
 
-O_KEY_COLLISION = sql(
+O_CASE_COLLISION = sql(
     ["assets"],
     f"""SELECT key, source, first_source, sources FROM (SELECT lower(rel) AS key, rel AS source, min(rel) OVER (PARTITION BY lower(rel)) AS first_source,
   count(*) OVER (PARTITION BY lower(rel)) AS sources FROM assets WHERE {JXL}) c WHERE sources > 1""",
@@ -743,6 +756,7 @@ REGISTRY = {
     "destination_collision": (q_destination_collision, O_COLLISION),
     "collision_unicode": (q_collision_unicode, O_COLLISION_UNICODE),
     "companion_key_collision": (q_companion_key_collision, O_KEY_COLLISION),
+    "companion_case_collision": (q_companion_case_collision, O_CASE_COLLISION),
     "companion_join": (q_companion_join, O_COMPANION),
     "orphan_companions": (q_orphans, O_ORPHANS),
     "conflict_keys": (q_conflict_keys, O_CONFLICT_KEYS),

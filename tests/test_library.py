@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assetflow.functions import checks, timing
 from assetflow.functions.fingerprint import config_json
 from assetflow.operators import companions, gates, incremental, journal, ordering, reconcile, scans, workload
+from assetflow.plans import library
 
 A, B, C = ("a" * 64, "b" * 64, "c" * 64)
 
@@ -310,3 +311,12 @@ def test_first_errors(spark):
     df = spark.range(300).select(F.format_string("k%03d", F.col("id")).alias("key"))
     got = [r.key for r in ordering.first_errors(df).collect()]
     assert got == [f"k{i:03d}" for i in range(100)]
+
+
+def test_key_collisions_look_at_every_file(spark, tmp_path):
+    """Images, companions and others whose companion key is the same, not companions alone."""
+    docs = [(18, "en"), (19, "en"), (20, "en"), (21, "en"), (2, "de"), (3, "de"), (6, "fr"), (7, "fr")]
+    spark.createDataFrame([(k, "text", lang, "s", 4) for k, lang in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.key, r.source, r.sources) for r in library.q_companion_key_collision(spark, str(tmp_path)).collect()}
+    pairs = {"en/9.jxl": ("en/9.png", "en/9.jpg"), "en/10.jxl": ("en/10.jxl", "en/10.JXL"), "de/1.jxl": ("de/1.jxl", "de/1.JXL"), "fr/3.jxl": ("fr/3.json", "fr/3.bmp")}
+    assert got == {(key, source, 2) for key, both in pairs.items() for source in both}
