@@ -290,22 +290,37 @@ def _least_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "text", "meets"])
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+def _text(ids: np.ndarray, of: list[bytes]) -> str:
+    return b"".join(map(of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(docs: DataFrame, tokenizer_path: str, back: bool) -> DataFrame:
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * back]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch)
             for first, last in batches_of(texts, 2_000_000):
                 ids = encoder(tokenizer_path).encode(texts[first:last])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+                columns = [batch.column(0).slice(first, last - first), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+                if back:
+                    of = id_bytes(tokenizer_path)
+                    columns.append(pa.array([_text(x, of) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     placed = source.mapInArrow(_least_hash, "doc_id long, text binary, meets long").repartitionByRange("meets", "doc_id").sortWithinPartitions("meets", "doc_id")
-    return placed.select("doc_id", "text").mapInArrow(encoded, "doc_id long, n_tokens long, ids binary")
+    return placed.select("doc_id", "text").mapInArrow(coded, "doc_id long, n_tokens long, ids binary" + ", decoded string" * back)
+
+
+def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    return _coded(docs, tokenizer_path, False)
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The rows of ``decode(encode(docs))`` from one Python worker a task, where the ids are decoded beside their encoder."""
+    return _coded(docs, tokenizer_path, True)
 
 
 def decode(rows: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -314,9 +329,6 @@ def decode(rows: DataFrame, tokenizer_path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = id_bytes(tokenizer_path)
         for column in batches:
-            yield pa.array(
-                [None if raw is None else b"".join(map(of.__getitem__, np.frombuffer(raw, "<u4").tolist())).decode("utf-8", "replace") for raw in column.to_pylist()],
-                pa.string(),
-            )
+            yield pa.array([None if raw is None else _text(np.frombuffer(raw, "<u4"), of) for raw in column.to_pylist()], pa.string())
 
     return rows.withColumn("decoded", F.arrow_udf(decoded, "string")("ids"))

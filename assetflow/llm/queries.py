@@ -78,8 +78,7 @@ def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_TOKENIZER)
-    coded = chunked_bpe.decode(chunked_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    coded = chunked_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -78,3 +78,12 @@ def test_odd_rows(spark):
     assert chunked_bpe.encode(no_docs(spark), PATH).count() == 0
     broken = spark.sql("SELECT 1L AS doc_id, CAST(X'61ff62' AS STRING) AS text")
     assert chunked_bpe.decode(chunked_bpe.encode(broken, PATH), PATH).first().decoded == "a�b"
+
+
+def test_a_task_has_one_worker_with_a_tokenizer(spark):
+    """Ids are decoded beside their encoder: the same rows as from both steps, with no second Python worker in the stage."""
+    both = chunked_bpe.encode_and_decode(odd_docs(spark), PATH)
+    two_steps = chunked_bpe.decode(chunked_bpe.encode(odd_docs(spark), PATH), PATH)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, two_steps.collect()))
+    plan = op12_chunked_bpe(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
