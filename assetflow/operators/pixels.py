@@ -221,9 +221,24 @@ def pixels_to_images(pixels: DataFrame, image: str = "image_id") -> DataFrame:
     return whole.select(image, "height", "width", F.lit(3).alias("channels"), "data", "mask")
 
 
-def pixel_frames(blocks: Iterable[tuple], image: str, limit: int = 500_000) -> Iterator[pd.DataFrame]:
-    """Blocks (image, top, left, array, mask or None) as frames of long-form pixels, each around ``limit`` rows.
+FRAME_ROWS = 1 << 15
 
+
+def within(blocks: Iterable[tuple], limit: int) -> Iterator[tuple]:
+    """Blocks (image, top, left, array, mask or None) as such of at most ``limit`` pixels, lines kept whole where they fit."""
+    for key, top, left, array, mask in blocks:
+        height, width = array.shape[:2]
+        lines, across = max(1, limit // max(1, width)), max(1, min(width, limit))
+        for y in range(0, height, lines):
+            for x in range(0, width, across):
+                window = np.s_[y : y + lines, x : x + across]
+                yield key, top + y, left + x, array[window], None if mask is None else mask[window]
+
+
+def pixel_frames(blocks: Iterable[tuple], image: str, limit: int = FRAME_ROWS) -> Iterator[pd.DataFrame]:
+    """Blocks (image, top, left, array, mask or None) as frames of long-form pixels, each of at most ``limit`` rows.
+
+    A frame is one Arrow batch, which the JVM holds whole outside its heap, once for each task that runs.
     Pixels that a mask leaves out give no row.
     """
     held: list[tuple] = []
@@ -241,12 +256,13 @@ def pixel_frames(blocks: Iterable[tuple], image: str, limit: int = 500_000) -> I
             return out
         return out[np.concatenate([np.ones(s[:2], bool).ravel() if m is None else m.ravel() for (*_, m), s in zip(held, shapes)])]
 
-    for block in blocks:
-        held.append(block)
-        size += block[3].shape[0] * block[3].shape[1]
-        if size >= limit:
+    for block in within(blocks, limit):
+        more = block[3].shape[0] * block[3].shape[1]
+        if held and size + more > limit:
             yield frame()
             held, size = [], 0
+        held.append(block)
+        size += more
     if held:
         yield frame()
 
@@ -254,15 +270,10 @@ def pixel_frames(blocks: Iterable[tuple], image: str, limit: int = 500_000) -> I
 def image_pixels(images: DataFrame, image: str = "image_id") -> DataFrame:
     """Image rows (three channels, row-major RGB) to long-form pixels, one task per input split; gaps stay gaps."""
 
-    def strips(pdf: pd.DataFrame) -> Iterator[tuple]:
-        for key, h, w, c, m, d in zip(pdf[image], pdf["height"], pdf["width"], pdf["channels"], pdf["mask"], pdf["data"]):
-            array, mask = decode_array(d, h, w, c), decode_mask(m, h, w)
-            for top in range(0, int(h), 256):
-                yield key, top, 0, array[top : top + 256], None if mask is None else mask[top : top + 256]
-
     def spread_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield from pixel_frames(strips(pdf), image)
+            cells = zip(pdf[image], pdf["height"], pdf["width"], pdf["channels"], pdf["mask"], pdf["data"])
+            yield from pixel_frames(((key, 0, 0, decode_array(d, h, w, c), decode_mask(m, h, w)) for key, h, w, c, m, d in cells), image)
 
     kind = images.schema[image].dataType.simpleString()
     return with_mask(images).select(image, "height", "width", "channels", "mask", "data").mapInPandas(

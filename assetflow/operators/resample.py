@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assetflow.functions.colour import linear_to_srgb, quantize, srgb_to_linear
 from assetflow.operators.pixels import decode_array
 from assetflow.operators.skew import lookup_join
+from assetflow.operators.tiles import emit
 
 KEYS_A = -0.5
 
@@ -124,13 +125,15 @@ def resize_array(array: np.ndarray, height: int, width: int, linear_light: bool
 def resample_images(images: DataFrame, image: str = "image_id", linear_light: bool = True, kernel: str = "cubic") -> DataFrame:
     """Resize image rows (image, height, width, channels, data, out_width, out_height); no shuffle."""
 
+    columns = [image, "height", "width", "channels", "data"]
+
+    def resized(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for key, d, h, w, c, oh, ow in zip(pdf[image], pdf["data"], pdf["height"], pdf["width"], pdf["channels"], pdf["out_height"], pdf["out_width"]):
+            yield key, oh, ow, c, resize_array(decode_array(d, h, w, c), int(oh), int(ow), linear_light, kernel).tobytes()
+
     def resize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [
-                resize_array(decode_array(d, h, w, c), int(oh), int(ow), linear_light, kernel).tobytes()
-                for d, h, w, c, oh, ow in zip(pdf["data"], pdf["height"], pdf["width"], pdf["channels"], pdf["out_height"], pdf["out_width"])
-            ]
-            yield pd.DataFrame({image: pdf[image], "height": pdf["out_height"], "width": pdf["out_width"], "channels": pdf["channels"], "data": out})
+            yield from emit(resized(pdf), columns)
 
     kind = images.schema[image].dataType.simpleString()
     return images.select(image, "height", "width", "channels", "data", "out_height", "out_width").mapInPandas(

@@ -219,3 +219,18 @@ def test_relational_resampling_takes_gaps_as_black(spark):
     images = px.image_pixels(resample.resample_images(px.pixels_to_images(pixels).withColumns(out)))
     want = {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in images.collect()}
     assert got.keys() == want.keys() and np.abs(np.array([got[k] for k in want]) - np.array(list(want.values()))).max() <= 1
+
+
+def test_frames_of_pixels_are_bounded():
+    """Each frame is an Arrow batch outside the heap, so neither many small blocks nor a large one make it grow."""
+    rng = np.random.default_rng(5)
+    for shapes, limit in ([(700, 900)], ()), ([(20, 20)] * 2000, ()), ([(3, 50), (2, 4), (1, 1)], (7,)):
+        blocks = [(i, 10 * i, i, rng.integers(0, 256, (*s, 3)).astype(np.uint8), None if i % 2 else rng.integers(0, 2, s).astype(bool)) for i, s in enumerate(shapes)]
+        frames = list(px.pixel_frames(iter(blocks), "image_id", *limit))
+        assert max(map(len, frames)) <= (limit or (1 << 16,))[0]
+        want = []
+        for key, top, left, array, mask in blocks:
+            ys, xs = np.nonzero(np.ones(array.shape[:2], bool) if mask is None else mask)
+            want.append(np.column_stack([np.full(ys.size, key), ys + top, xs + left, array[ys, xs]]))
+        got, want = np.concatenate([f.to_numpy() for f in frames]), np.concatenate(want)
+        assert got.shape == want.shape and np.array_equal(got[np.lexsort(got.T)], want[np.lexsort(want.T)])
