@@ -12,8 +12,12 @@ format in a text are escaped. An empty table gives no rows. Other columns of the
 Turns are dealt out in ranges of the order, which are written to the shared folder, with counts, sizes and hashes
 carried from range to range. Only turns of one conversation that agree in turn number, role and the first
 ``KEY_CHARS`` characters of their text (of all of it, if the role is longer than that) are never parted. Conversations
-are rendered in parts, one row each, whatever their size: a part's turns begin in the same ``PART_BYTES`` bytes of the
-rendered conversation and the same ``SLICE_TURNS`` turns. ``part`` is the position of its first turn and tells the order.
+are rendered in parts: a part's turns begin in the same ``PART_BYTES`` bytes of the rendered conversation and the same
+``SLICE_TURNS`` turns. ``part`` is the position of its first turn and tells the order.
+
+``conversations`` joins the parts: one row and one whole text for each conversation, which has to fit a cell (Spark's
+limit is 2 GB) and the memory of a task. There a null conv_id is the greatest, so that a turn without one never stands
+for an equal conversation that has one. ``collapse`` leaves each part a row of its own, for conversations of any size.
 """
 
 from __future__ import annotations
@@ -83,22 +87,26 @@ def single_turns(turns: DataFrame) -> DataFrame:
     return _hashed(rows).select("conv_id", "position", "role", "text", size.alias("size"), size.alias("up_to"), F.col("h1").alias("p1"), F.col("h2").alias("p2"))
 
 
-def maximal_conversations(hashes: DataFrame, singles: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies, n_bytes, p1, p2 of the conversations that no other one continues."""
+def maximal_conversations(hashes: DataFrame, singles: DataFrame, known_ids: bool = False) -> DataFrame:
+    """conv_id, n_turns, n_copies, n_bytes, p1, p2 of the conversations that no other one continues.
+
+    Of equal ones the smallest conv_id; null is the smallest, or the greatest with ``known_ids``.
+    """
     prefixes = hashes.select("conv_id", "position", "p1", "p2")
     end = ["position", "p1", "p2"]
     ends = hashes.groupBy("conv_id").agg(F.max(F.struct(*end, "up_to")).alias("end")).select("conv_id", "end.*")
+    first = F.min("conv_id") if known_ids else F.min(F.struct("conv_id"))["conv_id"]
     whole = ends.union(singles.select("conv_id", *end, "up_to")).groupBy(*end).agg(
-        F.min(F.struct("conv_id")).alias("first"), F.count("*").alias("n_copies"), F.max("up_to").alias("n_bytes")
+        first.alias("conv_id"), F.count("*").alias("n_copies"), F.max("up_to").alias("n_bytes")
     )
     proper = lookup_join(prefixes, ends.select("conv_id", F.col("position").alias("n")), "conv_id").where("position < n").select(*end).distinct()
-    return whole.join(proper, end, "left_anti").select(F.col("first.conv_id").alias("conv_id"), F.col("position").alias("n_turns"), "n_copies", "n_bytes", "p1", "p2")
+    return whole.join(proper, end, "left_anti").select("conv_id", F.col("position").alias("n_turns"), "n_copies", "n_bytes", "p1", "p2")
 
 
-def _rendered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rendered(turns: DataFrame, known_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """The parts of the conversations with a conv_id, and those of the others."""
     hashes, singles = prefix_hashes(turns), single_turns(turns)
-    kept = maximal_conversations(hashes, singles)
+    kept = maximal_conversations(hashes, singles, known_ids)
     turn = rendered_turn(F.col("role"), F.col("text"))
     named = kept.where("conv_id IS NOT NULL").select("conv_id", "n_turns", "n_copies")
     own = hashes.select(
@@ -123,6 +131,17 @@ def collapse(turns: DataFrame) -> DataFrame:
     return parts.select(*PARTS).union(alone)
 
 
+def conversations(turns: DataFrame) -> DataFrame:
+    """One row per maximal conversation, whatever its size: conv_id, n_turns, n_copies, text (all of it)."""
+    parts, alone = _rendered(turns, known_ids=True)
+    whole = (
+        parts.groupBy("conv_id", "n_turns", "n_copies")
+        .agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"))
+        .select("conv_id", "n_turns", "n_copies", F.array_join("parts.text", "").alias("text"))
+    )
+    return whole.union(alone.drop("part"))
+
+
 SQL = rf"""
 WITH turns AS (
   SELECT conv_id, turn, role, text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone,
@@ -142,3 +161,19 @@ SELECT k.conv_id, k.n_turns, k.n_copies, min(position) AS part, string_agg(turn_
 FROM kept k JOIN placed p ON k.conv_id IS NOT DISTINCT FROM p.conv_id AND k.alone IS NOT DISTINCT FROM p.alone
 GROUP BY k.conv_id, k.alone, k.n_turns, k.n_copies, bytes_before // {PART_BYTES}, (position - 1) // {SLICE_TURNS}
 """
+
+CONVERSATIONS_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+convs AS (
+  SELECT conv_id, count(*) AS n_turns,
+    list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+    string_agg('<|' || replace(coalesce(role, ''), '<|', '<\|') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|')
+      || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
+  FROM turns GROUP BY conv_id, alone),
+firsts AS (SELECT turns, min(conv_id) AS conv_id, min(n_turns) AS n_turns, count(*) AS n_copies, min(text) AS text FROM convs GROUP BY turns)
+SELECT c.conv_id, c.n_turns, c.n_copies, c.text
+FROM firsts c
+WHERE NOT EXISTS (SELECT 1 FROM convs d WHERE d.n_turns > c.n_turns AND d.turns[1] = c.turns[1] AND d.turns[1:c.n_turns] = c.turns)
+"""

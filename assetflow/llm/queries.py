@@ -30,7 +30,7 @@ def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chats.collapse(table(spark, sf_dir, "conversations"))
+    return chats.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_token_shards": (op1_token_shards, None),
     "op2_subword_lattice": (op2_subword_lattice, None),
-    "op3_snapshot_collapse": (op3_snapshot_collapse, chats.SQL),
+    "op3_snapshot_collapse": (op3_snapshot_collapse, chats.CONVERSATIONS_SQL),
     "op4_minhash_near_dups": (op4_minhash_near_dups, None),
     "op5_decontamination": (op5_decontamination, None),
     "op6_secret_scan": (op6_secret_scan, None),

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from assetflow.llm import balance, chats, leaks, secrets
-from assetflow.llm.queries import op5_decontamination, op6_secret_scan, op7_balanced_shards
+from assetflow.llm.queries import REGISTRY, op3_snapshot_collapse, op5_decontamination, op6_secret_scan, op7_balanced_shards
 from helpers import SF, documents, no_docs, odd_docs
 
 # --- decontamination
@@ -347,6 +347,61 @@ def test_snapshots_match_sql_with_nulls_and_a_hot_conversation(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+# the SQL of op3_snapshot_collapse as it was first registered
+FIRST_SQL = r"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+convs AS (
+  SELECT conv_id, count(*) AS n_turns,
+    list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+    string_agg('<|' || replace(coalesce(role, ''), '<|', '<\|') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|')
+      || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
+  FROM turns GROUP BY conv_id),
+firsts AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM convs GROUP BY turns)
+SELECT c.conv_id, c.n_turns, f.n_copies, c.text
+FROM convs c JOIN firsts f ON f.conv_id = c.conv_id
+WHERE NOT EXISTS (SELECT 1 FROM convs d WHERE d.n_turns > c.n_turns AND d.turns[1] = c.turns[1] AND d.turns[1:c.n_turns] = c.turns)
+"""
+
+
+def test_snapshots_are_whole_conversations(spark, tmp_path):
+    """One row and the whole text of each, also beyond 4,096 turns and 8 MB, and no conv_id lost to a null one."""
+    rows = [(1, k, "user", f"turn {k}") for k in range(5000)] + [(2, k, "user", f"{k}" + "x" * 1_000_000) for k in range(10)]
+    rows += [(3, 0, "user", "lone"), (4, 2, "user", "lone"), (5, 0, "a", "b"), (6, 0, "a", "b"), (6, 1, "c", "<|d|>"), (7, None, None, None)]
+    named = len(rows)
+    rows += [(None, 0, "user", "lone"), (None, 5, "user", "lone"), (None, 0, "a", "b"), (None, 1, "user", "alone"), (None, None, None, "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = op3_snapshot_collapse(spark, str(tmp_path))
+    got = Counter(map(tuple, found.collect()))
+    assert found.columns == ["conv_id", "n_turns", "n_copies", "text"]
+    assert got == Counter(con.execute(REGISTRY["op3_snapshot_collapse"][1]).fetchall())
+    assert {c: (n, k, t) for c, n, k, t in got if c is not None} == {
+        **{c: (w[0], 1, w[2]) for c, w in plain_collapse(rows[:named]).items() if c != 3},
+        3: (1, 4, "<|user|>\nlone\n<|end|>\n"),
+    }
+    assert {(n, k, t) for c, n, k, t in got if c is None} == {(1, 1, "<|user|>\nalone\n<|end|>\n"), (1, 1, "<||>\n\n<|end|>\n")}
+    assert {(c, n, t) for c, n, _, t in con.execute(FIRST_SQL).fetchall()} < {(c, n, t) for c, n, _, t in got}
+
+
+def test_snapshots_of_odd_rows_hold_what_the_first_sql_held(spark):
+    """Random tables with nulls everywhere, told apart by the number at the start of their roles."""
+    rng = random.Random(8)
+    rows, con, first = [], duckdb.connect(), set()
+    for table in range(40):
+        own = [(rng.choice([1, 2, 3, 4, None]), rng.choice([0, 1, 2, None]), f"{table} {rng.choice('ab')}", rng.choice(["x", "<|", "", None])) for _ in range(rng.randrange(1, 25))]
+        con.execute("CREATE OR REPLACE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", own)
+        first |= {(10 * table + c, n, t) for c, n, _, t in con.execute(FIRST_SQL).fetchall()}
+        rows += [(c if c is None else 10 * table + c, *r) for c, *r in own]
+    con.execute("CREATE OR REPLACE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = Counter(map(tuple, chats.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()))
+    assert got == Counter(con.execute(chats.CONVERSATIONS_SQL).fetchall())
+    assert len(first) > 40 and first <= {(c, n, t) for c, n, _, t in got}
+
+
 def test_snapshots_stay_in_the_jvm(spark):
     plan = chats.collapse(spark.read.parquet(f"{SF}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
